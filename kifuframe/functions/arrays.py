@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that later steps use many times.
+
+    Catalyst copies a projected expression into every filter and projection that uses
+    it. A one-row generator is not copied, so a costly parse runs once per row.
+    """
+    fields = [value.alias(name) for name, value in values.items()]
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
+
+
 def total(values: Column) -> Column:
     """Sum of an array of doubles, from left to right."""
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)

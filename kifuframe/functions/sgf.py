@@ -38,8 +38,10 @@ def strip_comments(text: Column, depth: int = 8) -> Column:
     left afterwards (unclosed or nested deeper) take a bracket count over tokens
     instead. That branch is lazy, so other texts do not pay for it.
     """
-    quick = F.regexp_replace(text, _balanced_comment(depth), "")
-    return F.when(F.instr(quick, "C[") == 0, quick).otherwise(_count_brackets(text))
+    return let(
+        F.regexp_replace(text, _balanced_comment(depth), ""),
+        lambda quick: F.when(~F.contains(quick, F.lit("C[")), quick).otherwise(_count_brackets(text)),
+    )
 
 
 def _count_brackets(text: Column) -> Column:
@@ -63,9 +65,14 @@ def _count_brackets(text: Column) -> Column:
 
 def extract_properties(stripped: Column) -> Column:
     """``KEY[value]`` pairs as a map; repeated keys are joined by ``|``."""
-    keys = F.regexp_extract_all(stripped, F.lit(PROPERTY_PATTERN), F.lit(1))
-    values = F.regexp_extract_all(stripped, F.lit(PROPERTY_PATTERN), F.lit(2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    def split(entry: Column) -> Column:
+        at = F.instr(entry, "[")
+        return F.struct(
+            F.substr(entry, F.lit(1), at - 1).alias("k"),
+            F.substr(entry, at + 1, F.length(entry) - at - 1).alias("v"),
+        )
+
+    pairs = F.transform(F.regexp_extract_all(stripped, F.lit(PROPERTY_PATTERN), F.lit(0)), split)
 
     def merged(found: Column, key: Column) -> Column:
         mine = F.transform(F.filter(found, lambda p: p["k"] == key), lambda p: p["v"])
@@ -94,14 +101,13 @@ def decode_coord(coord: Column) -> Column:
 def move_array(stripped: Column, strict: bool = False) -> Column:
     """All moves of a record in order, variations flattened."""
     pattern = F.lit(STRICT_MOVE_PATTERN if strict else MOVE_PATTERN)
-    colors = F.regexp_extract_all(stripped, pattern, F.lit(1))
-    coords = F.regexp_extract_all(stripped, pattern, F.lit(2))
 
-    def move(color: Column, coord: Column) -> Column:
-        at = decode_coord(coord)
-        return F.struct(color.alias("color"), at["row"].alias("row"), at["col"].alias("col"))
+    def move(entry: Column) -> Column:
+        at = decode_coord(F.substring(entry, 3, 2))
+        return F.struct(
+            F.substring(entry, 1, 1).alias("color"), at["row"].alias("row"), at["col"].alias("col"))
 
-    return F.zip_with(colors, coords, move)
+    return F.transform(F.regexp_extract_all(stripped, pattern, F.lit(0)), move)
 
 
 def parse_board_size(value: Column) -> Column:

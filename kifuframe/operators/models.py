@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kifuframe.functions.arrays import cell_range, let
+from kifuframe.functions.arrays import cell_range, computed_once, let
 
 PREDICTION_TYPE = T.StructType([
     T.StructField("logits", T.ArrayType(T.DoubleType())),
@@ -75,5 +75,8 @@ def score_with(planes: DataFrame, make_predict: Callable[[], Callable[[np.ndarra
     """
     predict = predict_batch_udf(
         make_predict, return_type=PREDICTION_TYPE, batch_size=batch_size, input_tensor_shapes=[[19, n, n]])
-    return planes.withColumn("_out", predict("planes")).select(
-        *[c for c in planes.columns if c != "planes"], "_out.logits", "_out.value", "_out.fast_logits")
+    # the array code that builds the planes stays below the Python call, once per row
+    ready = computed_once(planes.withColumnRenamed("planes", "_source"), planes=F.col("_source"))
+    scored = computed_once(ready.select(
+        *[c for c in planes.columns if c != "planes"], predict("planes").alias("_raw")), _out=F.col("_raw"))
+    return scored.select("*", "_out.*").drop("_raw", "_out")

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kifuframe.functions import board, sgf
+from kifuframe.functions.arrays import computed_once
 
 SEGMENT = 1_024
 
 
 def parse_properties(records: DataFrame, text: str = "text") -> DataFrame:
     """Add ``body`` (text without comments) and ``properties``."""
-    return records.withColumn("body", sgf.strip_comments(F.col(text))).withColumn(
-        "properties", sgf.extract_properties(F.col("body")))
+    stripped = computed_once(records, body=sgf.strip_comments(F.col(text)))
+    return computed_once(stripped, properties=sgf.extract_properties(F.col("body")))
 
 
 def game_header(records: DataFrame) -> DataFrame:
@@ -43,11 +44,9 @@ def parse_games(records: DataFrame, text: str = "text", board_size: int | None =
     games = game_header(parse_properties(records, text))
     if board_size is not None:
         games = filter_board_size(games, board_size)
-    return (
-        games.withColumn("moves", sgf.move_array(F.col("body"), strict))
-        .withColumn("outcome", sgf.parse_result(F.col("result")))
-        .drop(text, "body")
-    )
+    parsed = computed_once(
+        games, moves=sgf.move_array(F.col("body"), strict), outcome=sgf.parse_result(F.col("result")))
+    return parsed.drop(text, "body")
 
 
 def filter_board_size(games: DataFrame, n: int) -> DataFrame:

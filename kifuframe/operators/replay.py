@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kifuframe.functions import board
-from kifuframe.functions.arrays import let
+from kifuframe.functions.arrays import computed_once, let
 from kifuframe.operators.ordering import CHUNK, chunk_of
 
 
@@ -26,7 +26,7 @@ def line_from_moves(games: DataFrame, n: int, moves: str = "moves") -> DataFrame
         F.array_distinct(F.array_compact(found)),
         lambda c: F.struct((F.array_position(found, c) - 1).cast("int").alias("ply"), c.alias("cell")),
     ))
-    return games.withColumn("line", line).withColumn("n_moves", F.size(moves).cast("bigint"))
+    return computed_once(games, line=line, n_moves=F.size(moves).cast("bigint"))
 
 
 def game_lines(moves: DataFrame, n: int) -> DataFrame:

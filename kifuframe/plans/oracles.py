@@ -83,6 +83,13 @@ rp AS (
 
 
 REPLAY = f"{MOVES}, {_replay('mv', 'game_id')}"
+LOADED = f"""{RECORD_MOVES},
+loaded AS (
+  SELECT game_id, part, board_size, result,
+         CASE WHEN game_id % 7 = 0 THEN 6.5::DOUBLE ELSE komi END AS komi, CAST(count(*) AS INTEGER) AS n_moves,
+         'd' || (game_id % 10) || '/' || game_id || '-' || part
+         || CASE WHEN game_id % 2 = 0 THEN '.sgf' ELSE '.SGF' END AS path
+  FROM rmv JOIN gm USING (game_id) GROUP BY ALL)"""
 RECORD_GAMES = f"{RECORD_MOVES}, r9 AS (SELECT rmv.* FROM rmv JOIN gm USING (game_id) WHERE board_size = 9)"
 RECORD_REPLAY = f"{RECORD_GAMES}, {_replay('r9', 'game_id, part')}"
 
@@ -498,4 +505,35 @@ FROM (SELECT o_custkey % 100 AS black, o_orderkey % 50 AS white,
     "latency_summary": """SELECT l_returnflag AS run, count(*) AS num_positions, round(avg(l_quantity / 1000), 6) AS avg_time,
        round(min(l_quantity / 1000), 6) AS min_time, round(max(l_quantity / 1000), 6) AS max_time,
        round(1 / avg(l_quantity / 1000), 6) AS positions_per_second FROM lineitem GROUP BY l_returnflag""",
+    # sources and sinks
+    "read_game_dir": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
+    "read_game_file": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9 AND path = 'd1/1-0.SGF'",
+    "read_game_archive": f"""WITH {LOADED}
+SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9 AND game_id // 10 = 0 AND part = 0""",
+    "read_game_archives": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
+    "limit_games": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9 ORDER BY path LIMIT 50",
+    "write_and_read_games": f"""WITH {RECORD_MOVES}
+SELECT game_id, part, board_size, outcome, string_agg(CAST(row * 19 + col AS VARCHAR), ',' ORDER BY ply) AS cells
+FROM rmv JOIN gm USING (game_id) GROUP BY ALL""",
+    # models
+    "score_with_function": f"""WITH {BOARD},
+counted AS (
+  SELECT r.game_id, r.ply, count(cell) FILTER (s.color = r.player) AS own,
+         count(cell) FILTER (s.color <> r.player) AS opp
+  FROM (SELECT game_id, ply, player FROM rp) r LEFT JOIN (SELECT game_id, ply, cell, color FROM seen) s USING (game_id, ply)
+  GROUP BY r.game_id, r.ply),
+firsts AS (
+  SELECT r.game_id, r.ply, min(c.cell) AS best_move
+  FROM rp r, (SELECT CAST(unnest(range(81)) AS INTEGER) AS cell) c
+  ANTI JOIN seen s ON s.game_id = r.game_id AND s.ply = r.ply AND s.cell = c.cell GROUP BY r.game_id, r.ply)
+SELECT game_id, ply, round(tanh(own - opp), 6) AS value, best_move,
+       round(CAST(81 - own - opp - 0.5 * own - opp AS DOUBLE), 6) AS logit_sum FROM counted JOIN firsts USING (game_id, ply)""",
+    # streams
+    "stream_games": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
+    "stream_elo": f"""{_elo(1000, 1000)}
+SELECT player, round(arg_max(rating, w.game_idx), 6) AS elo, count(*) FILTER (seen = 1) AS wins,
+       count(*) FILTER (seen = -1) AS losses, count(*) FILTER (coalesce(seen, 0) = 0) AS draws, count(*) AS num_games
+FROM walk w JOIN mt USING (player, game_idx) GROUP BY player""",
+    "stream_replay": """SELECT event_id AS seq, user_id, event_type, 1.0::DOUBLE AS priority
+FROM events ORDER BY event_id DESC LIMIT 2500""",
 }

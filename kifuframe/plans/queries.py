@@ -13,10 +13,17 @@ from pyspark.sql import functions as F
 
 from kifuframe.functions import board, policy, sgf
 from kifuframe.operators import examples as ex
-from kifuframe.operators import losses, predictions, ratings, records, replay, trajectory
+from kifuframe.operators import losses, models, predictions, ratings, records, replay, trajectory
 from kifuframe.operators import replay_table as rt
+from kifuframe.plans import corpus
 from kifuframe.plans import fixtures as fx
 from kifuframe.plans.fixtures import LOGIT_N, SEED, N
+from kifuframe.session import scratch_path
+from kifuframe.sources import records as sources
+from kifuframe.streaming import ratings as stream_ratings
+from kifuframe.streaming import records as stream_records
+from kifuframe.streaming import replay as replay_stream
+from kifuframe.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -555,3 +562,136 @@ def latency_summary(spark, sf):
     out = ratings.latency_summary(fx.timings(spark, sf), ["run"])
     return out.select("run", "num_positions", *[
         r6(c).alias(c) for c in ("avg_time", "min_time", "max_time", "positions_per_second")])
+
+
+# --- sources and sinks -------------------------------------------------------------
+
+
+def _loaded(games: DataFrame, name: str) -> DataFrame:
+    return games.select(
+        *corpus.ids_of(name), "board_size", "result", "komi", F.size("moves").alias("n_moves"))
+
+
+@query
+def read_game_dir(spark, sf):
+    return _loaded(sources.read_game_dir(spark, corpus.file_corpus(spark, sf), board_size=9), "source")
+
+
+@query
+def read_game_file(spark, sf):
+    """Each file scanned by its own path: the first game's file among them."""
+    folder = corpus.file_corpus(spark, sf)
+    return _loaded(sources.read_game_file(spark, f"{folder}/d1/1-0.SGF", board_size=9), "source")
+
+
+@query
+def read_game_archive(spark, sf):
+    """One archive: the first ten games."""
+    folder = corpus.archive_corpus(spark, sf)
+    return _loaded(sources.read_game_archive(spark, f"{folder}/games-0-0.tgz", board_size=9), "member")
+
+
+@query
+def read_game_archives(spark, sf):
+    return _loaded(sources.read_game_archives(spark, corpus.archive_corpus(spark, sf), board_size=9), "member")
+
+
+@query
+def limit_games(spark, sf):
+    """The cap as a feature: the first 50 games by path."""
+    folder = corpus.file_corpus(spark, sf)
+    return _loaded(sources.read_game_dir(spark, folder, board_size=9, max_games=50), "source")
+
+
+@query
+def write_and_read_games(spark, sf):
+    path = scratch_path(spark, "games")
+    games = records.parse_games(fx.records(spark, sf))
+    sources.write_games(games.select(
+        "game_id", "part", "board_size", "outcome",
+        F.transform("moves", lambda m: board.cell_of(m["row"], m["col"], 19)).alias("cells")), path)
+    back = sources.read_games(spark, path)
+    return back.select("game_id", "part", "board_size", "outcome", text_of("cells").alias("cells"))
+
+
+# --- models ------------------------------------------------------------------------
+
+
+@query
+def pretrain(spark, sf):
+    """Supervised fit on all examples; the report as one row."""
+    _, report = models.pretrain(_examples(spark, sf), N, epochs=3)
+    return spark.createDataFrame([report]).select("epochs", "total_examples", "pretrain_loss")
+
+
+@query
+def write_and_read_run(spark, sf):
+    model, report = models.pretrain(_examples(spark, sf), N, epochs=2)
+    path = scratch_path(spark, "run")
+    sources.write_run(model, {"phase": "pretrain", **report}, path, spark)
+    loaded, metadata = sources.read_run(spark, path)
+    return metadata.withColumn("stages", F.lit(len(loaded.stages)))
+
+
+@query
+def score_with_pipeline(spark, sf):
+    held = _examples(spark, sf)
+    model, _ = models.pretrain(held, N, epochs=2)
+    scored = models.score(held.select("game_id", "ply", "player", "own_cells", "opp_cells"), model, N)
+    return scored.select("game_id", "ply", policy.best_cell(F.col("logits")).alias("best_move"), "value_output")
+
+
+def stone_count_predictor():
+    """Array function standing in for a network: empty points and stone counts."""
+    import numpy as np
+
+    def predict(planes):
+        own, opp, empty = planes[:, 0], planes[:, 8], planes[:, 17]
+        logits = (empty - 0.5 * own - opp).reshape(len(planes), -1).astype("float64")
+        value = np.tanh((own - opp).sum(axis=(1, 2)).astype("float64"))
+        return {"logits": logits, "value": value, "fast_logits": logits[:, ::-1]}
+
+    return predict
+
+
+@query
+def score_with_function(spark, sf):
+    planes = replay.state_planes(replay.positions(fx.moves(spark, sf), N), N).select("game_id", "ply", "planes")
+    scored = models.score_with(planes, stone_count_predictor, N)
+    return scored.select(
+        "game_id", "ply", r6("value").alias("value"), policy.best_cell(F.col("logits")).alias("best_move"),
+        r6(F.aggregate("logits", F.lit(0.0), lambda a, x: a + x)).alias("logit_sum"))
+
+
+# --- streams -----------------------------------------------------------------------
+
+
+@query
+def stream_games(spark, sf):
+    folder, out = corpus.file_corpus(spark, sf), scratch_path(spark, "stream-games")
+    stream = stream_records.stream_games(spark, folder, board_size=9)
+    sinks.write_batches(_loaded(stream, "source"), f"{out}/data", f"{out}/log").awaitTermination()
+    return spark.read.parquet(f"{out}/data").drop("batch_id")
+
+
+@query
+def stream_elo(spark, sf):
+    """Final running rating and tally of each player."""
+    out = scratch_path(spark, "stream-elo")
+    fx.matches(spark, sf).write.parquet(f"{out}/matches")
+    stream = spark.readStream.schema(spark.read.parquet(f"{out}/matches").schema).parquet(f"{out}/matches")
+    rated = stream_ratings.stream_elo(stream)
+    sinks.write_batches(rated, f"{out}/data", f"{out}/log", "update").awaitTermination()
+    last = F.max_by(F.struct("elo", "wins", "losses", "draws", "num_games"), "num_games").alias("last")
+    return spark.read.parquet(f"{out}/data").groupBy("player").agg(last).select("player", "last.*").withColumn(
+        "elo", r6("elo"))
+
+
+@query
+def stream_replay(spark, sf):
+    out = scratch_path(spark, "stream-replay")
+    # a glob works whether the table is one file or a folder of files
+    stream = spark.readStream.schema(fx.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    rows = stream.select(F.col("event_id").alias("seq"), "user_id", "event_type")
+    replay_stream.stream_replay(rows, f"{out}/data", f"{out}/log").awaitTermination()
+    return replay_stream.read_replay(spark, f"{out}/data", 2_500)

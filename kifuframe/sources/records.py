@@ -16,27 +16,23 @@ from kifuframe.operators.records import parse_games
 # File names that are read, in any case.
 RECORD_GLOB = "*.[sS][gG][fF]"
 ARCHIVE_GLOB = "{*.[tT][gG][zZ],*.[tT][aA][rR].[gG][zZ]}"
+REPLACEMENT = "\ufffd"
+NONCHARACTER = "\ufdd0"
 MEMBERS_PER_BATCH = 1_000
 RECORD_SCHEMA = "game_id string, source string, member string, text string"
 
 
 def decode_text(content: Column) -> Column:
     """UTF-8 bytes to text: malformed bytes are dropped, line ends become ``\\n``."""
-    clean = F.try_validate_utf8(content.cast("string"))
-    text = F.coalesce(clean, _drop_bad_bytes(content))
+    raw = content.cast("string")
+    # a replacement character that is really in the text is set aside meanwhile
+    aside = F.replace(raw, F.lit(REPLACEMENT), F.lit(NONCHARACTER))
+    dropped = F.replace(F.make_valid_utf8(aside), F.lit(REPLACEMENT), F.lit(""))
+    repaired = F.replace(dropped, F.lit(NONCHARACTER), F.lit(REPLACEMENT))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(repaired)
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-@F.pandas_udf("string")
-def _decode_ignoring(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", errors="ignore"))
-
-
-def _drop_bad_bytes(content: Column) -> Column:
-    # only malformed files carry bytes into Python; the others pass null
-    return _decode_ignoring(F.when(~F.is_valid_utf8(content.cast("string")), content))
-
-
 def _binary_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame | None:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
