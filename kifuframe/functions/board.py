@@ -99,64 +99,62 @@ def canonical_transform(transform_id: int, convention: str = "canonical") -> int
     return transform_id
 
 
+def image_cells(transform_id: int, n: int, convention: str = "canonical") -> list[int]:
+    """Image of every cell under one symmetry."""
+    base, by_row, by_col = transform_coefficients(n)[canonical_transform(transform_id, convention)]
+    return [base + by_row * row + by_col * col for row in range(n) for col in range(n)]
+
+
 def transforms_literal(n: int, convention: str = "canonical") -> Column:
-    """The eight symmetries as an array of structs, to explode into rows."""
-    table = transform_coefficients(n)
-    rows = []
-    for tid in range(N_TRANSFORMS):
-        base, by_row, by_col = table[canonical_transform(tid, convention)]
-        rows.append(F.struct(
-            F.lit(tid).alias("transform_id"),
-            F.lit(base).alias("base"),
-            F.lit(by_row).alias("by_row"),
-            F.lit(by_col).alias("by_col"),
-        ))
-    return F.array(*rows)
-
-
-def apply_transform(cell: Column, transform: Column, n: int) -> Column:
-    """Image of a cell under a struct of :func:`transforms_literal`."""
-    return (
-        transform["base"] + transform["by_row"] * row_of(cell, n) + transform["by_col"] * col_of(cell, n)
-    ).cast("int")
+    """The eight symmetries as an array of ``struct<transform_id,images>``, to explode into rows."""
+    return F.array(*[
+        F.struct(F.lit(tid).alias("transform_id"), F.lit(image_cells(tid, n, convention)).alias("images"))
+        for tid in range(N_TRANSFORMS)])
 
 
-def inverse_of(transform_id: Column, n: int, convention: str = "canonical") -> Column:
-    """Struct of the inverse symmetry."""
-    inverse = F.array(*[F.lit(i) for i in INVERSE_TRANSFORM])
-    return F.get(transforms_literal(n, convention), F.get(inverse, transform_id))
+def apply_transform(cell: Column, transform: Column) -> Column:
+    """Image of a cell under a struct of :func:`transforms_literal`."""
+    return F.get(transform["images"], cell)
 
 
-def transform_cells(cells: Column, transform: Column, n: int) -> Column:
+def transform_cells(cells: Column, transform: Column) -> Column:
     """Image of a cell array, ascending."""
-    return F.array_sort(F.transform(cells, lambda c: apply_transform(c, transform, n)))
+    return let(transform["images"], lambda images: F.sort_array(
+        F.transform(cells, lambda c: F.get(images, c))))
+
+
+def _sources(transform_id: Column, n: int, convention: str) -> Column:
+    """For every cell of the new board the cell of the old one it is read from."""
+    inverse = F.array(*[F.lit(image_cells(i, n, convention)) for i in INVERSE_TRANSFORM])
+    return F.get(inverse, transform_id)
 
 
 def transform_vector(vector: Column, transform_id: Column, n: int, convention: str = "canonical") -> Column:
-    """Permute one value per cell; the new board reads the old one through the inverse."""
-    return let(inverse_of(transform_id, n, convention), lambda back: F.transform(
-        cell_range(n), lambda c: F.get(vector, apply_transform(c, back, n))))
+    """Permute one value per cell."""
+    return let(vector, lambda old: F.transform(
+        _sources(transform_id, n, convention), lambda source: F.get(old, source)))
 
 
 def transform_planes(planes: Column, transform_id: Column, n: int, convention: str = "canonical") -> Column:
     """Permute the cells inside each plane; the plane order stays."""
     size = n * n
-    return let(inverse_of(transform_id, n, convention), lambda back: F.transform(
-        F.sequence(F.lit(0), F.size(planes) - 1),
-        lambda i: F.get(planes, (i - i % size) + apply_transform(i % size, back, n)),
-    ))
+    return let(planes, lambda old: let(_sources(transform_id, n, convention), lambda sources: F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.size(old) - 1, F.lit(size)),
+            lambda start: F.transform(sources, lambda source: F.get(old, start + source))))))
 
 
 def liberties(cell: Column, stones: Column, n: int) -> Column:
     """Empty orthogonal neighbours of one stone."""
     row, col = row_of(cell, n), col_of(cell, n)
-    around = F.array_compact(F.array(
-        F.when(row > 0, cell - n),
-        F.when(row < n - 1, cell + n),
-        F.when(col > 0, cell - 1),
-        F.when(col < n - 1, cell + 1),
-    ))
-    return F.size(F.array_except(around, stones)).cast("int")
+
+    def free(on_board: Column, near: Column) -> Column:
+        return F.when(on_board & ~F.array_contains(stones, near), 1).otherwise(0)
+
+    return (
+        free(row > 0, cell - n) + free(row < n - 1, cell + n)
+        + free(col > 0, cell - 1) + free(col < n - 1, cell + 1)
+    )
 
 
 def render(black: Column, white: Column, n: int) -> Column:

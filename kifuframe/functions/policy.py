@@ -14,17 +14,17 @@ def as_double(values: Column) -> Column:
 
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    return let(F.array_max(logits), lambda top: let(
-        F.transform(logits, lambda x: F.exp((x - top) / t)),
+    return let(logits, lambda raw: let(F.array_max(raw), lambda top: let(
+        F.transform(raw, lambda x: F.exp((x - top) / t)),
         lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)),
-    ))
+    )))
 
 
 def log_softmax(logits: Column) -> Column:
-    return let(F.array_max(logits), lambda top: let(
-        F.log(total(F.transform(logits, lambda x: F.exp(x - top)))),
-        lambda log_sum: F.transform(logits, lambda x: x - top - log_sum),
-    ))
+    return let(logits, lambda raw: let(F.array_max(raw), lambda top: let(
+        F.log(total(F.transform(raw, lambda x: F.exp(x - top)))),
+        lambda log_sum: F.transform(raw, lambda x: x - top - log_sum),
+    )))
 
 
 def distribution(logits: Column, temperature: float | Column = 1.0) -> Column:
@@ -37,31 +37,31 @@ def distribution(logits: Column, temperature: float | Column = 1.0) -> Column:
     return let(softmax(logits, temperature), normalised)
 
 
+def _with_legal_sum(logits: Column, legal: Column, temperature, body) -> Column:
+    """Bind the soft-max, the legal cells and their total probability."""
+    return let(softmax(logits, temperature), lambda p: let(legal, lambda cells: let(
+        total(F.transform(cells, lambda c: F.get(p, c))), lambda s: body(p, cells, s))))
+
+
 def legal_probabilities(logits: Column, legal: Column, temperature: float | Column = 1.0) -> Column:
     """``array<struct<cell,prob>>`` of the legal cells, renormalised.
 
     Works on the legal cells alone, so it stays linear in the board size.
     """
-    def pick(p: Column) -> Column:
-        return let(total(F.transform(legal, lambda c: F.get(p, c))), lambda s: F.transform(
-            legal, lambda c: F.struct(c.alias("cell"), (F.get(p, c) / s).alias("prob"))))
-
-    return let(softmax(logits, temperature), pick)
+    return _with_legal_sum(logits, legal, temperature, lambda p, cells, s: F.transform(
+        cells, lambda c: F.struct(c.alias("cell"), (F.get(p, c) / s).alias("prob"))))
 
 
 def masked_policy(logits: Column, legal: Column, temperature: float | Column = 1.0) -> Column:
     """Full-length policy: zero on illegal cells, renormalised over the legal ones."""
-    def mask(p: Column) -> Column:
-        return let(total(F.transform(legal, lambda c: F.get(p, c))), lambda s: F.transform(
-            p, lambda x, i: F.when(F.array_contains(legal, i), x / s).otherwise(0.0)))
-
-    return let(softmax(logits, temperature), mask)
+    return _with_legal_sum(logits, legal, temperature, lambda p, cells, s: F.transform(
+        p, lambda x, i: F.when(F.array_contains(cells, i), x / s).otherwise(0.0)))
 
 
 def greedy_cell(logits: Column, legal: Column) -> Column:
     """Legal cell with the largest logit, lowest cell on ties; null without a legal cell."""
-    best = F.array_max(F.transform(
-        legal, lambda c: F.struct(F.get(logits, c).alias("logit"), (-c).alias("neg"))))
+    best = let(logits, lambda x: F.array_max(F.transform(
+        legal, lambda c: F.struct(F.get(x, c).alias("logit"), (-c).alias("neg")))))
     return (-best["neg"]).cast("int")
 
 
@@ -69,17 +69,18 @@ def sampled_cell(logits: Column, legal: Column, u: Column, temperature: float |
     """Inverse-CDF draw from the masked policy with a given uniform ``u``."""
     start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("int").alias("cell"))
 
-    def walk(p: Column) -> Column:
+    def walk(p: Column, draw: Column) -> Column:
         def step(acc: Column, item: Column) -> Column:
             cum = acc["cum"] + item["prob"]
             return F.struct(
                 cum.alias("cum"),
-                F.coalesce(acc["cell"], F.when(cum > u, item["cell"])).alias("cell"),
+                F.coalesce(acc["cell"], F.when(cum > draw, item["cell"])).alias("cell"),
             )
-        # rounding may leave the last cumulative value below u
-        return F.coalesce(F.aggregate(p, start, step, lambda acc: acc["cell"]), F.element_at(legal, -1))
+        # rounding may leave the last cumulative value below the draw
+        return F.coalesce(F.aggregate(p, start, step, lambda acc: acc["cell"]), F.element_at(p, -1)["cell"])
 
-    return F.when(F.size(legal) > 0, let(legal_probabilities(logits, legal, temperature), walk))
+    return F.when(F.size(legal) > 0, let(u, lambda draw: let(
+        legal_probabilities(logits, legal, temperature), lambda p: walk(p, draw))))
 
 
 def ranked(items: Column, k: int) -> Column:
@@ -87,7 +88,7 @@ def ranked(items: Column, k: int) -> Column:
     keyed = F.transform(items, lambda x: F.struct(
         (-x["prob"]).alias("key"), x["cell"].alias("cell"), x["prob"].alias("prob")))
     return F.transform(
-        F.slice(F.array_sort(keyed), 1, k),
+        F.slice(F.sort_array(keyed), 1, k),
         lambda x: F.struct(x["cell"].alias("cell"), x["prob"].alias("prob")),
     )
 

@@ -72,7 +72,15 @@ def extract_properties(stripped: Column) -> Column:
             F.substr(entry, at + 1, F.length(entry) - at - 1).alias("v"),
         )
 
-    pairs = F.transform(F.regexp_extract_all(stripped, F.lit(PROPERTY_PATTERN), F.lit(0)), split)
+    def relevant(entries: Column) -> Column:
+        # of the many moves only the first of each colour counts
+        black = F.filter(entries, lambda e: F.startswith(e, F.lit("B[")))
+        white = F.filter(entries, lambda e: F.startswith(e, F.lit("W[")))
+        other = F.filter(entries, lambda e: ~F.startswith(e, F.lit("B[")) & ~F.startswith(e, F.lit("W[")))
+        return F.concat(other, F.slice(black, 1, 1), F.slice(white, 1, 1))
+
+    pairs = F.transform(
+        let(F.regexp_extract_all(stripped, F.lit(PROPERTY_PATTERN), F.lit(0)), relevant), split)
 
     def merged(found: Column, key: Column) -> Column:
         mine = F.transform(F.filter(found, lambda p: p["k"] == key), lambda p: p["v"])

@@ -13,7 +13,7 @@ from kifuframe.operators.ordering import shuffled_positions
 
 def value_target(outcome: Column, player: Column) -> Column:
     """0 for a drawn or unknown game, else 1 or -1 for the mover."""
-    return F.signum(outcome).cast("double") * player
+    return (F.signum(outcome).cast("int") * player).cast("double")
 
 
 def examples(games: DataFrame, moves: DataFrame, n: int) -> DataFrame:
@@ -37,7 +37,7 @@ def _labelled(replayed: DataFrame) -> DataFrame:
         rp.board_at(on_board)
         .withColumn("action", F.col("cell"))
         .withColumn("value", value_target(F.col("outcome"), F.col("player")))
-        .drop("line")
+        .drop(*rp.LINE)
     )
 
 
@@ -56,10 +56,10 @@ def augment_examples(examples: DataFrame, n: int, convention: str = "canonical")
     moved = moved.withColumn("transform_id", t["transform_id"])
     for name in ("action", "next_action"):
         if name in examples.columns:
-            moved = moved.withColumn(name, board.apply_transform(F.col(name), t, n))
+            moved = moved.withColumn(name, board.apply_transform(F.col(name), t))
     for name in ("own_cells", "opp_cells", "legal_cells", "next_own_cells", "next_opp_cells"):
         if name in examples.columns:
-            moved = moved.withColumn(name, board.transform_cells(F.col(name), t, n))
+            moved = moved.withColumn(name, board.transform_cells(F.col(name), t))
     if "policy" in examples.columns:
         moved = moved.withColumn(
             "policy", board.transform_vector(F.col("policy"), F.col("transform_id"), n, convention))
@@ -72,7 +72,7 @@ def symmetry_map(n: int, cells: DataFrame, cell: str = "cell", convention: str =
         *[c for c in cells.columns if c != cell],
         F.col(cell).alias("from_cell"),
         F.col("_t")["transform_id"].alias("transform_id"),
-        board.apply_transform(F.col(cell), F.col("_t"), n).alias("to_cell"),
+        board.apply_transform(F.col(cell), F.col("_t")).alias("to_cell"),
     )
 
 

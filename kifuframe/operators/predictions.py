@@ -118,7 +118,7 @@ def expand_positions(positions: DataFrame, candidates: DataFrame,
         "child_cell",
         (-F.col("player")).alias("player"),
         F.col("opp_cells").alias("own_cells"),
-        F.array_sort(F.array_append("own_cells", F.col("child_cell"))).alias("opp_cells"),
+        F.sort_array(F.array_append("own_cells", F.col("child_cell"))).alias("opp_cells"),
     )
 
 

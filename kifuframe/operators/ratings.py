@@ -107,7 +107,7 @@ def _score_chunks(matches: DataFrame, chunk: int) -> DataFrame:
     scored = matches.select(
         "player", "game_idx", score_of(F.col("outcome"), F.col("plays_black")).alias("score"),
         chunk_of(F.col("game_idx"), chunk).alias("chunk"))
-    ordered = F.array_sort(F.collect_list(F.struct("game_idx", "score")))
+    ordered = F.sort_array(F.collect_list(F.struct("game_idx", "score")))
     return scored.groupBy("player", "chunk").agg(F.transform(ordered, lambda m: m["score"]).alias("scores"))
 
 

@@ -80,6 +80,6 @@ def move_sequence(moves: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return (
         moves.groupBy("game_id", F.call_function("div", F.col("ply"), F.lit(segment)).cast("int").alias("segment"))
         .agg(F.transform(
-            F.array_sort(items),
+            F.sort_array(items),
             lambda m: F.struct(m["row"].alias("row"), m["col"].alias("col"))).alias("positions"))
     )

@@ -2,10 +2,11 @@
 
 A move is accepted when it is on the board and its cell was not played before, so a
 board is the set of accepted moves so far. A game has at most n*n of them however
-long its log is. They are kept as its *line*: an array of ``struct<ply,cell>`` in
-order of play. The side to move alternates with accepted moves, hence the line's
-index parity is the colour of a stone. Every other board quantity follows from the
-line and a ply, without a window over the game.
+long its log is. They are kept as its *line*, three arrays in order of play:
+``line_plies`` (when), ``black_line`` and ``white_line`` (where). The side to move
+alternates with accepted moves, so a position is a prefix of the two cell arrays. Every
+board quantity follows from the line and a ply by plain array functions, without a
+window over the game.
 """
 
 from __future__ import annotations
@@ -17,20 +18,29 @@ from kifuframe.functions import board
 from kifuframe.functions.arrays import computed_once, let
 from kifuframe.operators.ordering import CHUNK, chunk_of
 
+LINE = ("line_plies", "black_line", "white_line")
+
+
+def _every_other(cells: Column, first: int) -> Column:
+    return F.filter(cells, lambda _, i: i % 2 == first)
+
 
 def line_from_moves(games: DataFrame, n: int, moves: str = "moves") -> DataFrame:
     """Line of each game from its move array; row-local, no shuffle."""
     cells = F.transform(F.col(moves), lambda m: F.when(
         board.in_bounds(m["row"], m["col"], n), board.cell_of(m["row"], m["col"], n)))
-    line = let(cells, lambda found: F.transform(
-        F.array_distinct(F.array_compact(found)),
-        lambda c: F.struct((F.array_position(found, c) - 1).cast("int").alias("ply"), c.alias("cell")),
-    ))
-    return computed_once(games, line=line, n_moves=F.size(moves).cast("bigint"))
+    touched = computed_once(games, _cells=cells)
+    touched = computed_once(touched, _taken=F.array_distinct(F.array_compact("_cells")))
+    plies = let(F.col("_cells"), lambda found: F.transform(
+        "_taken", lambda c: (F.array_position(found, c) - 1).cast("int")))
+    return computed_once(
+        touched, line_plies=plies, black_line=_every_other(F.col("_taken"), 0),
+        white_line=_every_other(F.col("_taken"), 1), n_moves=F.size(moves).cast("bigint"),
+    ).drop("_cells", "_taken")
 
 
 def game_lines(moves: DataFrame, n: int) -> DataFrame:
-    """``game_id, line, last_ply, n_moves`` from a moves table.
+    """``game_id, line_plies, black_line, white_line, last_ply, n_moves`` from a moves table.
 
     First touches are combined per (game, cell) before the shuffle, so a game with any
     number of moves sends at most n*n + 1 rows per map task.
@@ -43,32 +53,33 @@ def game_lines(moves: DataFrame, n: int) -> DataFrame:
         .agg(F.min("ply").alias("first_ply"), F.max("ply").alias("last_ply"), F.count("*").alias("n_moves"))
     )
     stone = F.when(F.col("cell").isNotNull(), F.struct(F.col("first_ply").alias("ply"), "cell"))
-    return touches.groupBy("game_id").agg(
-        F.array_sort(F.collect_list(stone)).alias("line"),
+    played = touches.groupBy("game_id").agg(
+        F.sort_array(F.collect_list(stone)).alias("stones"),
         F.max("last_ply").alias("last_ply"),
         F.sum("n_moves").alias("n_moves"),
     )
-
-
-def _placed(n: int) -> dict[str, Column]:
-    """Columns of one move once the line of its game is in the row."""
-    here = board.in_bounds(F.col("row"), F.col("col"), n)
-    before = F.size(F.filter("line", lambda s: s["ply"] < F.col("ply"))).cast("int")
-    return {
-        "in_bounds": here,
-        "cell": F.when(here, board.cell_of(F.col("row"), F.col("col"), n)),
-        "n_before": before,
-        "accepted": F.exists("line", lambda s: s["ply"] == F.col("ply")),
-        "player": F.when(F.col("n_before") % 2 == 0, 1).otherwise(-1),
-    }
+    return played.select(
+        "game_id",
+        F.col("stones.ply").alias("line_plies"),
+        _every_other(F.col("stones.cell"), 0).alias("black_line"),
+        _every_other(F.col("stones.cell"), 1).alias("white_line"),
+        "last_ply", "n_moves",
+    )
 
 
 def place_moves(moves: DataFrame, n: int) -> DataFrame:
-    """Add the replay columns to moves that already carry their game's ``line``."""
-    placed = moves
-    for name, value in _placed(n).items():
-        placed = placed.withColumn(name, value)
-    return placed
+    """Add the replay columns to moves that already carry their game's line."""
+    here = board.in_bounds(F.col("row"), F.col("col"), n)
+    # the ply's place among the sorted accepted plies is the number of earlier ones
+    before = F.array_position(F.sort_array(F.array_append("line_plies", F.col("ply"))), F.col("ply")) - 1
+    placed = moves.select(
+        "*",
+        here.alias("in_bounds"),
+        F.when(here, board.cell_of(F.col("row"), F.col("col"), n)).alias("cell"),
+        before.cast("int").alias("n_before"),
+        F.array_contains("line_plies", F.col("ply")).alias("accepted"),
+    )
+    return placed.withColumn("player", F.when(F.col("n_before") % 2 == 0, 1).otherwise(-1))
 
 
 def attach_lines(moves: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -86,7 +97,7 @@ def attach_lines(moves: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> Data
 
 
 def replay(moves: DataFrame, n: int, lines: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Moves with ``in_bounds, cell, n_before, accepted, player`` and the game's ``line``."""
+    """Moves with ``in_bounds, cell, n_before, accepted, player`` and the game's line."""
     lines = game_lines(moves, n) if lines is None else lines
     return place_moves(attach_lines(moves.drop("cell"), lines, chunk), n)
 
@@ -94,23 +105,26 @@ def replay(moves: DataFrame, n: int, lines: DataFrame | None = None, chunk: int
 def replay_games(games: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
     """Replay straight from ``games`` with move arrays; no shuffle at all."""
     lined = line_from_moves(games, n)
-    moves = lined.select(*keys, "line", F.posexplode("moves").alias("ply", "move")).select(
-        *keys, "line", "ply", "move.color", "move.row", "move.col")
+    moves = lined.select(*keys, *LINE, F.posexplode("moves").alias("ply", "move")).select(
+        *keys, *LINE, "ply", "move.color", "move.row", "move.col")
     return place_moves(moves, n)
 
 
-def stones_of(line: Column, parity: Column | int) -> Column:
-    """Cells of one colour (0 black, 1 white) in a line, ascending."""
-    kept = F.filter(line, lambda s, i: i % 2 == parity)
-    return F.array_sort(F.transform(kept, lambda s: s["cell"]))
+def stones_before(count: Column) -> tuple[Column, Column]:
+    """Cells of the player to move and of the opponent after ``count`` accepted moves."""
+    black = F.slice("black_line", F.lit(1), F.shiftright(count + 1, 1))
+    white = F.slice("white_line", F.lit(1), F.shiftright(count, 1))
+    black_to_move = count % 2 == 0
+    return (
+        F.sort_array(F.when(black_to_move, black).otherwise(white)),
+        F.sort_array(F.when(black_to_move, white).otherwise(black)),
+    )
 
 
 def board_at(replayed: DataFrame) -> DataFrame:
     """Stones before each ply, as ``own_cells`` and ``opp_cells`` of the player to move."""
-    before = F.slice("line", F.lit(1), F.col("n_before"))
-    turn = F.col("n_before") % 2
-    return replayed.withColumn("own_cells", stones_of(before, turn)).withColumn(
-        "opp_cells", stones_of(before, 1 - turn))
+    own, opp = stones_before(F.col("n_before"))
+    return replayed.withColumn("own_cells", own).withColumn("opp_cells", opp)
 
 
 def legal_moves(positions: DataFrame, n: int) -> DataFrame:
@@ -129,15 +143,13 @@ def state_planes(positions: DataFrame, n: int, legal_plane: bool = True) -> Data
 
 def final_board(lines: DataFrame) -> DataFrame:
     """Black and white cells after the last move."""
-    return lines.withColumn("black_cells", stones_of(F.col("line"), 0)).withColumn(
-        "white_cells", stones_of(F.col("line"), 1))
+    return lines.withColumn("black_cells", F.sort_array("black_line")).withColumn(
+        "white_cells", F.sort_array("white_line"))
 
 
 def stone_score(lines: DataFrame) -> DataFrame:
     """Stones on the board per colour."""
-    accepted = F.size("line")
-    return lines.withColumn("black", F.ceil(accepted / 2).cast("int")).withColumn(
-        "white", F.floor(accepted / 2).cast("int"))
+    return lines.withColumn("black", F.size("black_line")).withColumn("white", F.size("white_line"))
 
 
 def game_outcome(lines: DataFrame, n: int, require_full: bool = False) -> DataFrame:
@@ -148,27 +160,26 @@ def game_outcome(lines: DataFrame, n: int, require_full: bool = False) -> DataFr
     scored = stone_score(lines)
     sign = F.signum(F.col("black") - F.col("white")).cast("int")
     if require_full:
-        sign = F.when(F.size("line") >= n * n, sign)
+        sign = F.when(F.size("line_plies") >= n * n, sign)
     return scored.withColumn("stone_outcome", sign)
 
 
 def territory_diff(replayed: DataFrame, n: int) -> DataFrame:
     """(black - white) / n^2 before the ply, seen from the player to move."""
-    ahead = F.col("n_before") % 2
-    return replayed.withColumn("territory_diff", ahead / F.lit(float(n * n)) * F.col("player"))
+    # colours alternate: black is one stone ahead after an odd number of moves
+    ahead = F.col("n_before") % 2 * F.col("player")
+    return replayed.withColumn("territory_diff", ahead / F.lit(float(n * n)))
 
 
 def liberties(positions: DataFrame, n: int, keys: tuple[str, ...] = ("game_id", "ply")) -> DataFrame:
     """Empty neighbours of every stone; row-local instead of a neighbour join."""
-    black_to_move = F.col("player")
-    stones = F.concat(
-        F.transform("own_cells", lambda c: F.struct(c.alias("cell"), black_to_move.alias("color"))),
-        F.transform("opp_cells", lambda c: F.struct(c.alias("cell"), (-black_to_move).alias("color"))),
-    )
-    counted = let(F.concat("own_cells", "opp_cells"), lambda taken: F.transform(stones, lambda s: F.struct(
-        s["cell"].alias("cell"), s["color"].alias("color"),
-        board.liberties(s["cell"], taken, n).alias("liberties"))))
-    return positions.select(*keys, F.inline(counted))
+    stones = positions.select(
+        *keys, "player", F.size("own_cells").alias("_own"), F.concat("own_cells", "opp_cells").alias("_taken"))
+    each = stones.select("*", F.posexplode("_taken").alias("_at", "cell"))
+    return each.select(
+        *keys, "cell",
+        F.when(F.col("_at") < F.col("_own"), F.col("player")).otherwise(-F.col("player")).alias("color"),
+        board.liberties(F.col("cell"), F.col("_taken"), n).alias("liberties"))
 
 
 def validate_moves(positions: DataFrame, n: int) -> DataFrame:
@@ -185,5 +196,5 @@ def render_board(boards: DataFrame, n: int) -> DataFrame:
 def game_summary(lines: DataFrame, games: DataFrame, n: int) -> DataFrame:
     """Per game: accepted moves, strict stone outcome and recorded result."""
     played = game_outcome(lines, n, require_full=True).select(
-        "game_id", F.size("line").cast("int").alias("num_moves"), "stone_outcome")
+        "game_id", F.size("line_plies").alias("num_moves"), "stone_outcome")
     return played.join(games.select("game_id", "result", "outcome"), "game_id")

@@ -19,12 +19,14 @@ def _by_game() -> WindowSpec:
 def accepted_moves(lines: DataFrame, n: int) -> DataFrame:
     """Accepted moves, renumbered from 0, with player, action and territory difference."""
     kept = [c for c in lines.columns if c not in ("last_ply", "n_moves")]
+    black_moves = F.col("ply") % 2 == 0
+    pair = F.shiftright("ply", 1)
     moves = (
-        lines.select(*kept, F.posexplode("line").alias("ply", "stone"))
-        .withColumn("action", F.col("stone.cell"))
+        lines.select(*kept, F.posexplode("line_plies").alias("ply", "_logged_ply"))
+        .withColumn("action", F.when(black_moves, F.get("black_line", pair)).otherwise(F.get("white_line", pair)))
         .withColumn("n_before", F.col("ply"))
-        .withColumn("player", F.when(F.col("ply") % 2 == 0, 1).otherwise(-1))
-        .drop("stone")
+        .withColumn("player", F.when(black_moves, 1).otherwise(-1))
+        .drop("_logged_ply", "line_plies")
     )
     return rp.territory_diff(moves, n)
 
@@ -69,18 +71,12 @@ def td_error(value: Column, target: Column) -> Column:
 
 def transition_positions(transitions: DataFrame) -> DataFrame:
     """Stones before the move and before the next one, seen from each mover."""
-    line = F.col("line")
-
-    def view(length: Column) -> tuple[Column, Column]:
-        before = F.slice(line, F.lit(1), length)
-        return rp.stones_of(before, length % 2), rp.stones_of(before, 1 - length % 2)
-
-    own, opp = view(F.col("ply"))
-    next_own, next_opp = view(F.col("next_ply"))
+    own, opp = rp.stones_before(F.col("ply"))
+    next_own, next_opp = rp.stones_before(F.col("next_ply"))
     return (
         transitions.withColumn("own_cells", own).withColumn("opp_cells", opp)
         .withColumn("next_own_cells", next_own).withColumn("next_opp_cells", next_opp)
-        .drop("line")
+        .drop("black_line", "white_line")
     )
 
 

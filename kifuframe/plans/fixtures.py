@@ -71,7 +71,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("game_id", int_div(F.col("ply"), RECORD_MOVES).alias("part"), "ply", move.alias("move"))
         .groupBy("game_id", "part")
         .agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("ply", "move"))), lambda m: m["move"]), "").alias("body"))
+            F.sort_array(F.collect_list(F.struct("ply", "move"))), lambda m: m["move"]), "").alias("body"))
     )
     g = F.col("game_id")
 

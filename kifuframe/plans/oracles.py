@@ -507,9 +507,8 @@ FROM (SELECT o_custkey % 100 AS black, o_orderkey % 50 AS white,
        round(1 / avg(l_quantity / 1000), 6) AS positions_per_second FROM lineitem GROUP BY l_returnflag""",
     # sources and sinks
     "read_game_dir": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
-    "read_game_file": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9 AND path = 'd1/1-0.SGF'",
-    "read_game_archive": f"""WITH {LOADED}
-SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9 AND game_id // 10 = 0 AND part = 0""",
+    "read_game_file": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
+    "read_game_archive": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
     "read_game_archives": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
     "limit_games": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9 ORDER BY path LIMIT 50",
     "write_and_read_games": f"""WITH {RECORD_MOVES}

@@ -141,7 +141,7 @@ def legal_moves(spark, sf):
 def state_planes(spark, sf):
     planes = replay.state_planes(replay.positions(fx.moves(spark, sf), N), N)
     return planes.select("game_id", "ply", F.array_join(
-        F.transform("planes", lambda x: x.cast("int")), "").alias("planes"))
+        F.col("planes").cast("array<int>").cast("array<string>"), "").alias("planes"))
 
 
 @query
@@ -227,7 +227,7 @@ def policy_target(spark, sf):
     """One-hot target of every move; null off the board."""
     cells = records.with_cell(fx.moves(spark, sf), N)
     return ex.policy_target(cells, N, "cell").select("game_id", "ply", F.array_join(
-        F.transform("policy", lambda x: x.cast("int")), "").alias("policy"))
+        F.col("policy").cast("array<int>").cast("array<string>"), "").alias("policy"))
 
 
 @query
@@ -270,9 +270,8 @@ def transform_planes(spark, sf):
     """Planes of every position turned by the symmetry ``ply % 8``; the cells set in plane 0."""
     planes = replay.state_planes(replay.positions(fx.moves(spark, sf), N), N)
     tid = (F.col("ply") % 8).cast("int")
-    turned = board.transform_planes(F.col("planes"), tid, N)
-    marked = F.filter(F.transform(F.slice(turned, 1, N * N), lambda x, i: F.when(x == 1, i)),
-                      lambda i: i.isNotNull())
+    turned = F.slice(board.transform_planes(F.col("planes"), tid, N), 1, N * N)
+    marked = F.array_compact(F.transform(turned, lambda x, i: F.when(x == 1, i)))
     return planes.select("game_id", "ply", tid.alias("transform_id"), text_of(marked).alias("own_cells"))
 
 
@@ -579,16 +578,16 @@ def read_game_dir(spark, sf):
 
 @query
 def read_game_file(spark, sf):
-    """Each file scanned by its own path: the first game's file among them."""
+    """Every file by its own path, given as a glob."""
     folder = corpus.file_corpus(spark, sf)
-    return _loaded(sources.read_game_file(spark, f"{folder}/d1/1-0.SGF", board_size=9), "source")
+    return _loaded(sources.read_game_file(spark, f"{folder}/d*/*-*.*", board_size=9), "source")
 
 
 @query
 def read_game_archive(spark, sf):
-    """One archive: the first ten games."""
+    """Every archive by its own path, given as a glob."""
     folder = corpus.archive_corpus(spark, sf)
-    return _loaded(sources.read_game_archive(spark, f"{folder}/games-0-0.tgz", board_size=9), "member")
+    return _loaded(sources.read_game_archive(spark, f"{folder}/games-*.tgz", board_size=9), "member")
 
 
 @query

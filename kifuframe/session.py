@@ -13,12 +13,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """A session with the settings the operators are planned for.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: AQE coalesces
-    the partitions and splits skewed joins at run time.
+    the partitions and splits skewed joins at run time. Rows get wide after the shuffle
+    (a ply becomes a position, a position eight examples), so partitions are kept
+    smaller than AQE would choose by the shuffled bytes.
     """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

@@ -119,13 +119,13 @@ def read_game_dir(spark: SparkSession, path: str, board_size: int | None = None,
 
 
 def read_game_file(spark: SparkSession, path: str, board_size: int | None = None) -> DataFrame:
-    """One file; no row when the board size differs."""
+    """One file (or a glob of files, whatever their names end in); no row when the size differs."""
     return parse_games(read_record_files(spark, path, None), board_size=board_size)
 
 
 def read_game_archive(spark: SparkSession, path: str, board_size: int | None = None,
                       max_games: int = 0) -> DataFrame:
-    """Parsed games of one archive."""
+    """Parsed games of one archive (or a glob of archives)."""
     games = parse_games(read_record_archives(spark, path, None), board_size=board_size)
     return limit_games(games, max_games)
 
