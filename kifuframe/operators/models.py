@@ -37,8 +37,10 @@ def pretrain(examples: DataFrame, n: int, epochs: int = 10, reg: float = 1e-4) -
 
     Gradients are summed in the executors; the driver keeps the coefficients only.
     """
-    data = board_features(examples, n).withColumn("action", F.col("action").cast("double")).select(
-        "features", "action", "value")
+    # the label metadata fixes one class per cell, played or not
+    classes = {"ml_attr": {"type": "nominal", "num_vals": n * n}}
+    data = board_features(examples, n).select(
+        "features", F.col("action").cast("double").alias("action", metadata=classes), "value")
     policy = LogisticRegression(
         labelCol="action", featuresCol="features", family="multinomial", maxIter=epochs, regParam=reg,
         predictionCol="policy_move", rawPredictionCol="policy_raw", probabilityCol="policy_probability")

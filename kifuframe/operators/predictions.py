@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kifuframe.functions import board, policy
@@ -44,13 +44,17 @@ def _explode_ranked(df: DataFrame, keys: Sequence[str], items) -> DataFrame:
         *keys, (F.col("rank") + 1).alias("rank"), "item.cell", "item.prob")
 
 
+def candidate_array(k: int, temperature: float = 1.0, logits: str = "logits", legal: str = "legal") -> Column:
+    """First ``k`` legal cells by unmasked probability, as ``array<struct<cell,prob>>``."""
+    return let(policy.softmax(F.col(logits), temperature), lambda p: policy.ranked(
+        F.transform(legal, lambda c: F.struct(c.alias("cell"), F.get(p, c).alias("prob"))), k))
+
+
 def candidate_moves(df: DataFrame, k: int = 5, temperature: float = 1.0,
                     keys: Sequence[str] = ("position_id",), logits: str = "logits",
                     legal: str = "legal") -> DataFrame:
-    """First ``k`` legal cells by unmasked probability."""
-    items = let(policy.softmax(F.col(logits), temperature), lambda p: policy.ranked(
-        F.transform(legal, lambda c: F.struct(c.alias("cell"), F.get(p, c).alias("prob"))), k))
-    return _explode_ranked(df, keys, items)
+    """First ``k`` legal cells by unmasked probability, one row each."""
+    return _explode_ranked(df, keys, candidate_array(k, temperature, logits, legal))
 
 
 def suggest_moves(df: DataFrame, n: int, k: int = 5, temperature: float = 1.0,
@@ -76,21 +80,23 @@ def blend_select(df: DataFrame, next_values: DataFrame, k: int = 5, temperature:
     not negated. Falls back to the first legal cell, or 0 when none is left.
     """
     top = policy.ranked(policy.indexed(policy.softmax(F.col("logits"), temperature)), k)
-    base = df.select("position_id", "legal", top.alias("top"))
-    tried = (
-        base.select("position_id", "legal", F.posexplode("top").alias("rank", "item"))
-        .where(F.array_contains("legal", F.col("item.cell")))
-        .select("position_id", "rank", "item.cell", "item.prob")
-        .join(next_values, ["position_id", "cell"])
-    )
-    score = POLICY_SHARE * F.col("prob") + VALUE_SHARE * F.col("next_value")
-    best = tried.groupBy("position_id").agg(
-        F.max(F.struct(score.alias("score"), (-F.col("rank")).alias("first"), "cell")).alias("best"))
     fallback = F.coalesce(F.get("legal", F.lit(0)), F.lit(0))
-    return base.join(best, "position_id", "left").select(
+    tried = df.select(
+        "position_id", fallback.alias("_fallback"), "legal", F.posexplode(top).alias("_rank", "_item"),
+    ).select(
+        "position_id", "_fallback", "_rank", F.col("_item.cell").alias("cell"), F.col("_item.prob").alias("_prob"),
+        F.array_contains("legal", F.col("_item.cell")).alias("_legal"))
+    # illegal candidates stay, without a score, so that no second join brings the fallback back
+    scored = tried.join(next_values.select("position_id", "cell", "next_value"), ["position_id", "cell"], "left")
+    score = POLICY_SHARE * F.col("_prob") + VALUE_SHARE * F.col("next_value")
+    usable = F.when(F.col("_legal") & score.isNotNull(), F.struct(
+        score.alias("score"), (-F.col("_rank")).alias("first"), "cell"))
+    return scored.groupBy("position_id").agg(
+        F.max(usable).alias("_best"), F.max("_fallback").alias("_fallback"),
+    ).select(
         "position_id",
-        F.coalesce(F.col("best.cell"), fallback).cast("int").alias("move"),
-        F.col("best.score").alias("score"),
+        F.coalesce(F.col("_best.cell"), F.col("_fallback")).cast("int").alias("move"),
+        F.col("_best.score").alias("score"),
     )
 
 
@@ -109,10 +115,18 @@ def compare_heads(df: DataFrame, n: int, k: int = 5) -> DataFrame:
         df.select("position_id", F.inline(heads)), n, k, keys=("position_id", "head"), logits="head_logits")
 
 
-def expand_positions(positions: DataFrame, candidates: DataFrame,
+def expand_positions(positions: DataFrame, candidates: DataFrame | Column,
                      keys: Sequence[str] = ("game_id", "ply")) -> DataFrame:
-    """One-ply children: the mover's stone is placed and the sides change."""
-    children = positions.join(candidates.select(*keys, F.col("cell").alias("child_cell")), list(keys))
+    """One-ply children: the mover's stone is placed and the sides change.
+
+    ``candidates`` is a table with ``keys`` and ``cell``, joined to the positions, or an
+    array column of the positions (:func:`candidate_array`), which needs no join.
+    """
+    if isinstance(candidates, DataFrame):
+        children = positions.join(candidates.select(*keys, F.col("cell").alias("child_cell")), list(keys))
+    else:
+        children = positions.select("*", F.explode(candidates).alias("_item")).withColumn(
+            "child_cell", F.col("_item.cell"))
     return children.select(
         *keys,
         "child_cell",

@@ -437,8 +437,8 @@ def expand_positions(spark, sf):
     """Children of every position under the first three cells of a flat policy."""
     held = replay.positions(fx.moves(spark, sf), N)
     flat = held.withColumn("logits", F.array_repeat(F.lit(0.0), N * N))
-    tried = predictions.candidate_moves(flat, 3, keys=("game_id", "ply"), legal="legal_cells")
-    return predictions.expand_positions(held, tried).select(
+    tried = predictions.candidate_array(3, legal="legal_cells")
+    return predictions.expand_positions(flat, tried).select(
         "game_id", "ply", "child_cell", "player",
         text_of("own_cells").alias("own_cells"), text_of("opp_cells").alias("opp_cells"))
 
