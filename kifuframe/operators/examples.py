@@ -78,7 +78,11 @@ def symmetry_map(n: int, cells: DataFrame, cell: str = "cell", convention: str =
 
 def epoch_batches(examples: DataFrame, batch_size: int, seed: int, epochs: int,
                   keys: tuple[str, ...] = ("game_id", "ply"), bits: int = 16) -> DataFrame:
-    """Shuffled fixed-size batches per epoch; the last batch of an epoch may be short."""
+    """Shuffled fixed-size batches per epoch; the last batch of an epoch may be short.
+
+    The examples are read twice, for the bucket sizes and for the rows, so pass a stored
+    table rather than a long derivation.
+    """
     drawn = (
         examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         .withColumn("_draw", keyed_u32(F.lit(seed) + F.col("epoch"), *[F.col(k) for k in keys]))

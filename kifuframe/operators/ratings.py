@@ -6,12 +6,14 @@ won), 0 (drawn) or null (unfinished).
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kifuframe.functions.arrays import computed_once
 from kifuframe.operators.ordering import CHUNK, chunk_of, running_sums
 
 # Fixed values.
@@ -111,43 +113,49 @@ def _score_chunks(matches: DataFrame, chunk: int) -> DataFrame:
     return scored.groupBy("player", "chunk").agg(F.transform(ordered, lambda m: m["score"]).alias("scores"))
 
 
-def _chunk_starts(chunks: DataFrame, long_players: DataFrame, initial: float, opponent: float,
-                  k: float) -> DataFrame:
-    """Rating at the start of each chunk, for players with more than one chunk.
+def _chunk_starts(chunks: DataFrame, initial: float, opponent: float, k: float, chunk: int) -> DataFrame:
+    """Rating at the start of each chunk after a player's first one.
 
     The rating after a game grows with the rating before it and the difference of two
     ratings shrinks with every game. Folding a chunk from a rating below and from one
     above every reachable rating therefore brackets the true result. When both
     meet, the chunk *settles*: its end does not depend on its start, and all chunks are
     folded in parallel. Chunks that do not settle (nothing but wins, or but losses)
-    keep their scores and are folded from the rating carried over, in order.
+    keep their scores, one score and a count where all are equal, and are folded from
+    the rating carried over, in order.
+
+    Only full chunks have a successor. Their folds run where the chunks are; a settled
+    chunk sends three numbers to its player's task.
     """
     low = F.lit(min(initial, opponent) - RATING_SPAN)
     high = F.lit(max(initial, opponent) + RATING_SPAN)
-    bracketed = (
-        chunks.join(long_players, "player", "left_semi")
-        .withColumn("_low", _fold(F.col("scores"), low, opponent, k))
-        .withColumn("_high", _fold(F.col("scores"), high, opponent, k))
-        .withColumn("_settled", F.col("_high") - F.col("_low") < SETTLED_GAP)
-        .select("player", "chunk", F.when(F.col("_settled"), F.col("_high")).alias("end"),
-                F.when(~F.col("_settled"), F.col("scores")).alias("scores"))
+    settled = F.col("_high") - F.col("_low") < SETTLED_GAP
+    even = F.array_min("scores") == F.array_max("scores")
+    ends = (
+        computed_once(
+            chunks.where(F.size("scores") == chunk),
+            _low=_fold(F.col("scores"), low, opponent, k), _high=_fold(F.col("scores"), high, opponent, k))
+        .select(
+            "player", "chunk", F.when(settled, F.col("_high")).alias("end"),
+            F.when(~settled, F.when(even, F.slice("scores", 1, 1)).otherwise(F.col("scores"))).alias("scores"),
+            F.when(even, F.size("scores")).otherwise(1).alias("times"))
     )
-    ordered = bracketed.repartition("player").sortWithinPartitions("player", "chunk")
+    ordered = ends.repartition("player").sortWithinPartitions("player", "chunk")
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         player, rating = None, initial
         for batch in batches:
-            starts = []
-            for who, end, scores in zip(batch["player"], batch["end"], batch["scores"]):
+            after = []
+            for who, end, scores, times in zip(batch["player"], batch["end"], batch["scores"], batch["times"]):
                 if who != player:
                     player, rating = who, initial
-                starts.append(rating)
                 if scores is None:
                     rating = end
                 else:
-                    for score in scores:
+                    for score in itertools.chain.from_iterable(itertools.repeat(scores, times)):
                         rating += k * (score - 1.0 / (1.0 + 10.0 ** ((opponent - rating) / ELO_SCALE)))
-            yield pd.DataFrame({"player": batch["player"], "chunk": batch["chunk"], "start": starts})
+                after.append(rating)
+            yield pd.DataFrame({"player": batch["player"], "chunk": batch["chunk"] + 1, "start": after})
 
     kind = chunks.schema["player"].dataType.simpleString()
     return ordered.mapInPandas(carry, f"player {kind}, chunk bigint, start double")
@@ -157,8 +165,7 @@ def _started_chunks(matches: DataFrame, initial: float, opponent: float, k: floa
                     chunk: int) -> DataFrame:
     """Score chunks with the rating each one starts from."""
     chunks = _score_chunks(matches, chunk)
-    long_players = matches.where(F.col("game_idx") >= chunk).select("player").distinct()
-    starts = _chunk_starts(chunks, long_players, initial, opponent, k)
+    starts = _chunk_starts(chunks, initial, opponent, k, chunk)
     return chunks.join(starts, ["player", "chunk"], "left").withColumn(
         "start", F.coalesce(F.col("start"), F.lit(initial)))
 

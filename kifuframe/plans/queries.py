@@ -238,7 +238,10 @@ def value_target(spark, sf):
 
 @query
 def epoch_batches(spark, sf):
-    return ex.epoch_batches(_examples(spark, sf).select("game_id", "ply", "action"), 256, SEED, 2).select(
+    """Batches of two epochs over stored examples; every epoch reads them again."""
+    path = scratch_path(spark, "examples")
+    _examples(spark, sf).select("game_id", "ply", "action", "value").write.parquet(path)
+    return ex.epoch_batches(spark.read.parquet(path), 256, SEED, 2).select(
         "epoch", "batch", "slot", "game_id", "ply")
 
 

@@ -23,6 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # hash joins instead of sorts, but only where AQE has seen the build side to be small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "32m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
