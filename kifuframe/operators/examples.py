@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kifuframe.functions import board, policy
+from kifuframe.functions.arrays import let
 from kifuframe.functions.keyed_random import keyed_u32
 from kifuframe.operators import replay as rp
 from kifuframe.operators.ordering import shuffled_positions
@@ -41,6 +42,36 @@ def _labelled(replayed: DataFrame) -> DataFrame:
     )
 
 
+def turned_lines(lines: DataFrame, n: int, convention: str = "canonical") -> DataFrame:
+    """Eight rows per game: its line under each symmetry, and the ``images`` of all cells."""
+    turned = lines.select("*", F.inline(board.transforms_literal(n, convention)))
+    for name in ("black_line", "white_line"):
+        turned = turned.withColumn(name, let(F.col("images"), lambda images: F.transform(
+            name, lambda c: F.get(images, c))))
+    return turned
+
+
+def augmented_examples(games: DataFrame, moves: DataFrame, n: int, convention: str = "canonical") -> DataFrame:
+    """The result of ``augment_examples(examples(...))``, with the symmetries applied per game.
+
+    A turned position is a prefix of a turned line, so cells are mapped once per game and
+    symmetry instead of once per position.
+    """
+    lines = rp.game_lines(moves, n).join(games.select("game_id", "outcome"), "game_id")
+    return _turned_back(_labelled(rp.replay(moves, n, turned_lines(lines, n, convention))))
+
+
+def augmented_examples_from_games(games: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",),
+                                  convention: str = "canonical") -> DataFrame:
+    """Augmented examples from parsed records, without a shuffle."""
+    lined = turned_lines(rp.line_from_moves(games, n), n, convention)
+    return _turned_back(_labelled(rp.replay_lines(lined, n, keys + ("outcome", "transform_id", "images"))))
+
+
+def _turned_back(labelled: DataFrame) -> DataFrame:
+    return labelled.withColumn("action", F.get("images", F.col("action"))).drop("images")
+
+
 def policy_target(df: DataFrame, n: int, action: str = "action") -> DataFrame:
     """One-hot policy of the played cell."""
     return df.withColumn("policy", policy.one_hot(F.col(action), n * n))

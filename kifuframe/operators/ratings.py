@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kifuframe.functions.arrays import computed_once
+from kifuframe.functions.arrays import computed_once, let
 from kifuframe.operators.ordering import CHUNK, chunk_of, running_sums
 
 # Fixed values.
@@ -22,6 +22,8 @@ ELO_SCALE = 400.0
 # Rating bounds of the first guess, far outside what any series of games reaches.
 RATING_SPAN = 6_000.0
 SETTLED_GAP = 1e-9
+# Games per array where a point is kept for some of them; enough for a series to settle.
+HISTORY_CHUNK = 8_192
 
 
 def plays_black(game_idx: Column, player_first: bool = True) -> Column:
@@ -184,20 +186,30 @@ def elo(matches: DataFrame, initial: float = 1000.0, opponent: float = 1000.0, k
 
 
 def elo_history(matches: DataFrame, every: int = 10, initial: float = 1000.0, opponent: float = 1000.0,
-                k: float = K_FACTOR, chunk: int = CHUNK) -> DataFrame:
-    """Rating after each ``every``-th game."""
-    def step(acc: Column, score: Column) -> Column:
-        rating = _update(acc["rating"], score, opponent, k)
-        games = acc["games"] + 1
-        point = F.struct(games.alias("games"), rating.alias("elo"))
-        return F.struct(
-            rating.alias("rating"),
-            games.alias("games"),
-            F.when(games % every == 0, F.array_append(acc["points"], point)).otherwise(acc["points"]).alias("points"),
-        )
-
-    empty = F.array().cast("array<struct<games:bigint,elo:double>>")
-    start = F.struct(
-        F.col("start").alias("rating"), (F.col("chunk") * chunk).alias("games"), empty.alias("points"))
-    points = F.aggregate("scores", start, step, lambda acc: acc["points"])
-    return _started_chunks(matches, initial, opponent, k, chunk).select("player", F.inline(points))
+                k: float = K_FACTOR, chunk: int = HISTORY_CHUNK) -> DataFrame:
+    """Rating after each ``every``-th game.
+
+    Inside a chunk the games between two points are folded as one block, so the array of
+    points is extended once per block and not once per game.
+    """
+    first = F.lit(every) - F.col("chunk") * chunk % every
+    blocks = F.when(F.size("scores") >= first, F.sequence(
+        F.lit(0).cast("bigint"), F.call_function("div", F.size("scores") - first, F.lit(every))))
+
+    def step(acc: Column, block: Column, scores: Column, first_end: Column) -> Column:
+        begin = F.greatest(first_end + (block - 1) * every, F.lit(0))
+        length = first_end + block * every - begin
+        games = F.slice(scores, (begin + 1).cast("int"), length.cast("int"))
+        return let(_fold(games, acc["rating"], opponent, k), lambda rating: F.struct(
+            rating.alias("rating"), F.array_append(acc["points"], rating).alias("points")))
+
+    start = F.struct(F.col("start").alias("rating"), F.array().cast("array<double>").alias("points"))
+    points = F.aggregate(
+        F.col("_blocks"), start, lambda acc, b: step(acc, b, F.col("scores"), F.col("_first")), lambda acc: acc["points"])
+    started = _started_chunks(matches, initial, opponent, k, chunk).select(
+        "player", "chunk", "scores", "start", first.alias("_first"), blocks.alias("_blocks"))
+    return (
+        started.where(F.col("_blocks").isNotNull())
+        .select("player", "chunk", "_first", F.posexplode(points).alias("_at", "elo"))
+        .select("player", (F.col("chunk") * chunk + F.col("_first") + F.col("_at") * every).alias("games"), "elo")
+    )

@@ -104,7 +104,11 @@ def replay(moves: DataFrame, n: int, lines: DataFrame | None = None, chunk: int
 
 def replay_games(games: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
     """Replay straight from ``games`` with move arrays; no shuffle at all."""
-    lined = line_from_moves(games, n)
+    return replay_lines(line_from_moves(games, n), n, keys)
+
+
+def replay_lines(lined: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
+    """Replay of games that carry both their move array and their line."""
     moves = lined.select(*keys, *LINE, F.posexplode("moves").alias("ply", "move")).select(
         *keys, *LINE, "ply", "move.color", "move.row", "move.col")
     return place_moves(moves, n)

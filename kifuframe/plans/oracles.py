@@ -254,6 +254,13 @@ def _top(column: str, k: int, where: str = "TRUE") -> str:
   FROM {column} WHERE {where} QUALIFY rank <= {k}"""
 
 
+AUGMENTED = f"""WITH {EXAMPLES}, {TIDS}, {_turned_views('seen')}
+SELECT e.game_id, e.ply, t.transform_id, e.player,
+       {_symmetry('t.transform_id', '(e.action // 9)', '(e.action % 9)', 9)} AS action, e.value,
+       coalesce(v.own, '') AS own_cells, coalesce(v.opp, '') AS opp_cells
+FROM exs e CROSS JOIN tids t LEFT JOIN tviews v
+  ON v.game_id = e.game_id AND v.ply = e.ply AND v.transform_id = t.transform_id"""
+
 SQL: dict[str, str] = {
     # records
     "strip_comments": f"WITH {RECORDS} SELECT game_id, part, body FROM stripped",
@@ -363,17 +370,14 @@ SELECT epoch, pos // 256 AS batch, pos % 256 AS slot, game_id, ply FROM placed""
     "symmetry_map": f"""WITH {MOVES}, {TIDS}
 SELECT game_id, ply, k AS from_cell, transform_id, {_symmetry('transform_id', 'row', 'col', 9)} AS to_cell
 FROM mv, tids WHERE k < 81""",
-    "augment_examples": f"""WITH {EXAMPLES}, {TIDS}, {_turned_views('seen')}
-SELECT e.game_id, e.ply, t.transform_id, e.player,
-       {_symmetry('t.transform_id', '(e.action // 9)', '(e.action % 9)', 9)} AS action, e.value,
-       coalesce(v.own, '') AS own_cells, coalesce(v.opp, '') AS opp_cells
-FROM exs e CROSS JOIN tids t LEFT JOIN tviews v
-  ON v.game_id = e.game_id AND v.ply = e.ply AND v.transform_id = t.transform_id""",
+    "augment_examples": AUGMENTED,
+    "augmented_examples": AUGMENTED,
     "transform_vector": f"""WITH {LOGITS}
 SELECT position_id, CAST(position_id % 8 AS INTEGER) AS transform_id,
        {_symmetry('position_id % 8', '(cell // 8)', '(cell % 8)', 8)} AS cell, round(x, 6) AS logit FROM lg""",
     "transform_planes": f"""WITH {BOARD}, {TIDS}, {_turned_views('seen')}
-SELECT r.game_id, r.ply, CAST(r.ply % 8 AS INTEGER) AS transform_id, coalesce(v.own, '') AS own_cells
+SELECT r.game_id, r.ply, CAST(r.ply % 8 AS INTEGER) AS transform_id, 1539 AS n_values,
+       coalesce(v.own, '') AS own_cells, coalesce(v.opp, '') AS opp_cells
 FROM rp r LEFT JOIN tviews v ON v.game_id = r.game_id AND v.ply = r.ply AND v.transform_id = r.ply % 8""",
     # trajectories
     "transitions": f"WITH {TRANSITIONS} SELECT game_id, ply, player, action, next_ply, done FROM tr",

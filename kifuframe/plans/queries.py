@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kifuframe.functions import board, policy, sgf
+from kifuframe.functions.arrays import computed_once
 from kifuframe.operators import examples as ex
 from kifuframe.operators import losses, models, predictions, ratings, records, replay, trajectory
 from kifuframe.operators import replay_table as rt
@@ -258,6 +259,14 @@ def augment_examples(spark, sf):
         text_of("own_cells").alias("own_cells"), text_of("opp_cells").alias("opp_cells"))
 
 
+@query
+def augmented_examples(spark, sf):
+    """The same rows with the symmetries applied per game instead of per position."""
+    return ex.augmented_examples(fx.games(spark, sf), fx.moves(spark, sf), N).select(
+        "game_id", "ply", "transform_id", "player", "action", "value",
+        text_of("own_cells").alias("own_cells"), text_of("opp_cells").alias("opp_cells"))
+
+
 @query
 def transform_vector(spark, sf):
     """Each policy vector under the symmetry of its position id, one row per cell."""
@@ -270,12 +279,18 @@ def transform_vector(spark, sf):
 
 @query
 def transform_planes(spark, sf):
-    """Planes of every position turned by the symmetry ``ply % 8``; the cells set in plane 0."""
-    planes = replay.state_planes(replay.positions(fx.moves(spark, sf), N), N)
+    """Planes of every position turned by the symmetry ``ply % 8``; stones of both planes."""
+    held = replay.state_planes(replay.positions(fx.moves(spark, sf), N), N)
     tid = (F.col("ply") % 8).cast("int")
-    turned = F.slice(board.transform_planes(F.col("planes"), tid, N), 1, N * N)
-    marked = F.array_compact(F.transform(turned, lambda x, i: F.when(x == 1, i)))
-    return planes.select("game_id", "ply", tid.alias("transform_id"), text_of(marked).alias("own_cells"))
+    turned = computed_once(held, turned=board.transform_planes(F.col("planes"), tid, N))
+
+    def marked(plane: int) -> Column:
+        cells = F.slice("turned", plane * N * N + 1, N * N)
+        return text_of(F.array_compact(F.transform(cells, lambda x, i: F.when(x == 1, i))))
+
+    return turned.select(
+        "game_id", "ply", tid.alias("transform_id"), F.size("turned").alias("n_values"),
+        marked(0).alias("own_cells"), marked(8).alias("opp_cells"))
 
 
 # --- trajectories ------------------------------------------------------------------

@@ -8,12 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 1 << 30, most: int = 100_000) -> int:
+    """Shuffle partitions for an input of this size.
+
+    AQE merges small partitions but does not split large ones outside of joins, so the
+    number to start from has to fit the input: 100 TB at about 1 GB each.
+    """
+    return max(200, min(most, -(-input_bytes // target_bytes)))
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "kifuframe", **conf: str) -> SparkSession:
     """A session with the settings the operators are planned for.
 
-    On a cluster leave ``master`` and ``shuffle_partitions`` unset: AQE coalesces
-    the partitions and splits skewed joins at run time. Rows get wide after the shuffle
+    On a cluster leave ``master`` unset and take ``shuffle_partitions`` from
+    :func:`shuffle_partitions_for`; AQE merges what turns out small. Rows get wide after the shuffle
     (a ply becomes a position, a position eight examples), so partitions are kept
     smaller than AQE would choose by the shuffled bytes.
     """

@@ -80,6 +80,25 @@ def test_augmentation_moves_everything_together(four_moves):
         assert row.own_cells == sorted(row.own_cells)
 
 
+def test_augmenting_per_game_equals_augmenting_per_position(spark):
+    rng = np.random.default_rng(12)
+    logs = {g: rng.integers(0, 30, (40, 2)).tolist() for g in range(4)}
+    rows = [(g, p, "B", r % 6, c % 6) for g, log in logs.items() for p, (r, c) in enumerate(log)]
+    moves = spark.createDataFrame(rows, "game_id bigint, ply int, color string, row int, col int")
+    games = spark.createDataFrame([(g, g % 3 - 1) for g in logs], "game_id bigint, outcome int")
+    columns = ["game_id", "ply", "transform_id", "action", "player", "value", "own_cells", "opp_cells"]
+    for convention in ("canonical", "loader"):
+        one = ex.augment_examples(ex.examples(games, moves, 5), 5, convention).select(*columns).collect()
+        two = ex.augmented_examples(games, moves, 5, convention).select(*columns).collect()
+        arrays = spark.createDataFrame(
+            [(g, g % 3 - 1, [("B", r % 6, c % 6) for r, c in log]) for g, log in logs.items()],
+            "game_id bigint, outcome int, moves array<struct<color:string,row:int,col:int>>")
+        three = ex.augmented_examples_from_games(arrays, 5, convention=convention)
+        assert "Exchange" not in three._jdf.queryExecution().executedPlan().toString()
+        assert len(one) == 8 * sum(r % 6 < 5 and c % 6 < 5 for log in logs.values() for r, c in log)
+        assert sorted(map(str, one)) == sorted(map(str, two)) == sorted(map(str, three.select(*columns).collect()))
+
+
 def test_value_is_zero_without_winner(spark):
     df = spark.createDataFrame([(0, 1), (0, -1), (1, -1), (-1, -1)], "o int, p int")
     assert [str(r.v) for r in df.select(ex.value_target(F.col("o"), F.col("p")).alias("v")).collect()] == [
