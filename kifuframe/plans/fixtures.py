@@ -31,7 +31,7 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("game_id"), "ts", "event_id",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
     numbered = number_rows(events, "game_id", ["ts", "event_id"], F.date_trunc("minute", "ts"), "at")
-    ply = F.col("at").cast("int")
+    ply = F.col("at").cast("bigint")
     return numbered.select(
         "game_id", ply.alias("ply"), "k", int_div(F.col("k"), N).alias("row"),
         (F.col("k") % N).alias("col"), F.when(ply % 2 == 0, "B").otherwise("W").alias("color"))

@@ -11,7 +11,7 @@ from kifuframe.plans.fixtures import RESULTS, TREE_ARITY, TREE_LEVELS, tree_leve
 MOVES = """
 moves AS (
   SELECT user_id AS game_id,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS ply,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ply,
          CAST(json_extract(props, '$.k') AS INTEGER) AS k
   FROM events),
 mv AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +30,14 @@ def stream_elo(matches: DataFrame, initial: float = 1000.0, opponent: float = 10
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         elo, wins, losses, draws, games = state.get if state.exists else (initial, 0, 0, 0, 0)
-        arrived = pd.concat(list(batches)).sort_values("game_idx")
-        for score in arrived["score"]:
+        idx, scores, seen = (np.concatenate(parts) for parts in zip(*[
+            (b["game_idx"].to_numpy(), b["score"].to_numpy(), b["seen"].to_numpy()) for b in batches]))
+        for score in scores[np.argsort(idx, kind="stable")].tolist():
             elo += k * (score - 1.0 / (1.0 + 10.0 ** ((opponent - elo) / ELO_SCALE)))
-        wins += int((arrived["seen"] == 1).sum())
-        losses += int((arrived["seen"] == -1).sum())
-        draws += int((arrived["seen"] == 0).sum())
-        games += len(arrived)
+        wins += int((seen == 1).sum())
+        losses += int((seen == -1).sum())
+        draws += int((seen == 0).sum())
+        games += len(scores)
         state.update((elo, wins, losses, draws, games))
         yield pd.DataFrame({
             "player": [key[0]], "elo": [elo], "wins": [wins], "losses": [losses], "draws": [draws],
