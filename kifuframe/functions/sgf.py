@@ -20,27 +20,33 @@ NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf
 MOVE_ARRAY = "array<struct<color:string,row:int,col:int>>"
 
 
-def _balanced_comment(depth: int) -> str:
-    """Regex of ``C[...]`` with brackets nested up to ``depth`` levels.
+def _balanced(depth: int) -> str:
+    """Regex of text whose brackets nest up to ``depth`` levels and all close.
 
     Unrolled and possessive, so it neither recurses nor backtracks.
     """
     inner = r"[^\[\]]*+"
     for _ in range(depth):
         inner = rf"[^\[\]]*+(?:\[{inner}\][^\[\]]*+)*+"
-    return rf"C\[{inner}\]"
+    return inner
 
 
 def strip_comments(text: Column, depth: int = 8) -> Column:
     """Drop ``C[...]``; brackets nest, an unclosed comment swallows the rest.
 
-    One regex handles comments nested up to ``depth``. Texts in which ``C[`` is
-    left afterwards (unclosed or nested deeper) take a bracket count over tokens
-    instead. That branch is lazy, so other texts do not pay for it.
+    One regex handles closed comments nested up to ``depth``, nearly all texts. Where
+    ``C[`` is left afterwards, a second one also takes unclosed comments, unless some
+    bracket nests deeper: then brackets are counted token by token. The later branches
+    are lazy, so other texts do not pay for them.
     """
+    inner = _balanced(depth)
+    closed, any_comment = rf"C\[{inner}\]", rf"C\[(?:{inner}\]|[\s\S]*\z)"
+    shallow = F.regexp_replace(text, rf"\[{inner}\]", "")
     return let(
-        F.regexp_replace(text, _balanced_comment(depth), ""),
-        lambda quick: F.when(~F.contains(quick, F.lit("C[")), quick).otherwise(_count_brackets(text)),
+        F.regexp_replace(text, closed, ""),
+        lambda quick: F.when(~F.contains(quick, F.lit("C[")), quick)
+        .when(~shallow.rlike(r"\[[^\]]*\]"), F.regexp_replace(text, any_comment, ""))
+        .otherwise(_count_brackets(text)),
     )
 
 

@@ -42,7 +42,10 @@ def test_strip_comments_equals_bracket_count(spark):
     pieces = ["C[", "[", "]", "PC[", "x", "B[dd]", ";", "C", "\n", "\\]"]
     made = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     deep = "C[" + "[" * 12 + "a" + "]" * 12 + "]B[aa]"
-    made += [deep, "x" + deep + deep, "C[never closed B[aa]", "CC[a][x]", "", "C[" + "y" * 200_000 + "]B[cc]"]
+    rng2 = random.Random(4)
+    made += ["".join(rng2.choice("[[[]]]C") for _ in range(60)) for _ in range(500)]
+    made += ["C[x][" + "[" * d + "]" * d + "C[" + "[" * e + "]" * e for d in range(7, 12) for e in range(6, 12)]
+    made += ["(;SZ[9]C[cut off" + ";B[aa];W[bb]" * 5_000, deep, "x" + deep + deep, "C[never closed B[aa]", "CC[a][x]", "", "C[" + "y" * 200_000 + "]B[cc]"]
     rows = texts(spark, made).select("game_id", sgf.strip_comments(F.col("text")).alias("body")).collect()
     for row in rows:
         assert row.body == cut_comments(made[int(row.game_id)])
