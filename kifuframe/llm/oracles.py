@@ -7,17 +7,17 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LINE_DEDUP = f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
-  SELECT doc_id, u.at, lines[u.at] AS line,
-         translate(trim(lines[u.at], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM docs, unnest(range(1, len(lines) + 1)) AS u(at)),
+  SELECT doc_id, u.pos AS pos, lines[u.pos] AS line,
+         translate(trim(lines[u.pos], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM docs, unnest(range(1, len(lines) + 1)) AS u(pos)),
 frequent AS (
   SELECT key, max(doc_id) AS top FROM lines WHERE length(key) >= 20
   GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 marked AS (
-  SELECT doc_id, at, line, f.key IS NOT NULL AND doc_id <> f.top AS gone
+  SELECT doc_id, pos, line, f.key IS NOT NULL AND doc_id <> f.top AS gone
   FROM lines LEFT JOIN frequent f USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 

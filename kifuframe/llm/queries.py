@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifuframe.llm import line_dedup, quality, sharding, winnowing
+from kifuframe.llm import line_dedup, packing, pieces, quality, sharding, winnowing
 from kifuframe.llm.common import table
 
 
@@ -13,6 +13,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, drop_text=True)
+    back = pieces.decode(coded, model)
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "n_differing")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.uniform_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -32,6 +50,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op5_packing": op5_packing,
     "op7_sharding": op7_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_winnowing": op10_winnowing,
