@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifuframe.llm import line_dedup, packing, pieces, quality, sharding, winnowing
+from kifuframe.llm import html_text, line_dedup, packing, pieces, quality, sharding, warc, winnowing
 from kifuframe.llm.common import table
+from kifuframe.session import scratch_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,21 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"), "n_differing")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "llm/warc")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    ident = lambda c: F.regexp_extract(c, r"^<urn:record:(-?\d+):", 1)
+    number = lambda c: F.when(ident(c) != "", ident(c).cast("bigint"))
+    return warc.read_warc(spark, folder, payloads=False).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to_id").alias("refers_to"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return packed.select(
@@ -51,6 +67,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_warc": op3_warc,
+    "op6_html_text": op6_html_text,
     "op5_packing": op5_packing,
     "op7_sharding": op7_sharding,
     "op9_line_dedup": op9_line_dedup,
