@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             "hashes", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"))))).alias("k"))
         .groupBy(F.col("k.h").alias("fh"), F.col("k.g").alias("fg"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-        .where(F.col("n") >= min_docs))
+        .where(F.col("n") >= min_docs)
+        .repartition("top"))  # an exchange of its own below the join, so that Spark can split a frequent line
     dropped = (
         long_lines.select("id", "th", "tg", F.explode("hashes").alias("x"))
         .select("id", "th", "tg", F.col("x.at").alias("at"), F.col("x.h").alias("h"), F.col("x.g").alias("g"))
