@@ -40,7 +40,56 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
+# conversations with the last answer of their neighbour as the rejected version
+PREFERENCE_PAIRS = """
+WITH last AS (
+  SELECT conv_id, max(turn) AS ends, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+rejected AS (
+  SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c LEFT JOIN last l USING (conv_id)
+  WHERE l.ends IS NULL OR c.turn < l.ends
+  UNION ALL
+  SELECT a.conv_id, a.ends, 'assistant', b.answer FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)),
+versions AS (
+  SELECT c.conv_id, c.turns AS c, coalesce(r.turns, []) AS r
+  FROM (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY 1) c
+  LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM rejected GROUP BY 1) r
+  USING (conv_id)),
+cut AS (
+  SELECT *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])[1] - 1,
+                     least(len(c), len(r))) AS k FROM versions),
+parts AS (SELECT conv_id, k, c[1:k] AS p, c[k + 1:] AS c, r[k + 1:] AS r FROM cut)
+SELECT conv_id, CAST(k AS BIGINT) AS prompt_turns,
+  array_to_string(list_transform(p, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '') AS prompt,
+  array_to_string(list_transform(c, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '') AS chosen,
+  array_to_string(list_transform(c, lambda t: '0:' || (13 + length(t.role)) || ',' || CAST(t.role = 'assistant' AS INT) || ':'
+    || (11 + length(t.text))), ',') AS chosen_mask,
+  array_to_string(list_transform(r, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '') AS rejected,
+  array_to_string(list_transform(r, lambda t: '0:' || (13 + length(t.role)) || ',' || CAST(t.role = 'assistant' AS INT) || ':'
+    || (11 + length(t.text))), ',') AS rejected_mask
+FROM parts
+"""
+
+# documents in reach of each other by four-word shingles; recursion over the links finds components
+JACCARD = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) ON doc_id = a
+"""
+
 SQL = {
     "op3_warc": WARC,
+    "op4_preference_pairs": PREFERENCE_PAIRS,
+    "op8_jaccard_join": JACCARD,
     "op9_line_dedup": LINE_DEDUP,
 }

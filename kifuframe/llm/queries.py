@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifuframe.llm import html_text, line_dedup, packing, pieces, quality, sharding, warc, winnowing
+from kifuframe.llm import chat, html_text, jaccard, line_dedup, packing, pieces, quality, sharding, warc, winnowing
 from kifuframe.llm.common import table
 from kifuframe.session import scratch_path
 
@@ -36,6 +36,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         number("refers_to_id").alias("refers_to"))
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = chat.preference_pairs(talks, chat.swapped_answers(talks))
+    return pairs.select(
+        "conv_id", "prompt_turns", "prompt", chat.text_of(F.col("chosen")).alias("chosen"),
+        chat.mask_of(F.col("chosen")).alias("chosen_mask"), chat.text_of(F.col("rejected")).alias("rejected"),
+        chat.mask_of(F.col("rejected")).alias("rejected_mask"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
@@ -55,6 +64,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -68,9 +81,11 @@ REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
-    "op6_html_text": op6_html_text,
+    "op4_preference_pairs": op4_preference_pairs,
     "op5_packing": op5_packing,
+    "op6_html_text": op6_html_text,
     "op7_sharding": op7_sharding,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_winnowing": op10_winnowing,
 }
