@@ -315,7 +315,9 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
         for batch in batches:
-            texts = [words.decode(v or []) for v in batch.column(ids).to_pylist()]
+            held = batch.column(ids)
+            # one row at a time: numbers of a whole batch as Python objects would fill the worker
+            texts = [words.decode(held[i].values.to_numpy().tolist() if held[i].is_valid else []) for i in range(len(held))]
             yield with_columns(batch, {out: pa.array(texts, pa.string())})
 
     return rows.mapInArrow(run, schema_with(rows, f"{out} string"))
