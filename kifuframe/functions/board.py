@@ -15,7 +15,7 @@ N_PLANES = 19
 N_TRANSFORMS = 8
 # Inverse of each transform: the two quarter turns undo each other.
 INVERSE_TRANSFORM = [0, 3, 2, 1, 4, 5, 6, 7]
-# Black, white and empty point in rendered boards, then the separator.
+# Black, white and empty point in rendered boards, then the separator.
 STONE_MARKS = {1: "● ", -1: "○ ", 0: ". "}
 
 
@@ -23,7 +23,7 @@ def in_bounds(row: Column, col: Column, n: int | Column) -> Column:
     return (row >= 0) & (row < n) & (col >= 0) & (col < n)
 
 
-def cell_of(row: Column, col: Column, n: int) -> Column:
+def cell_of(row: Column, col: Column, n: int | Column) -> Column:
     return (row * n + col).cast("int")
 
 
@@ -40,6 +40,19 @@ def legal_cells(own: Column, opp: Column, n: int) -> Column:
     return F.array_except(cell_range(n), F.concat(own, opp))
 
 
+def signs(own: Column, opp: Column, n: int) -> Column:
+    """One number per cell: 1 own, -1 opponent, 0 empty.
+
+    The cells are tagged and sorted once, so the cost grows with the cells and not with their square.
+    """
+    def tagged(cells: Column, mark: int) -> Column:
+        return F.transform(cells, lambda c: F.struct(c.alias("cell"), F.lit(mark).alias("mark")))
+
+    every = let(own, lambda mine: let(opp, lambda theirs: F.concat(
+        tagged(mine, 1), tagged(theirs, -1), tagged(legal_cells(mine, theirs, n), 0))))
+    return F.transform(F.sort_array(every), lambda c: c["mark"])
+
+
 def state_planes(own: Column, opp: Column, player: Column, n: int, legal_plane: bool = True) -> Column:
     """19 planes, flattened in (plane, row, col) order.
 
@@ -49,26 +62,20 @@ def state_planes(own: Column, opp: Column, player: Column, n: int, legal_plane:
     size = n * n
     zero = F.lit(0.0).cast("float")
     one = F.lit(1.0).cast("float")
+    empty = F.array_repeat(zero, size)
 
-    def marks(cells: Column) -> Column:
-        return let(cells, lambda c: F.transform(
-            cell_range(n), lambda i: F.when(F.array_contains(c, i), one).otherwise(zero)))
+    def marks(cells: Column, mark: int) -> Column:
+        return F.transform(cells, lambda m: F.when(m == mark, one).otherwise(zero))
 
-    empty = F.array_repeat(zero, size)
-    if legal_plane:
-        empty_points = let(F.concat(own, opp), lambda c: F.transform(
-            cell_range(n), lambda i: F.when(F.array_contains(c, i), zero).otherwise(one)))
-    else:
-        empty_points = empty
-    return F.concat(
-        marks(own),
+    return let(signs(own, opp, n), lambda cells: F.concat(
+        marks(cells, 1),
         F.array_repeat(zero, 7 * size),
-        marks(opp),
+        marks(cells, -1),
         F.array_repeat(zero, 7 * size),
         F.array_repeat(player.cast("float"), size),
-        empty_points,
+        marks(cells, 0) if legal_plane else empty,
         empty,
-    )
+    ))
 
 
 def transform_coefficients(n: int) -> list[tuple[int, int, int]]:
@@ -161,18 +168,9 @@ def render(black: Column, white: Column, n: int) -> Column:
     """Text picture: a header row, then one line per board row."""
     header = "  " + " ".join(str(i) for i in range(n))
 
-    def mark(cell: Column) -> Column:
-        return (
-            F.when(F.array_contains(black, cell), STONE_MARKS[1])
-            .when(F.array_contains(white, cell), STONE_MARKS[-1])
-            .otherwise(STONE_MARKS[0])
-        )
-
-    lines = F.transform(
+    marks = F.transform(signs(black, white, n), lambda m: (
+        F.when(m == 1, STONE_MARKS[1]).when(m == -1, STONE_MARKS[-1]).otherwise(STONE_MARKS[0])))
+    lines = let(marks, lambda held: F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda r: F.concat(
-            r.cast("string"), F.lit(" "),
-            F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: mark(r * n + c)), ""),
-        ),
-    )
+        lambda r: F.concat(r.cast("string"), F.lit(" "), F.array_join(F.slice(held, r * n + 1, F.lit(n)), ""))))
     return F.concat_ws("\n", F.lit(header), F.array_join(lines, "\n"))

@@ -27,7 +27,7 @@ def examples(games: DataFrame, moves: DataFrame, n: int) -> DataFrame:
     return _labelled(rp.replay(moves, n, lines))
 
 
-def examples_from_games(games: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
+def examples_from_games(games: DataFrame, n: int | Column, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
     """Examples from parsed records; from file scan to example without a shuffle."""
     return _labelled(rp.replay_games(games, n, keys + ("outcome",)))
 

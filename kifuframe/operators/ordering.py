@@ -1,8 +1,8 @@
 """Row numbers and running sums that no single large group can stall.
 
 A window over a key sorts the whole key in one task. Here a key is cut into
-*granules*: ranges of the order that one task can hold. The window runs inside a
-granule, and the sums of the earlier granules, a small aggregate, are added.
+ranges of the order that one task can hold. The window runs inside a
+range, and the sums of the earlier ranges, a small aggregate, are added.
 """
 
 from __future__ import annotations
@@ -12,40 +12,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+from kifuframe.session import stored
+
 CHUNK = 65_536
 
 
-def number_rows(df: DataFrame, key: str, order: Sequence[str], granule: Column, out: str,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
     """Zero-based position of each row inside its key.
 
-    ``granule`` must not decrease along ``order``. It is used only for keys with more
-    than ``hot_rows`` rows; all others are numbered by one plain window. There are at
-    most ``total rows / hot_rows`` hot keys, which bounds the broadcast (a trillion
-    rows give a million keys).
+    All rows are dealt into ranges of (key, order) and sorted, so a large key takes many ranges
+    and none is special. A key's part in a range is numbered from the range's own count; the counts of its earlier
+    ranges, one small row per key and range, are added. The sorted rows are stored, because
+    both passes have to see the same ranges. Rows that agree in ``key`` and ``order`` share a range.
     """
-    hot = (
-        df.groupBy(key).count().where(F.col("count") > hot_rows)
-        .select(F.col(key).alias("_hot_key"))
-    )
-    marked = (
-        df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_granule", F.when(F.col("_hot_key").isNotNull(), granule))
-        .drop("_hot_key")
-    )
-    inside = Window.partitionBy(key, "_granule").orderBy(*order)
-    numbered = marked.withColumn("_at", F.row_number().over(inside) - 1)
-    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.monotonically_increasing_id()
+    placed = stored(
+        df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+        .withColumn("_range", F.shiftright(mark, 33).cast("int"))
+        .withColumn("_at", mark.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.where(F.col("_granule").isNotNull())
-        .groupBy(F.col(key).alias("_key"), F.col("_granule").alias("_of")).count()
-        .select("_key", "_of", F.sum("count").over(before).alias("_skip"))
-    )
+        placed.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of"))
+        .agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+        .select("_key", "_of", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_skip")))
     return (
-        numbered.join(offsets, (F.col(key) == F.col("_key")) & (F.col("_granule") == F.col("_of")), "left")
-        .withColumn(out, F.col("_at") + F.coalesce(F.col("_skip"), F.lit(0)))
-        .drop("_granule", "_at", "_key", "_of", "_skip")
+        placed.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+        .withColumn(out, F.col("_at") + F.col("_skip"))
+        .drop("_range", "_at", "_key", "_of", "_skip")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kifuframe.functions import board, policy
 from kifuframe.functions.arrays import let
 from kifuframe.functions.keyed_random import keyed_uniform
-from kifuframe.session import cut_lineage
+from kifuframe.session import cut_lineage, scratch_path
 
 # Weights of the policy and of the next value in a blended choice.
 POLICY_SHARE = 0.7
@@ -136,18 +136,26 @@ def expand_positions(positions: DataFrame, candidates: DataFrame | Column,
     )
 
 
-def backup_tree(nodes: DataFrame, depth: int) -> DataFrame:
-    """Values backed up a stored tree of at most ``depth`` levels below the root.
+def backup_tree(nodes: DataFrame) -> DataFrame:
+    """Values backed up a stored tree.
 
-    ``nodes(node, parent, level, reward, leaf_value)``. Even levels take the maximum of
-    ``child + reward``, odd levels the minimum of ``child - reward``; a node without
-    children keeps its leaf value. One aggregate per level, combined before the
-    shuffle, so a node with very many children is no hot spot. No pruning.
+    ``nodes(node, parent, level, reward, leaf_value)``; a parent is one level above its children, else the job
+    fails. Even levels take the maximum of ``child + reward``, odd levels the minimum of ``child - reward``; a node
+    without children keeps its leaf value. The nodes are stored by level once, so each level is read once;
+    one aggregate per level, combined before the shuffle, so a node with very many children is no
+    hot spot. No pruning.
     """
+    spark = nodes.sparkSession
+    path = scratch_path(spark, "tree")
+    columns = ["node", "parent", "level", "reward", "leaf_value"]
+    kind = nodes.schema["level"].dataType
+    nodes.select(*columns, F.col("level").alias("_level")).write.partitionBy("_level").parquet(path)
+    by_level = spark.read.parquet(path)
+    levels = sorted((r["_level"] for r in by_level.select("_level").distinct().collect()), reverse=True)
     done: DataFrame | None = None
     below: DataFrame | None = None
-    for level in range(depth, -1, -1):
-        here = nodes.where(F.col("level") == level).select("node", "parent", "level", "reward", "leaf_value")
+    for level in levels:
+        here = by_level.where(F.col("_level") == level).select(*columns)
         if below is None:
             valued = here.withColumn("value", F.col("leaf_value"))
         else:
@@ -155,10 +163,12 @@ def backup_tree(nodes: DataFrame, depth: int) -> DataFrame:
                 best = F.max(F.col("value") + F.col("reward"))
             else:
                 best = F.min(F.col("value") - F.col("reward"))
-            backed = below.groupBy(F.col("parent").alias("node")).agg(best.alias("_backed"))
-            valued = here.join(backed, "node", "left").withColumn(
-                "value", F.coalesce(F.col("_backed"), F.col("leaf_value"))).drop("_backed")
+            backed = below.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("_of")).agg(best.alias("_backed"))
+            stray = F.raise_error(F.concat(F.lit("no node one level up: "), F.col("_of").cast("string")))
+            valued = here.join(backed, F.col("node") == F.col("_of"), "full").withColumn(
+                "node", F.when(F.col("node").isNull(), stray.cast("bigint")).otherwise(F.col("node"))).withColumn(
+                "value", F.coalesce(F.col("_backed"), F.col("leaf_value"))).drop("_of", "_backed")
         # each level feeds the next one and the result
-        below = cut_lineage(valued.select("node", "parent", "level", "reward", "value"))
+        below = cut_lineage(valued.select("node", "parent", F.col("level").cast(kind).alias("level"), "reward", "value"))
         done = below if done is None else done.unionByName(below)
-    return done
+    return nodes.limit(0).select(*columns[:-1], F.col("leaf_value").alias("value")) if done is None else done

@@ -7,6 +7,7 @@ won), 0 (drawn) or null (unfinished).
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,8 @@ K_FACTOR = 32.0
 ELO_SCALE = 400.0
 # Rating bounds of the first guess, far outside what any series of games reaches.
 RATING_SPAN = 6_000.0
+# Largest k for which the rating after a game still grows with the rating before it.
+MONOTONE_K = 4 * ELO_SCALE / math.log(10)
 SETTLED_GAP = 1e-9
 # Games per array where a point is kept for some of them; enough for a series to settle.
 HISTORY_CHUNK = 8_192
@@ -121,7 +124,7 @@ def _chunk_starts(chunks: DataFrame, initial: float, opponent: float, k: float,
     The rating after a game grows with the rating before it and the difference of two
     ratings shrinks with every game. Folding a chunk from a rating below and from one
     above every reachable rating therefore brackets the true result. When both
-    meet, the chunk *settles*: its end does not depend on its start, and all chunks are
+    meet, the chunk *settles* (for ``k`` up to MONOTONE_K; a larger one is folded in order): its end does not depend on its start, and all chunks are
     folded in parallel. Chunks that do not settle (nothing but wins, or but losses)
     keep their scores, one score and a count where all are equal, and are folded from
     the rating carried over, in order.
@@ -131,7 +134,7 @@ def _chunk_starts(chunks: DataFrame, initial: float, opponent: float, k: float,
     """
     low = F.lit(min(initial, opponent) - RATING_SPAN)
     high = F.lit(max(initial, opponent) + RATING_SPAN)
-    settled = F.col("_high") - F.col("_low") < SETTLED_GAP
+    settled = F.lit(k <= MONOTONE_K) & (F.abs(F.col("_high") - F.col("_low")) < SETTLED_GAP)
     even = F.array_min("scores") == F.array_max("scores")
     ends = (
         computed_once(
@@ -139,7 +142,10 @@ def _chunk_starts(chunks: DataFrame, initial: float, opponent: float, k: float,
             _low=_fold(F.col("scores"), low, opponent, k), _high=_fold(F.col("scores"), high, opponent, k))
         .select(
             "player", "chunk", F.when(settled, F.col("_high")).alias("end"),
-            F.when(~settled, F.when(even, F.slice("scores", 1, 1)).otherwise(F.col("scores"))).alias("scores"),
+            # scores doubled, a byte each: an unsettled chunk is 64 KB and Arrow batches are bounded in bytes
+            F.when(~settled, F.transform(
+                F.when(even, F.slice("scores", 1, 1)).otherwise(F.col("scores")), lambda s: (s * 2).cast("tinyint"),
+            )).alias("scores"),
             F.when(even, F.size("scores")).otherwise(1).alias("times"))
     )
     ordered = ends.repartition("player").sortWithinPartitions("player", "chunk")
@@ -155,7 +161,7 @@ def _chunk_starts(chunks: DataFrame, initial: float, opponent: float, k: float,
                     rating = end
                 else:
                     for score in itertools.chain.from_iterable(itertools.repeat(scores, times)):
-                        rating += k * (score - 1.0 / (1.0 + 10.0 ** ((opponent - rating) / ELO_SCALE)))
+                        rating += k * (score / 2 - 1.0 / (1.0 + 10.0 ** ((opponent - rating) / ELO_SCALE)))
                 after.append(rating)
             yield pd.DataFrame({"player": batch["player"], "chunk": batch["chunk"] + 1, "start": after})
 

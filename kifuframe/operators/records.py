@@ -35,18 +35,25 @@ def game_header(records: DataFrame) -> DataFrame:
     )
 
 
+def parse_headers(records: DataFrame, text: str = "text", board_size: int | None = None) -> DataFrame:
+    """Records with their header columns; ``body`` is left for :func:`parse_moves`."""
+    games = game_header(parse_properties(records, text)).drop(text)
+    return games if board_size is None else filter_board_size(games, board_size)
+
+
+def parse_moves(headed: DataFrame, strict: bool = False) -> DataFrame:
+    """Games with their moves as an array and their outcome."""
+    return computed_once(
+        headed, moves=sgf.move_array(F.col("body"), strict), outcome=sgf.parse_result(F.col("result"))).drop("body")
+
+
 def parse_games(records: DataFrame, text: str = "text", board_size: int | None = None,
                 strict: bool = False) -> DataFrame:
     """Records to ``games`` with the moves kept as an array: no shuffle, no Python.
 
     The size filter runs on the header, before any move is decoded or exploded.
     """
-    games = game_header(parse_properties(records, text))
-    if board_size is not None:
-        games = filter_board_size(games, board_size)
-    parsed = computed_once(
-        games, moves=sgf.move_array(F.col("body"), strict), outcome=sgf.parse_result(F.col("result")))
-    return parsed.drop(text, "body")
+    return parse_moves(parse_headers(records, text, board_size), strict)
 
 
 def filter_board_size(games: DataFrame, n: int) -> DataFrame:
@@ -71,15 +78,15 @@ def with_row_col(cells: DataFrame, n: int, cell: str = "cell") -> DataFrame:
 
 
 def move_sequence(moves: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Positions in order, one array per game and segment of ``segment`` plies.
+    """Positions in order, one array per game.
 
-    A real game fits segment 0. Segments keep every array bounded when a log puts
-    far more plies under one id.
+    Plies are gathered in ranges of ``segment`` first, so that sorting a long game is shared by many tasks
+    and the game itself only strings its ranges together.
     """
-    items = F.collect_list(F.struct("ply", "row", "col"))
-    return (
-        moves.groupBy("game_id", F.call_function("div", F.col("ply"), F.lit(segment)).cast("int").alias("segment"))
+    parts = (
+        moves.groupBy("game_id", F.call_function("div", F.col("ply"), F.lit(segment)).alias("segment"))
         .agg(F.transform(
-            F.sort_array(items),
-            lambda m: F.struct(m["row"].alias("row"), m["col"].alias("col"))).alias("positions"))
-    )
+            F.sort_array(F.collect_list(F.struct("ply", "row", "col"))),
+            lambda m: F.struct(m["row"].alias("row"), m["col"].alias("col"))).alias("part")))
+    return parts.groupBy("game_id").agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("segment", "part"))), lambda p: p["part"])).alias("positions"))

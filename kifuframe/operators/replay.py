@@ -25,8 +25,8 @@ def _every_other(cells: Column, first: int) -> Column:
     return F.filter(cells, lambda _, i: i % 2 == first)
 
 
-def line_from_moves(games: DataFrame, n: int, moves: str = "moves") -> DataFrame:
-    """Line of each game from its move array; row-local, no shuffle."""
+def line_from_moves(games: DataFrame, n: int | Column, moves: str = "moves") -> DataFrame:
+    """Line of each game from its move array; row-local, no shuffle. ``n`` may be a column of the game."""
     cells = F.transform(F.col(moves), lambda m: F.when(
         board.in_bounds(m["row"], m["col"], n), board.cell_of(m["row"], m["col"], n)))
     touched = computed_once(games, _cells=cells)
@@ -67,7 +67,7 @@ def game_lines(moves: DataFrame, n: int) -> DataFrame:
     )
 
 
-def place_moves(moves: DataFrame, n: int) -> DataFrame:
+def place_moves(moves: DataFrame, n: int | Column) -> DataFrame:
     """Add the replay columns to moves that already carry their game's line."""
     here = board.in_bounds(F.col("row"), F.col("col"), n)
     # the ply's place among the sorted accepted plies is the number of earlier ones
@@ -102,12 +102,15 @@ def replay(moves: DataFrame, n: int, lines: DataFrame | None = None, chunk: int
     return place_moves(attach_lines(moves.drop("cell"), lines, chunk), n)
 
 
-def replay_games(games: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
-    """Replay straight from ``games`` with move arrays; no shuffle at all."""
+def replay_games(games: DataFrame, n: int | Column, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
+    """Replay straight from ``games`` with move arrays; no shuffle at all.
+
+    ``n`` may be a column that is one of the ``keys``, for games on boards of different sizes.
+    """
     return replay_lines(line_from_moves(games, n), n, keys)
 
 
-def replay_lines(lined: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
+def replay_lines(lined: DataFrame, n: int | Column, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
     """Replay of games that carry both their move array and their line."""
     moves = lined.select(*keys, *LINE, F.posexplode("moves").alias("ply", "move")).select(
         *keys, *LINE, "ply", "move.color", "move.row", "move.col")
@@ -156,7 +159,7 @@ def stone_score(lines: DataFrame) -> DataFrame:
     return lines.withColumn("black", F.size("black_line")).withColumn("white", F.size("white_line"))
 
 
-def game_outcome(lines: DataFrame, n: int, require_full: bool = False) -> DataFrame:
+def game_outcome(lines: DataFrame, n: int | Column, require_full: bool = False) -> DataFrame:
     """Sign of the stone difference; with ``require_full`` null until the board is full.
 
     Colours alternate, so black is never behind: on a full odd board black always wins.

@@ -13,12 +13,7 @@ from pyspark.sql import functions as F
 from kifuframe.functions.arrays import int_div
 from kifuframe.plans import fixtures as fx
 from kifuframe.session import scratch_path
-
-
-def _filesystem(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+from kifuframe.sources.files import filesystem_of
 
 
 def file_name() -> Column:
@@ -33,7 +28,7 @@ def write_record_files(records: DataFrame, folder: str) -> int:
         F.concat(F.lit("d"), (F.col("game_id") % 10).cast("string"), F.lit("/"), file_name()).alias("name"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, base = _filesystem(folder)
+        target, base = filesystem_of(folder)
         for batch in batches:
             for name, text in zip(batch["name"], batch["text"]):
                 target.create_dir(f"{base}/{name.rsplit('/', 1)[0]}")
@@ -50,7 +45,7 @@ def write_archives(records: DataFrame, folder: str) -> int:
         int_div(F.col("game_id"), 10).alias("shelf"), "part", file_name().alias("name"), "text")
 
     def pack(shelf: pd.DataFrame) -> pd.DataFrame:
-        target, base = _filesystem(folder)
+        target, base = filesystem_of(folder)
         target.create_dir(base)
         packed = io.BytesIO()
         with tarfile.open(fileobj=packed, mode="w:gz") as tar:

@@ -6,31 +6,51 @@ tables. Users of the library bring their own records.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kifuframe.functions.arrays import int_div
 from kifuframe.operators.ordering import number_rows
+from kifuframe.session import scratch_path
 
 N = 9
 LOGIT_N = 8
-RECORD_MOVES = 512
 TREE_ARITY = 5
-TREE_LEVELS = 15
 RESULTS = ["B+2.5", "W+R", "Draw", "", "b+resign", "White wins", "Jigo", "B 3", "W 0", "B 0", "?", "0"]
 SEED = 7
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Derive a table once per session and folder; later uses read what was written."""
+    @wraps(fn)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
+        if key not in _STORED:
+            path = scratch_path(spark, f"derived/{fn.__name__}")
+            fn(spark, sf_dir).write.parquet(path)
+            _STORED[key] = path
+        return spark.read.parquet(_STORED[key])
+
+    return read
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@stored_once
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events in time order as the moves of one game on a 9 x 9 board."""
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("game_id"), "ts", "event_id",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
-    numbered = number_rows(events, "game_id", ["ts", "event_id"], F.date_trunc("minute", "ts"), "at")
+    numbered = number_rows(events, "game_id", ["ts", "event_id"], "at")
     ply = F.col("at").cast("bigint")
     return numbered.select(
         "game_id", ply.alias("ply"), "k", int_div(F.col("k"), N).alias("row"),
@@ -41,6 +61,7 @@ def _result(game_id: Column) -> Column:
     return F.get(F.array(*[F.lit(r) for r in RESULTS]), (game_id % len(RESULTS)).cast("int"))
 
 
+@stored_once
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header row per game."""
     from kifuframe.functions.sgf import parse_result
@@ -62,13 +83,14 @@ def _headers(ids: DataFrame) -> DataFrame:
     )
 
 
+@stored_once
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games as SGF text: ``game_id, part, text`` with at most 512 moves per record."""
+    """Games as SGF text: ``game_id, part, text``; a game is one record, its part 0, however long."""
     letter = lambda c: F.char(F.lit(97) + c)
     move = F.concat(F.lit(";"), F.col("color"), F.lit("["), letter(F.col("col")), letter(F.col("row")), F.lit("]"))
     parts = (
         moves(spark, sf_dir)
-        .select("game_id", int_div(F.col("ply"), RECORD_MOVES).alias("part"), "ply", move.alias("move"))
+        .select("game_id", F.lit(0).alias("part"), "ply", move.alias("move"))
         .groupBy("game_id", "part")
         .agg(F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("ply", "move"))), lambda m: m["move"]), "").alias("body"))
@@ -121,12 +143,12 @@ def td_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"), (F.col("value") / 50).alias("td_error"))
 
 
+@stored_once
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders in date order as the games of one player."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("player"), "o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    granule = F.struct(F.col("o_orderdate"), F.shiftright("o_orderkey", 16))
-    numbered = number_rows(orders, "player", ["o_orderdate", "o_orderkey"], granule, "at")
+    numbered = number_rows(orders, "player", ["o_orderdate", "o_orderkey"], "at")
     outcome = (
         F.when(F.col("o_orderpriority").startswith("1-"), None)
         .when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", -1).otherwise(0))
@@ -150,16 +172,20 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("run"), (F.col("l_quantity") / 1000).alias("seconds"))
 
 
-def tree_level_start(level: int) -> int:
-    """First node id of a level of the complete tree."""
-    return (TREE_ARITY ** level - 1) // (TREE_ARITY - 1)
+def tree_level_starts() -> list[int]:
+    """First node id of each level of the complete tree, as far as a bigint goes."""
+    starts, first, width = [], 0, 1
+    while first < 1 << 63:
+        starts.append(first)
+        first += width
+        width *= TREE_ARITY
+    return starts
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as the nodes of one complete 5-ary tree."""
     node = F.col("p_partkey")
-    level = sum((F.when(node >= tree_level_start(i), 1).otherwise(0) for i in range(2, TREE_LEVELS)),
-                F.when(node >= 1, 1).otherwise(0))
+    level = sum((F.when(node >= first, 1).otherwise(0) for first in tree_level_starts()[1:]), F.lit(0))
     return table(spark, sf_dir, "part").select(
         node.alias("node"),
         F.when(node > 0, F.call_function("div", node - 1, F.lit(TREE_ARITY))).alias("parent"),

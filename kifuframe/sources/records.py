@@ -11,7 +11,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifuframe.operators.records import parse_games
+from kifuframe.operators.records import parse_headers, parse_moves
+from kifuframe.sources.files import filesystem_of
 
 # File names that are read, in any case.
 RECORD_GLOB = "*.[sS][gG][fF]"
@@ -19,7 +20,8 @@ ARCHIVE_GLOB = "{*.[tT][gG][zZ],*.[tT][aA][rR].[gG][zZ]}"
 REPLACEMENT = "\ufffd"
 NONCHARACTER = "\ufdd0"
 MEMBERS_PER_BATCH = 1_000
-RECORD_SCHEMA = "game_id string, source string, member string, text string"
+RECORD_SCHEMA = "game_id string, source string, member string, place bigint, text string"
+RECORD_COLUMNS = ["game_id", "source", "member", "place", "text"]
 
 
 def decode_text(content: Column) -> Column:
@@ -52,35 +54,36 @@ def read_record_files(spark: SparkSession, path: str, glob: str | None = RECORD_
         return spark.createDataFrame([], RECORD_SCHEMA)
     return files.select(
         F.col("path").alias("game_id"), F.col("path").alias("source"), F.lit("").alias("member"),
-        decode_text(F.col("content")).alias("text"))
+        F.lit(0).cast("bigint").alias("place"), decode_text(F.col("content")).alias("text"))
 
 
 def _open_stream(path: str):
-    from pyarrow import fs
-
-    filesystem, name = fs.FileSystem.from_uri(path)
+    filesystem, name = filesystem_of(path)
     return filesystem.open_input_stream(name, compression=None)
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records of each archive, streamed member by member; an unreadable one is skipped."""
+    """Records of each archive, streamed member by member; an unreadable one is skipped.
+
+    ``place`` counts the members of an archive, since a name can occur in it more than once.
+    """
     for batch in batches:
         for path in batch["path"]:
-            rows: list[tuple[str, str, str, str]] = []
+            rows: list[tuple[str, str, str, int, str]] = []
             with _open_stream(path) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
-                for info in tar:
+                for place, info in enumerate(tar):
                     if not (info.isfile() and info.name.lower().endswith(".sgf")):
                         continue
                     try:
                         text = tar.extractfile(info).read().decode("utf-8", errors="ignore")
                     except Exception:
                         continue
-                    rows.append((f"{path}#{info.name}", path, info.name, text))
+                    rows.append((f"{path}#{info.name}", path, info.name, place, text))
                     if len(rows) == MEMBERS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=["game_id", "source", "member", "text"])
+                        yield pd.DataFrame(rows, columns=RECORD_COLUMNS)
                         rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["game_id", "source", "member", "text"])
+                yield pd.DataFrame(rows, columns=RECORD_COLUMNS)
 
 
 def read_record_archives(spark: SparkSession, path: str, glob: str | None = ARCHIVE_GLOB,
@@ -99,42 +102,41 @@ def read_record_archives(spark: SparkSession, path: str, glob: str | None = ARCH
     return records.hint("rebalance") if rebalance else records
 
 
-def limit_games(games: DataFrame, n: int) -> DataFrame:
-    """First ``n`` games by (source, member), 0 for all.
+def limit_games(records: DataFrame, n: int) -> DataFrame:
+    """Exactly the first ``n`` rows by (source, member, place), 0 for all.
 
-    The cut-off is found on the two key columns alone; the texts and move arrays are
-    filtered where they are.
+    Each task keeps its own first ``n``, so ``n`` rows per task are merged.
     """
-    if n <= 0:
-        return games
-    keys = games.select(F.struct("source", "member").alias("key")).orderBy("key").limit(n)
-    cut = keys.agg(F.max("key").alias("cut")).scalar()
-    return games.where(F.struct("source", "member") <= cut)
+    return records.orderBy("source", "member", "place").limit(n) if n > 0 else records
+
+
+def _games(texts: DataFrame, board_size: int | None, max_games: int = 0) -> DataFrame:
+    """Records to games in one pass: header and size first, then the cut, moves only of what is left."""
+    headed = parse_headers(texts, board_size=board_size)
+    return parse_moves(limit_games(headed, max_games)).drop("place")
 
 
 def read_game_dir(spark: SparkSession, path: str, board_size: int | None = None,
                   max_games: int = 0) -> DataFrame:
     """Parsed games of all record files below a folder."""
-    return limit_games(parse_games(read_record_files(spark, path), board_size=board_size), max_games)
+    return _games(read_record_files(spark, path), board_size, max_games)
 
 
 def read_game_file(spark: SparkSession, path: str, board_size: int | None = None) -> DataFrame:
     """One file (or a glob of files, whatever their names end in); no row when the size differs."""
-    return parse_games(read_record_files(spark, path, None), board_size=board_size)
+    return _games(read_record_files(spark, path, None), board_size)
 
 
 def read_game_archive(spark: SparkSession, path: str, board_size: int | None = None,
                       max_games: int = 0) -> DataFrame:
     """Parsed games of one archive (or a glob of archives)."""
-    games = parse_games(read_record_archives(spark, path, None), board_size=board_size)
-    return limit_games(games, max_games)
+    return _games(read_record_archives(spark, path, None), board_size, max_games)
 
 
 def read_game_archives(spark: SparkSession, path: str, board_size: int | None = None,
                        max_games: int = 0) -> DataFrame:
     """Parsed games of all archives below a folder, one scan."""
-    games = parse_games(read_record_archives(spark, path), board_size=board_size)
-    return limit_games(games, max_games)
+    return _games(read_record_archives(spark, path), board_size, max_games)
 
 
 def write_games(games: DataFrame, path: str, by_board_size: bool = True, mode: str = "errorifexists") -> None:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kifuframe.operators.ratings import ELO_SCALE, K_FACTOR, score_of, side_result
 
-OUTPUT = "player bigint, elo double, wins bigint, losses bigint, draws bigint, num_games bigint"
+OUTPUT = "elo double, wins bigint, losses bigint, draws bigint, num_games bigint"
 STATE = "elo double, wins bigint, losses bigint, draws bigint, num_games bigint"
 
 
@@ -43,5 +43,6 @@ def stream_elo(matches: DataFrame, initial: float = 1000.0, opponent: float = 10
             "player": [key[0]], "elo": [elo], "wins": [wins], "losses": [losses], "draws": [draws],
             "num_games": [games]})
 
+    kind = matches.schema["player"].dataType.simpleString()
     return slim.groupBy("player").applyInPandasWithState(
-        update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+        update, f"player {kind}, {OUTPUT}", STATE, "update", GroupStateTimeout.NoTimeout)

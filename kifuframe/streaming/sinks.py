@@ -8,11 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def has_rows(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet table was already written at ``path``."""
+    """Whether a Parquet table was already written at ``path``; any other failure is raised."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as err:
+        if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
     return True
 
 

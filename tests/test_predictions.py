@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kifuframe.functions import policy
 from kifuframe.operators import losses, predictions
+from kifuframe.plans import fixtures
 
 SIZE = 9
 SCHEMA = ("position_id bigint, logits array<double>, fast_logits array<double>, value double, legal array<int>, "
@@ -176,5 +177,21 @@ def test_backup_equals_recursion(spark):
     nodes = spark.createDataFrame(
         [(i, parent[i], level[i], reward[i], leaf[i]) for i in parent],
         "node bigint, parent bigint, level int, reward double, leaf_value double")
-    got = {r.node: r.value for r in predictions.backup_tree(nodes, max(level.values())).collect()}
+    got = {r.node: r.value for r in predictions.backup_tree(nodes).collect()}
     assert got == pytest.approx({i: value(i) for i in parent})
+    moved = nodes.withColumn("level", F.when(F.col("node") == max(parent), F.col("level") + 1).otherwise(F.col("level")))
+    with pytest.raises(Exception, match="no node one level up"):
+        predictions.backup_tree(moved).collect()
+
+
+def test_tree_levels_of_large_ids():
+    starts = fixtures.tree_level_starts()
+
+    def walked(node):
+        steps = 0
+        while node:
+            node, steps = (node - 1) // fixtures.TREE_ARITY, steps + 1
+        return steps
+
+    for node in [0, 1, 5, 6, 30, 31, 10**10, 7_629_394_531, 7_629_394_530, 2**63 - 1]:
+        assert sum(node >= s for s in starts) - 1 == walked(node)

@@ -93,14 +93,27 @@ def test_latency(spark):
     assert (rows["a"].avg_time, rows["a"].positions_per_second, rows["z"].positions_per_second) == (1.0, 1.0, 0.0)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10_000])
-def test_row_numbers_of_hot_keys(spark, hot_rows):
+def test_row_numbers_of_hot_keys(spark):
     rng = np.random.default_rng(3)
     rows = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.choice([1, 1, 1, 2, 3, 4], 3000), rng.integers(0, 500, 3000)))]
     df = spark.createDataFrame(rows, "key int, t int, id int")
-    numbered = ordering.number_rows(df, "key", ["t", "id"], F.call_function("div", F.col("t"), F.lit(20)), "at", hot_rows)
+    numbered = ordering.number_rows(df.repartition(7), "key", ["t", "id"], "at")
     got = {r.id: r["at"] for r in numbered.collect()}
     for key in {r[0] for r in rows}:
         mine = sorted((t, i) for k, t, i in rows if k == key)
         assert [got[i] for _, i in mine] == list(range(len(mine)))
     assert len(got) == 3000
+
+
+@pytest.mark.parametrize("k", [32.0, 694.0, 2000.0, 6000.0])
+def test_elo_of_any_step_equals_the_loop(spark, k):
+    rng = np.random.default_rng(8)
+    rows = [(p, i, bool(i % 2), int(rng.integers(-1, 2))) for p in range(12) for i in range(200)]
+    df = spark.createDataFrame(rows, "player int, game_idx int, plays_black boolean, outcome int")
+    got = {r.player: r.elo for r in ratings.elo(df, k=k, chunk=32).collect()}
+    for player in range(12):
+        rating = 1000.0
+        for _, _, black, outcome in rows[player * 200:(player + 1) * 200]:
+            score = {1: 1.0, -1: 0.0, 0: 0.5}[outcome if black else -outcome]
+            rating += k * (score - 1 / (1 + 10 ** ((1000.0 - rating) / 400)))
+        assert got[player] == pytest.approx(rating, abs=1e-6)

@@ -104,8 +104,15 @@ def test_size_filter_and_sequence(spark):
     games = records.parse_games(texts(spark, ["(;SZ[9];B[aa];W[bb])", "(;SZ[13];B[aa])"]), board_size=9)
     moves = records.extract_moves(games)
     assert moves.count() == 2
-    sequence = records.move_sequence(moves, segment=1).orderBy("segment").collect()
-    assert [[(p.row, p.col) for p in r.positions] for r in sequence] == [[(0, 0)], [(1, 1)]]
+    for segment in (1, 1_024):
+        sequence = records.move_sequence(moves, segment).collect()
+        assert [[(p.row, p.col) for p in r.positions] for r in sequence] == [[(0, 0), (1, 1)]]
+
+
+def test_long_game_is_one_row(spark):
+    moves = spark.range(1_500).selectExpr("7L AS game_id", "id AS ply", "cast(id % 9 AS int) AS row", "cast(id % 5 AS int) AS col")
+    sequence = records.move_sequence(moves.repartition(5), segment=100).collect()
+    assert len(sequence) == 1 and [(p.row, p.col) for p in sequence[0].positions] == [(i % 9, i % 5) for i in range(1_500)]
 
 
 def test_decode_text_drops_bad_bytes(spark):

@@ -15,9 +15,10 @@ def held(spark):
 def test_push_into_empty_and_filled(spark):
     empty = spark.createDataFrame([], SCHEMA)
     batch = spark.createDataFrame([(5,), (6,)], "seq bigint")
-    assert [r.priority for r in rt.push(empty, batch).collect()] == [1.0, 1.0]
+    assert sorted(map(tuple, rt.push(empty, batch, ["seq"]).collect())) == [(0, 1.0), (1, 1.0)]
     filled = spark.createDataFrame([(0, 0.2), (1, 3.5)], SCHEMA)
-    assert sorted(map(tuple, rt.push(filled, batch).collect())) == [(0, 0.2), (1, 3.5), (5, 3.5), (6, 3.5)]
+    assert sorted(map(tuple, rt.push(filled, batch, ["seq"]).collect())) == [(0, 0.2), (1, 3.5), (2, 3.5), (3, 3.5)]
+    assert rt.push(filled, batch.limit(0), ["seq"]).count() == 2
 
 
 def test_evict_keeps_newest(held):
@@ -25,6 +26,18 @@ def test_evict_keeps_newest(held):
     assert rt.evict(held, 1000).count() == 200
 
 
+def test_ring_keeps_its_size_whatever_the_gaps(spark, held):
+    batch = spark.createDataFrame([(i * i * 1000,) for i in range(10)], "seq bigint")
+    pushed = rt.push(held, batch, ["seq"])
+    assert sorted(r.seq for r in rt.evict(pushed, 50).collect()) == list(range(160, 210))
+    gaps = spark.createDataFrame([(i ** 5, 1.0) for i in range(300)], SCHEMA)
+    assert sorted(r.seq for r in rt.evict(gaps, 77).collect()) == [i ** 5 for i in range(223, 300)]
+    repeated = spark.createDataFrame([(i // 40, 1.0) for i in range(200)] + [(None, 1.0)], SCHEMA)
+    kept = [r.seq for r in rt.evict(repeated, 50).collect()]
+    assert len(kept) == 50 and kept.count(4) == 40 and kept.count(3) == 10
+    assert rt.evict(held, 0).count() == 0
+
+
 def test_probabilities_and_weights(held):
     rows = rt.sampling_probs(held, 0.6).collect()
     scaled = {r.seq: r.priority ** 0.6 for r in rows}
@@ -53,5 +66,9 @@ def test_update_and_uniform(spark, held):
     rows = {r.seq: r.priority for r in rt.update_priorities(held, td).collect()}
     assert rows[3] == pytest.approx(2.000001) and rows[4] == pytest.approx(1e-6) and rows[5] == 5.1
     assert len(rows) == 200
+    twice = spark.createDataFrame([(3, -2.0, 1), (3, 0.5, 2)], "seq bigint, td_error double, at int")
+    assert rt.update_priorities(held, twice).where("seq = 3").first().priority == pytest.approx(2.000001)
+    assert rt.update_priorities(held, twice, "at").where("seq = 3").first().priority == pytest.approx(0.500001)
+    assert rt.update_priorities(held, twice).count() == 200
     uniform = rt.sample_uniform(held, 10, 1).collect()
     assert len(uniform) == 10 and all(r.weight == 1.0 for r in uniform) and math.isclose(sum(r.weight for r in uniform), 10)

@@ -4,6 +4,7 @@ import tarfile
 import pytest
 
 from kifuframe.sources import records as sources
+from kifuframe.sources.files import arrow_uri
 
 SGF = "(;SZ[{}]RE[B+1];B[aa];W[bb])"
 
@@ -67,6 +68,27 @@ def test_archives(spark, archives):
     assert len(games.where("member = 'x/1.sgf'").first().moves) == 2
 
 
+def test_odd_names_and_repeated_members(spark, tmp_path):
+    base = tmp_path / "a b#c %41"
+    base.mkdir()
+    with tarfile.open(base / "x y#z %20.tgz", "w:gz") as tar:
+        for i in range(3):
+            data = SGF.format(9 + i).encode()
+            info = tarfile.TarInfo("same.sgf")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    assert sources.read_game_archives(spark, str(tmp_path)).count() == 3
+    first = sources.read_game_archives(spark, str(tmp_path), max_games=1).collect()
+    assert [r.board_size for r in first] == [9]
+
+
+@pytest.mark.parametrize("path, uri", [
+    ("s3a://bucket/a b#1.tgz", "s3://bucket/a%20b%231.tgz"), ("file:/x/%41", "file:///x/%2541"), ("/x y", "file:///x%20y"),
+    ("hdfs://host:9000/a", "hdfs://host:9000/a")])
+def test_paths_as_uris(path, uri):
+    assert arrow_uri(path) == uri
+
+
 def test_size_filter_is_below_the_move_parse(spark, folder):
     plan = sources.read_game_dir(spark, folder, board_size=9)._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()

@@ -3,6 +3,7 @@ import pytest
 
 from kifuframe.operators import examples as ex
 from kifuframe.operators import models, ratings, replay
+from kifuframe.operators import replay_table as rt
 from kifuframe.sources import records as sources
 from kifuframe.streaming import ratings as stream_ratings
 from kifuframe.streaming import records as stream_records
@@ -48,19 +49,34 @@ def test_stream_elo_over_batches_equals_batch_elo(spark, tmp_path):
         assert (row.wins, row.losses, row.draws) == tuple(tally[row.player][c] for c in ("wins", "losses", "draws"))
 
 
-def test_stream_replay_is_idempotent_and_bounded(spark, tmp_path):
-    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for start in (0, 100):
-        spark.range(start, start + 100).withColumnRenamed("id", "seq").coalesce(1).write.mode("append").parquet(folder)
+def test_stream_elo_takes_the_type_of_its_players(spark, tmp_path):
+    schema = "player string, game_idx bigint, plays_black boolean, outcome int"
+    spark.createDataFrame([("ann", 0, True, 1), ("bob", 0, True, -1)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    sinks.write_batches(stream_ratings.stream_elo(stream), f"{out}/data", f"{out}/log", "update").awaitTermination()
+    assert {r.player: r.wins for r in spark.read.parquet(f"{out}/data").collect()} == {"ann": 1, "bob": 0}
+
+
+def test_stream_replay_is_a_ring_with_feedback(spark, tmp_path):
+    folder, out, errors = (str(tmp_path / name) for name in ("in", "out", "errors"))
+    capacity, steps = 120, 5
+    table = spark.createDataFrame([], "seq bigint, priority double")
+    for step in range(steps):
+        batch = spark.range(step * 50, step * 50 + 50).withColumnRenamed("id", "seq")
+        batch.coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema("seq bigint").parquet(folder)
-        stream_replay.stream_replay(stream, f"{out}/data", f"{out}/log").awaitTermination()
-    kept = stream_replay.read_replay(spark, f"{out}/data", 120)
-    assert sorted(r.seq for r in kept.collect()) == list(range(80, 200))
-    assert {r.priority for r in kept.collect()} == {1.0}
-    # the same batch run again replaces its folder
-    spark.range(100, 200).withColumnRenamed("id", "seq").selectExpr("seq", "1.0D AS priority").write.mode(
-        "overwrite").parquet(f"{out}/data/batch_id=1")
-    assert stream_replay.read_replay(spark, f"{out}/data", 1000).count() == 200
+        stream_replay.stream_replay(
+            stream, f"{out}/data", f"{out}/log", capacity, errors=errors, order="at").awaitTermination()
+        table = rt.evict(rt.push(table, batch, ["seq"]), capacity)
+        found = spark.createDataFrame([(step * 50 + 7, -float(9 - step), step)], "seq bigint, td_error double, at int")
+        found.write.mode("append").parquet(errors)
+        table = spark.createDataFrame(rt.update_priorities(table, found, "at").collect(), table.schema)
+    got = stream_replay.read_replay(spark, f"{out}/data", capacity, errors=errors, order="at")
+    assert sorted(map(tuple, got.select("seq", "priority").collect())) == sorted(map(tuple, table.collect()))
+    assert got.count() == capacity
+    # what had left the ring before the last micro-batch is gone from storage
+    assert spark.read.parquet(f"{out}/data").count() == 200
 
 
 @pytest.fixture(scope="module")
