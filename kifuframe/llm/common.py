@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kifuframe.session import scratch_path
@@ -35,24 +37,52 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Written to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    Spark may delete the shuffle files behind it as soon as the query has ended.
+    Unless ``small``, Spark is asked to delete the shuffle files behind it now.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{name}")
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    if not small:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_with(df: DataFrame, name: str, **figures: str) -> tuple[DataFrame, dict]:
+    """A small stored table and figures of it (SQL aggregates), taken while it was written."""
+    seen = Observation()
+    kept = stored(df.observe(seen, *[F.expr(figure).alias(key) for key, figure in figures.items()]), name, small=True)
+    return kept, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Ask Python and the JVM to notice dropped shuffles, so that their files go now and not at the end."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def kept_in_worker(name: str, make: Callable):
+    """What ``make`` returns, made once per Python process.
+
+    Functions travel to the workers by value, so the globals of a module do not last from task to task; a module that
+    only holds such things does.
+    """
+    holder = sys.modules.setdefault("kifuframe_kept", types.ModuleType("kifuframe_kept")).__dict__
+    if name not in holder:
+        holder[name] = make()
+    return holder[name]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,25 +14,25 @@ per signature, then what is left between components.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kifuframe.llm.common import stored, with_columns
+from kifuframe.llm.common import forget, kept_in_worker, release, stored, stored_with, with_columns
 
 WORDS = 4
 PERCENT = 85
 #: Ratio of the sizes at the two ends of a band.
-GROWTH = 1.5
+GROWTH = 1.3
 #: A signature is skipped when its members have more unverified partners than this on average.
-PARTNERS = 16
-STAR_ROUNDS = 3
+PARTNERS = 32
+STAR_ROUNDS = 2
 KNOWN_WORDS = 500_000
 BAND_BITS = 6
+ROWS = "count(1)"
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 _33 = np.uint64(33)
 
@@ -51,17 +51,15 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
-
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; a shorter text is one n-gram, no words give none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > KNOWN_WORDS:
-        _words.clear()
-    codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = kept_in_worker("words", _Words)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(size, len(codes))
     n = len(codes) - size + 1
     total = codes[:n].copy()
@@ -81,16 +79,19 @@ class Bands:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * GROWTH)))
         #: most elements in which a pair in reach can differ
         self.differ = [2 * (high - 1) * (100 - percent) // (100 + percent) for high in self.low[1:]]
-        self.slack = [2 + d // 24 for d in self.differ]
+        self.slack = [min(3, 1 + d // 3) + d // 16 for d in self.differ]
         self.segments = [d + 1 + s for d, s in zip(self.differ, self.slack, strict=True)]
         self.halves = [d // 2 + 1 for d in self.differ]
 
+    def at(self, size: int) -> int:
+        return int(np.searchsorted(self.low, size, side="right")) - 1
+
     def of(self, size: int) -> list[int]:
         """The band of a size and the next ones whose sets it can be in reach of.
 
         Bands without differences are left out: there only equal sets are in reach.
         """
-        at = int(np.searchsorted(self.low, size, side="right")) - 1
+        at = self.at(size)
         out = []
         while at < len(self.differ) and (self.low[at] <= size or 100 * size >= self.percent * self.low[at]):
             if self.differ[at]:
@@ -99,9 +100,8 @@ class Bands:
         return out
 
 
-@lru_cache(maxsize=4)
 def bands_for(percent: int) -> Bands:
-    return Bands(percent)
+    return kept_in_worker(f"bands {percent} {GROWTH}", lambda: Bands(percent))
 
 
 def _segments(elements: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,15 +171,38 @@ def _sets(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                 flat = np.concatenate(found) if found else np.zeros(0, np.int64)
                 yield with_columns(batch, {
                     "n": pa.array([len(s) for s in sets], pa.int64()), "name1": pa.array(names[:, 0].copy()),
-                    "name2": pa.array(names[:, 1].copy()),
+                    "name2": pa.array(names[:, 1].copy()), "band": pa.array([bands.at(len(s)) for s in sets], pa.int32()),
                     "signatures": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
 
-    made = docs.mapInArrow(run, f"{fields}, n bigint, name1 bigint, name2 bigint, signatures array<bigint>")
+    made = docs.mapInArrow(run, f"{fields}, n bigint, name1 bigint, name2 bigint, band int, signatures array<bigint>")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are in reach; stored."""
+def _in_band(signatures: Column, band: Column) -> Column:
+    return F.filter(signatures, lambda s: s.bitwiseAND(F.lit((1 << BAND_BITS) - 1)) == band)
+
+
+def _promising(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that agree on as many segments as two sets of their sizes in reach must.
+
+    In the band of the larger set, each differing element spoils one segment at most; segments that are empty
+    in both sets have no signature.
+    """
+    bands = bands_for(percent)
+    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "band", "signatures")])
+    both = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
+    band = F.greatest("band_a", "band_b")
+    held = both.select(
+        "a", "b", "n_a", "n_b", F.get(F.array(*[F.lit(m) for m in bands.segments]), band).alias("m"),
+        _in_band(F.col("signatures_a"), band).alias("s_a"), _in_band(F.col("signatures_b"), band).alias("s_b"))
+    equal = F.col("m") - F.greatest(F.size("s_a"), F.size("s_b")) + F.size(F.array_intersect("s_a", "s_b"))
+    differ = F.floor((F.col("n_a") + F.col("n_b")) * F.lit(100 - percent) / F.lit(100 + percent))
+    return held.where(
+        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (equal >= F.col("m") - differ)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs ``a, b`` whose sets are in reach, stored, and their number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -199,9 +222,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     left = texts.select(F.col("row").alias("ra"), F.col("text").alias("ta"))
     right = texts.select(F.col("row").alias("rb"), F.col("text").alias("tb"))
     both = (
-        pairs.join(left, F.col("a") == F.col("ra")).join(right, F.col("b") == F.col("rb"))
+        _promising(pairs, texts, percent).join(right, F.col("b") == F.col("rb")).join(left, F.col("a") == F.col("ra"))
         .select("a", "b", "ta", "tb"))
-    return stored(both.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+    links, seen = stored_with(both.mapInArrow(run, "a bigint, b bigint"), "jaccard-links", n=ROWS)
+    return links, seen["n"]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -209,29 +233,28 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, stored after each round, until nothing changes.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
-                   "components")
-    before = None
+    state = {"n": ROWS, "sum": "sum(cast(xxhash64(u, v) as decimal(38, 0)))"}
+    edges, seen = stored_with(
+        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
+        "components", **state)
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m")).repartition("m")
+        least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m")).repartition(F.xxhash64("c"))
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(
             F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "components-large")
-        least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).repartition("m")
+        least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).repartition(F.xxhash64("c"))
         small = large.join(least, F.col("u") == F.col("c"))
-        edges = stored(
+        before = seen
+        edges, seen = stored_with(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct(), "components")
+            .where("u <> v").distinct(), "components", **state)
+        if seen == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``signature, node, root`` of the signatures whose members are in more than one component; stored."""
+def _grouped(members: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, int]:
+    """``signature, node, root`` of the signatures whose members are in more than one component, stored; their rows."""
     members = members.select("signature", "node")
     if groups is None:
         rooted = members.withColumn("root", F.col("node"))
@@ -239,29 +262,34 @@ def _grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
         rooted = members.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select(
             "signature", "node", F.coalesce("root", "node").alias("root"))
     mixed_ones = rooted.groupBy(F.col("signature").alias("s")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-        .where("lo <> hi").select("s", "lo").repartition("lo")
-    return stored(rooted.join(mixed_ones, F.col("signature") == F.col("s")).select("signature", "node", "root"), "jaccard-open")
+        .where("lo <> hi").select("s", "lo").repartition(F.xxhash64("s"))
+    open_ones, seen = stored_with(
+        rooted.join(mixed_ones, F.col("signature") == F.col("s")).select("signature", "node", "root"), "jaccard-open", n=ROWS)
+    return open_ones, seen["n"]
 
 
 def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
     """Each member of another component than its signature's leader, with the leader."""
     draw = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
     drawn = members.withColumn("draw", draw)
-    leaders = drawn.groupBy(F.col("signature").alias("s")).agg(F.min("draw").alias("lead")).repartition("lead")
+    leaders = drawn.groupBy(F.col("signature").alias("s")).agg(F.min("draw").alias("lead")).repartition(F.xxhash64("s"))
     led = drawn.join(leaders, F.col("signature") == F.col("s"))
     heads = led.where("draw = lead").select(F.col("signature").alias("s2"), F.col("node").alias("a"), F.col("root").alias("r"))
     rest = members.join(heads, F.col("signature") == F.col("s2")).where("root <> r")
     return rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _costs(members: DataFrame) -> DataFrame:
-    """``s, size, open`` (pairs between components) and ``top`` (largest component) of each signature; stored."""
+def _costs(members: DataFrame, partners: float) -> tuple[DataFrame, int]:
+    """``s, size, top`` (largest component), ``costly`` (more open pairs than ``partners`` per member) of each signature,
+    stored; the number of costly ones."""
     sizes = members.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("k"))
-    costs = sizes.groupBy(F.col("signature").alias("s")).agg(
+    sums = sizes.groupBy(F.col("signature").alias("s")).agg(
         F.sum("k").alias("size"), F.sum(F.col("k").cast("double") * F.col("k")).alias("squares"),
         F.max(F.struct("k", "root")).alias("top"))
-    return stored(costs.select("s", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open"),
-                               F.col("top.root").alias("top")), "jaccard-costs")
+    costs = sums.select("s", "size", F.col("top.root").alias("top"), (
+        F.col("size") * F.col("size") - F.col("squares") > F.lit(2.0 * partners) * F.col("size")).alias("costly"))
+    kept, seen = stored_with(costs, "jaccard-costs", n="count_if(costly)")
+    return kept, seen["n"]
 
 
 def _open_pairs(members: DataFrame, costs: DataFrame) -> DataFrame:
@@ -269,7 +297,7 @@ def _open_pairs(members: DataFrame, costs: DataFrame) -> DataFrame:
 
     Members outside the largest component meet all others, so no pair inside that component is made.
     """
-    held = members.join(costs.select("s", "top").repartition("top"), F.col("signature") == F.col("s"))
+    held = members.join(costs.select("s", "top").repartition(F.xxhash64("s")), F.col("signature") == F.col("s"))
     held = held.select("signature", "node", "root", (F.col("root") == F.col("top")).alias("major"))
     minor = held.where(~F.col("major")).select(
         F.col("signature").alias("s2"), F.col("node").alias("m"), F.col("root").alias("mr"))
@@ -289,43 +317,43 @@ class _Search:
     def verify(self, pairs: DataFrame) -> None:
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "jaccard-pairs")
-        links = _verified(pairs, self.texts, self.size, self.percent)
+        pairs, seen = stored_with(pairs, "jaccard-pairs", n=ROWS)
+        if not seen["n"]:
+            return
+        links, found = _verified(pairs, self.texts, self.size, self.percent)
+        release(pairs.sparkSession)
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        if self.groups is not None:
-            links = links.unionByName(self.groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.groups = components(links)
+        if found:
+            if self.groups is not None:
+                links = links.unionByName(self.groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            self.groups = components(links)
 
-    def settle(self, members: DataFrame, partners: float) -> DataFrame | None:
+    def settle(self, held: DataFrame, partners: float) -> DataFrame | None:
         """Verifies what can join components, but for signatures with too many open pairs; returns those."""
-        held = members
-        costly = None
-        for turn in range(STAR_ROUNDS):
-            held = _grouped(held, self.groups)
-            if not held.take(1):
-                return None
-            self.verify(_star_pairs(held, turn))
-            held = _grouped(held, self.groups)
-            costs = _costs(held)
-            costly = costs.where(F.col("open") > partners * F.col("size"))
-            if not costly.take(1):
+        self.verify(_star_pairs(held, 0))
+        for turn in range(1, STAR_ROUNDS + 1):
+            held, _ = _grouped(held, self.groups)
+            costs, costly = _costs(held, partners)
+            if not costly or turn == STAR_ROUNDS:
                 break
-        cheap = costs.where(F.col("open") <= partners * F.col("size"))
-        self.verify(_open_pairs(held, cheap))
-        if not costly.take(1):
+            # other leaders may join what is left of a large group of near copies
+            led = held.join(costs.where("costly").select("s", "size").repartition(F.xxhash64("s")), F.col("signature") == F.col("s"))
+            self.verify(_star_pairs(led.select("signature", "node", "root"), turn))
+        self.verify(_open_pairs(held, costs.where("not costly")))
+        if not costly:
             return None
-        skipped = held.join(costly.select("s", "size").repartition("size"), F.col("signature") == F.col("s"))
-        return skipped.select("signature", "node")
+        return held.join(costs.where("costly").select("s", "size").repartition(F.xxhash64("s")), F.col("signature") == F.col("s")).select(
+            "signature", "node")
 
 
-def _again(skipped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _again(skipped: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``node, band`` of the documents whose skipped and empty subsets exceed the slack."""
     bands = bands_for(percent)
     lost = skipped.groupBy("node", F.col("signature").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band")) \
         .agg(F.count(F.lit(1)).alias("lost"))
     own = F.size(F.filter("signatures", lambda s: s.bitwiseAND(F.lit((1 << BAND_BITS) - 1)) == F.col("band")))
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("band"))
-    return lost.join(sets.select("row", "signatures"), F.col("node") == F.col("row")).where(
+    return lost.join(texts.select("row", "signatures"), F.col("node") == F.col("row")).where(
         F.col("lost") + pick(bands.segments) - own > pick(bands.slack)).select("node", "band")
 
 
@@ -338,41 +366,49 @@ def _deletions(again: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found), pa.array(np.full(len(found), node, np.int64))], names=["signature", "node"])
 
-    joined = again.join(texts, F.col("node") == F.col("row")).select("node", "band", "text")
+    joined = again.join(texts.select("row", "text"), F.col("node") == F.col("row")).select("node", "band", "text")
     return joined.mapInArrow(run, "signature bigint, node bigint")
 
 
-def _roots(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored rows of ``docs``, and ``row, id, n, root, component_id`` of each."""
+def _roots(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
+           last_use: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored rows of ``docs`` (deleted again on their ``last_use`` here), and ``row, id, n, root, component_id`` of each."""
     sets = _sets(docs, text, size, percent)
-    light = sets.select("row", F.col(doc_id).alias("id"), "n", "name1", "name2")
+    light = stored(sets.select("row", F.col(doc_id).alias("id"), "n", "name1", "name2"), "jaccard-light", small=True)
     classes = stored(light.where("n > 0").groupBy("name1", "name2").agg(
-        F.min("row").alias("node"), F.min("id").alias("least")), "jaccard-classes")
-    copies = light.where("n > 0").join(classes.repartition("node"), ["name1", "name2"]).where("row <> node").select(
-        F.col("row").alias("copy"))
-    firsts = sets.where(F.size("signatures") > 0).select("row", "signatures").join(
-        copies, F.col("row") == F.col("copy"), "left_anti")
-    named = firsts.select(F.explode("signatures").alias("signature"), F.col("row").alias("node"))
-    shared = named.groupBy(F.col("signature").alias("s")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = stored(named.join(stored(shared, "jaccard-shared").select("s"), F.col("signature") == F.col("s"))
-                     .select("signature", "node"), "jaccard-members")
-    wanted = members.select("node").distinct()
-    texts = stored(sets.select("row", F.col(text).alias("text")).join(wanted, F.col("row") == F.col("node"), "left_semi"),
-                   "jaccard-texts")
+        F.min("row").alias("node"), F.min("id").alias("least")), "jaccard-classes", small=True)
+    copies = light.where("n > 0").join(classes, ["name1", "name2"]).where("row <> node").select(
+        F.col("row").alias("copy"), F.col("node").alias("first"))
+    # copies take part under the number of the first of them, once per signature
+    named = sets.select(F.explode("signatures").alias("signature"), "row")
+    shared = stored(named.groupBy(F.col("signature").alias("s")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"),
+                    "jaccard-shared")
+    members = stored(
+        named.join(shared, F.col("signature") == F.col("s")).join(copies, F.col("row") == F.col("copy"), "left")
+        .select("signature", F.coalesce("first", "row").alias("node")).distinct(), "jaccard-members")
+    held, rows = _grouped(members, None)
+    wanted = held.select("node").distinct()
+    texts = stored(
+        sets.select("row", "n", "band", "signatures", F.col(text).alias("text"))
+        .join(wanted, F.col("row") == F.col("node"), "left_semi"), "jaccard-texts")
+    if last_use:
+        forget(sets)
     search = _Search(texts, size, percent)
-    skipped = search.settle(members, PARTNERS)
+    skipped = search.settle(held, PARTNERS) if rows else None
     if skipped is not None:
-        again = stored(_again(skipped, sets, percent), "jaccard-again")
-        search.settle(stored(_deletions(again, texts, size, percent), "jaccard-deletions"), float("inf"))
+        again = stored(_deletions(_again(skipped, texts, percent), texts, size, percent), "jaccard-deletions", small=True)
+        held, rows = _grouped(again, search.groups)
+        if rows:
+            search.settle(held, float("inf"))
     if search.groups is None:
         rooted = classes.withColumn("root", F.col("node"))
     else:
         rooted = classes.join(search.groups.select(F.col("node").alias("g"), "root"), F.col("node") == F.col("g"), "left") \
             .withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted.select("name1", "name2", "root", "least"), "jaccard-rooted")
-    least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")).repartition("component_id")
+    rooted = stored(rooted.select("name1", "name2", "root", "least"), "jaccard-rooted", small=True)
+    least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")).repartition(F.xxhash64("r"))
     named_roots = stored(rooted.join(least, F.col("root") == F.col("r")).select("name1", "name2", "root", "component_id"),
-                         "jaccard-components")
+                         "jaccard-components", small=True)
     whole = light.join(named_roots, ["name1", "name2"], "left")
     return sets, whole.select(
         "row", "id", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("row")).alias("root"),
@@ -390,7 +426,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     * An empty table gives an empty table.
     """
     rows = docs.select(F.col(doc_id).alias("c0"), F.col(text).alias("c1"))
-    _, found = _roots(rows, "c0", "c1", words, percent)
+    _, found = _roots(rows, "c0", "c1", words, percent, last_use=True)
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -402,7 +438,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     names = docs.columns
     fixed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    sets, found = _roots(fixed, f"c{names.index(doc_id)}", f"c{names.index(text)}", words, percent)
+    sets, found = _roots(fixed, f"c{names.index(doc_id)}", f"c{names.index(text)}", words, percent, last_use=False)
     stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("stay"))
     return sets.join(stays.select("stay"), F.col("row") == F.col("stay"), "left_semi").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

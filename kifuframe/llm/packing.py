@@ -11,14 +11,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kifuframe.llm.common import batches_of, fresh, stored
+from kifuframe.llm.common import batches_of, kept_in_worker, stored
 
 WINDOW = 1_024
 ROUNDS = 400
@@ -30,8 +29,11 @@ DOCS_AT_ONCE = 500
 
 # --- tokens ------------------------------------------------------------------------------------
 
-@lru_cache(maxsize=2)
 def _tokenizers(model: str, ranks: str):
+    return kept_in_worker(f"tokenizers {model} {ranks}", lambda: _load(model, ranks))
+
+
+def _load(model: str, ranks: str):
     import base64
 
     import public_tokenizers

@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from kifuframe.llm.common import schema_with, with_columns
+from kifuframe.llm.common import kept_in_worker, schema_with, with_columns
 
 SPACE = "▁"
 #: What an unknown id decodes to. Fixed value.
@@ -270,9 +269,8 @@ def _lenient(raw: bytes) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def vocabulary(model: str) -> Vocabulary:
-    return Vocabulary(model)
+    return kept_in_worker(f"vocabulary {model}", lambda: Vocabulary(model))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", drop_text: bool = False) -> DataFrame:
