@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kifuframe.llm.common import forget, kept_in_worker, release, stored, stored_with, with_columns
@@ -118,21 +118,29 @@ def _named(sums: np.ndarray, place: np.ndarray, band: int, level: int) -> np.nda
     return ((named << np.uint64(BAND_BITS)) | np.uint64(band)).view(np.int64)
 
 
-def subset_signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signature of each segment's subset, for each band of the set.
+def subsets(elements: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Signature of each segment's subset, and a print of one byte (0 if empty), for each band of the set.
 
     Empty subsets say nothing, and the slack covers them; with more empty ones than slack they are named too.
     """
-    out = []
+    names, prints = [], []
     for band in bands.of(len(elements)):
         count = bands.segments[band]
         _, held, sums, _ = _segments(elements, count)
+        at = held.astype(np.int64)
+        marks = np.zeros(count, np.uint8)
+        marks[at] = 1 + mixed(sums) % np.uint64(255)
+        prints.append(marks)
         if count - len(held) > bands.slack[band]:
             full = np.zeros(count, np.uint64)
-            full[held.astype(np.int64)] = sums
+            full[at] = sums
             held, sums = np.arange(count, dtype=np.uint64), full
-        out.append(_named(sums, held, band, 0))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        names.append(_named(sums, held, band, 0))
+    return np.concatenate(names) if names else np.zeros(0, np.int64), prints
+
+
+def subset_signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
+    return subsets(elements, bands)[0]
 
 
 def deletion_signatures(elements: np.ndarray, band: int, bands: Bands) -> np.ndarray:
@@ -153,6 +161,15 @@ def in_reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _lists(parts: list, kind: type) -> pa.ListArray:
+    """Arrays (or list arrays) as the rows of one list array."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32))
+    if parts and isinstance(parts[0], pa.Array):
+        return pa.ListArray.from_arrays(offsets, pa.concat_arrays(parts))
+    flat = np.concatenate(parts) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.view(kind) if flat.dtype == np.uint8 else flat.astype(kind)))
+
+
 # --- stages ------------------------------------------------------------------------------------
 
 def _sets(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
@@ -166,39 +183,33 @@ def _sets(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                 batch = whole.slice(at, 1_000)
                 sets = [shingles(t.as_py(), size) for t in batch.column(text)]
                 names = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
-                found = [subset_signatures(s, bands) for s in sets]
-                offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-                flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+                found = [subsets(s, bands) for s in sets]
                 yield with_columns(batch, {
                     "n": pa.array([len(s) for s in sets], pa.int64()), "name1": pa.array(names[:, 0].copy()),
                     "name2": pa.array(names[:, 1].copy()), "band": pa.array([bands.at(len(s)) for s in sets], pa.int32()),
-                    "signatures": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
+                    "first": pa.array([next(iter(bands.of(len(s))), 0) for s in sets], pa.int32()),
+                    "signatures": _lists([f for f, _ in found], np.int64),
+                    "prints": _lists([_lists(p, np.int8) for _, p in found], np.int8)})
 
-    made = docs.mapInArrow(run, f"{fields}, n bigint, name1 bigint, name2 bigint, band int, signatures array<bigint>")
+    made = docs.mapInArrow(run, f"{fields}, n bigint, name1 bigint, name2 bigint, band int, first int, signatures array<bigint>, "
+        "prints array<array<tinyint>>")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-def _in_band(signatures: Column, band: Column) -> Column:
-    return F.filter(signatures, lambda s: s.bitwiseAND(F.lit((1 << BAND_BITS) - 1)) == band)
-
-
 def _promising(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that agree on as many segments as two sets of their sizes in reach must.
 
-    In the band of the larger set, each differing element spoils one segment at most; segments that are empty
-    in both sets have no signature.
+    In the band of the larger set, each differing element spoils one segment at most. The segments are compared by
+    their prints, which can only overstate how many agree.
     """
-    bands = bands_for(percent)
-    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "band", "signatures")])
+    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "band", "first", "prints")])
     both = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
     band = F.greatest("band_a", "band_b")
-    held = both.select(
-        "a", "b", "n_a", "n_b", F.get(F.array(*[F.lit(m) for m in bands.segments]), band).alias("m"),
-        _in_band(F.col("signatures_a"), band).alias("s_a"), _in_band(F.col("signatures_b"), band).alias("s_b"))
-    equal = F.col("m") - F.greatest(F.size("s_a"), F.size("s_b")) + F.size(F.array_intersect("s_a", "s_b"))
+    print_of = lambda x: F.get(F.col(f"prints_{x}"), band - F.col(f"first_{x}"))
+    equal = F.size(F.filter(F.zip_with(print_of("a"), print_of("b"), lambda x, y: x == y), lambda same: same))
     differ = F.floor((F.col("n_a") + F.col("n_b")) * F.lit(100 - percent) / F.lit(100 + percent))
-    return held.where(
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (equal >= F.col("m") - differ)).select("a", "b")
+    in_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.where(in_size & (equal >= F.size(print_of("a")) - differ)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
@@ -351,10 +362,10 @@ def _again(skipped: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     bands = bands_for(percent)
     lost = skipped.groupBy("node", F.col("signature").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band")) \
         .agg(F.count(F.lit(1)).alias("lost"))
-    own = F.size(F.filter("signatures", lambda s: s.bitwiseAND(F.lit((1 << BAND_BITS) - 1)) == F.col("band")))
+    empty = F.size(F.filter(F.get("prints", F.col("band") - F.col("first")), lambda x: x == 0))
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("band"))
-    return lost.join(texts.select("row", "signatures"), F.col("node") == F.col("row")).where(
-        F.col("lost") + pick(bands.segments) - own > pick(bands.slack)).select("node", "band")
+    return lost.join(texts.select("row", "first", "prints"), F.col("node") == F.col("row")).where(
+        F.col("lost") + empty > pick(bands.slack)).select("node", "band")
 
 
 def _deletions(again: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -389,7 +400,7 @@ def _roots(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
     held, rows = _grouped(members, None)
     wanted = held.select("node").distinct()
     texts = stored(
-        sets.select("row", "n", "band", "signatures", F.col(text).alias("text"))
+        sets.select("row", "n", "band", "first", "prints", F.col(text).alias("text"))
         .join(wanted, F.col("row") == F.col("node"), "left_semi"), "jaccard-texts")
     if last_use:
         forget(sets)

@@ -25,7 +25,7 @@ SPACE = "▁"
 #: What an unknown id decodes to. Fixed value.
 UNKNOWN = " ⁇ "
 SIDE_BY_SIDE = 48
-CACHED_PARTS = 300_000
+CACHED_PARTS = 500_000
 DOCS_AT_ONCE = 500
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _NONE = np.int64(1 << 30)
@@ -73,9 +73,11 @@ class Vocabulary:
                          for i in range(size)]
         self.controls = [i for i in range(size) if lib.is_control(i)]
         self.keeps_space = [lib.is_byte(i) or lib.is_unknown(i) for i in range(size)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: ids travel as bytes inside the worker: small to keep and quick to string together
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.known: dict[str, bytes] = {}
 
-    def ids_of(self, symbols: Iterable[int], chars: Iterable[str]) -> tuple[int, ...]:
+    def ids_of(self, symbols: Iterable[int], chars: Iterable[str]) -> bytes:
         """Symbols as ids; a character outside the vocabulary becomes its bytes."""
         out: list[int] = []
         for s, c in zip(symbols, chars, strict=True):
@@ -83,9 +85,9 @@ class Vocabulary:
                 out.append(s)
             else:
                 out.extend(self.byte[b] for b in c.encode("utf-8", "replace"))
-        return tuple(out)
+        return np.array(out, self.kind).tobytes()
 
-    def merge_on_heap(self, part: str) -> tuple[int, ...]:
+    def merge_on_heap(self, part: str) -> bytes:
         """One agenda; for long parts."""
         outside = self.width - 1
         symbols = [self.symbol.get(c, outside) for c in part]
@@ -123,7 +125,7 @@ class Vocabulary:
         fits = self.keys[at] == key
         return np.where(fits, self.ranks[at], _NONE), self.made[at]
 
-    def merge_side_by_side(self, parts: list[str]) -> list[tuple[int, ...]]:
+    def merge_side_by_side(self, parts: list[str]) -> list[bytes]:
         """One merge per part and round, each the best of its agenda."""
         outside = self.width - 1
         chars = "".join(parts)
@@ -168,13 +170,17 @@ class Vocabulary:
         flat = np.concatenate([d[1] for d in done])[order]
         places = np.concatenate([d[2] for d in done])[order]
         ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
-        out, at, listed, wide = [], 0, flat.tolist(), flat >= self.size
-        for end in ends.tolist():
-            out.append(self.ids_of(listed[at:end], [chars[p] for p in places[at:end]]) if wide[at:end].any()
-                       else tuple(listed[at:end]))
-            at = end
+        out = self._cut(flat, ends)
+        for i in np.unique(owner[order][flat >= self.size]).tolist():  # parts with characters outside the vocabulary
+            low, high = int(ends[i - 1]) if i else 0, int(ends[i])
+            out[i] = self.ids_of(flat[low:high].tolist(), [chars[p] for p in places[low:high]])
         return out
 
+    def _cut(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw = flat.astype(self.kind).tobytes()
+        marks = [0, *(ends * self.kind.itemsize).tolist()]
+        return [raw[a:b] for a, b in zip(marks, marks[1:])]
+
     def learn(self, keys: Iterable[str]) -> int:
         """Encode the parts not met before and compare each with the library's ids.
 
@@ -192,12 +198,10 @@ class Vocabulary:
                 self.known[new[i]] = self.merge_on_heap(p)
         checked = [k for k in new if k]  # the library has no ids for an empty text
         theirs = self.library.encode([k.replace(SPACE, " ") for k in checked], num_threads=1)
-        differing = 0
-        for k, ids in zip(checked, theirs, strict=True):
-            if self.known[k] != tuple(ids):
-                self.known[k] = tuple(ids)
-                differing += 1
-        return differing
+        theirs = self._cut(np.fromiter(chain.from_iterable(theirs), np.int64), np.cumsum([len(t) for t in theirs], dtype=np.int64))
+        wrong = [(k, ids) for k, ids in zip(checked, theirs, strict=True) if self.known[k] != ids]
+        self.known.update(wrong)
+        return len(wrong)
 
     def parts_of(self, text: str) -> list[str]:
         """The text cut before space marks, each part without its first mark."""
@@ -212,16 +216,13 @@ class Vocabulary:
         """Ids of all texts in a row, the end id after each, their offsets, and the number of differing parts."""
         cut = [self.parts_of(t) for t in texts]
         needed = set(chain.from_iterable(cut))
-        if len(self.known) > CACHED_PARTS:
-            self.known.clear()
+        if len(self.known) > CACHED_PARTS:  # what this slice needs is what is frequent
+            self.known = {k: self.known[k] for k in needed if k in self.known}
         differing = self.learn(needed)
-        flat: list[int] = []
-        offsets = [0]
-        for parts in cut:
-            flat.extend(chain.from_iterable(map(self.known.__getitem__, parts)))
-            flat.append(self.end)
-            offsets.append(len(flat))
-        return np.array(flat, np.int32), np.array(offsets, np.int32), differing
+        end = np.array([self.end], self.kind).tobytes()
+        coded = [b"".join(map(self.known.__getitem__, parts)) + end for parts in cut]
+        offsets = np.cumsum([0, *(len(c) // self.kind.itemsize for c in coded)]).astype(np.int32)
+        return np.frombuffer(b"".join(coded), self.kind).astype(np.int32), offsets, differing
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control ids vanish, one leading space goes, invalid bytes become U+FFFD."""

@@ -127,9 +127,14 @@ def test_pairs_in_reach_always_share_signatures(percent):
             band = int(np.searchsorted(bands.low, max(len(a), len(b)), side="right")) - 1
             assert band in bands.of(len(a)) and band in bands.of(len(b))
             mask = (1 << jaccard.BAND_BITS) - 1
-            empty = [bands.segments[band] - sum(s & mask == band for s in x) for x in (first, second)]
+            prints = [jaccard.subsets(x, bands)[1][bands.of(len(x)).index(band)] for x in (a, b)]
+            equal = int((prints[0] == prints[1]).sum())
+            assert equal >= bands.segments[band] - (len(a) + len(b)) * (100 - percent) // (100 + percent)
+            assert equal > bands.slack[band]
             shared = sum(s & mask == band for s in first & second)
-            assert shared > bands.slack[band] - min(empty)
+            both_empty = int(((prints[0] == 0) & (prints[1] == 0)).sum())
+            unnamed = min((n for n in (int((p == 0).sum()) for p in prints) if n <= bands.slack[band]), default=0)
+            assert both_empty <= min(int((p == 0).sum()) for p in prints) and shared > bands.slack[band] - unnamed
             first, second = (set(jaccard.deletion_signatures(x, band, bands).tolist()) for x in (a, b))
             assert first & second
     assert tried > 60
