@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 import types
 from collections.abc import Callable, Iterable, Iterator
 
@@ -66,7 +67,12 @@ def stored_with(df: DataFrame, name: str, **figures: str) -> tuple[DataFrame, di
 
 
 def release(spark: SparkSession) -> None:
-    """Ask Python and the JVM to notice dropped shuffles, so that their files go now and not at the end."""
+    """Ask Python and the JVM to notice dropped shuffles, so that their files go now and not at the end.
+
+    Spark's listeners hold the last query that has ended, so an empty one takes its place first.
+    """
+    spark.range(0).collect()
+    time.sleep(0.2)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

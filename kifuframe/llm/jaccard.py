@@ -276,6 +276,7 @@ def _grouped(members: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, i
         .where("lo <> hi").select("s", "lo").repartition(F.xxhash64("s"))
     open_ones, seen = stored_with(
         rooted.join(mixed_ones, F.col("signature") == F.col("s")).select("signature", "node", "root"), "jaccard-open", n=ROWS)
+    release(members.sparkSession)
     return open_ones, seen["n"]
 
 
