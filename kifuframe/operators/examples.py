@@ -23,8 +23,9 @@ def examples(games: DataFrame, moves: DataFrame, n: int) -> DataFrame:
     The outcome is joined to the game-level line first, so the moves table takes part
     in one join only.
     """
-    lines = rp.game_lines(moves, n).join(games.select("game_id", "outcome"), "game_id")
-    return _labelled(rp.replay(moves, n, lines))
+    ranges = rp.move_ranges(moves)
+    lines = rp.lines_of_ranges(ranges, n).join(games.select("game_id", "outcome"), "game_id")
+    return _labelled(rp.replay_ranges(ranges, n, lines))
 
 
 def examples_from_games(games: DataFrame, n: int | Column, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
@@ -57,8 +58,9 @@ def augmented_examples(games: DataFrame, moves: DataFrame, n: int, convention: s
     A turned position is a prefix of a turned line, so cells are mapped once per game and
     symmetry instead of once per position.
     """
-    lines = rp.game_lines(moves, n).join(games.select("game_id", "outcome"), "game_id")
-    return _turned_back(_labelled(rp.replay(moves, n, turned_lines(lines, n, convention))))
+    ranges = rp.move_ranges(moves)
+    lines = rp.lines_of_ranges(ranges, n).join(games.select("game_id", "outcome"), "game_id")
+    return _turned_back(_labelled(rp.replay_ranges(ranges, n, turned_lines(lines, n, convention))))
 
 
 def augmented_examples_from_games(games: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",),

@@ -58,6 +58,11 @@ def game_lines(moves: DataFrame, n: int) -> DataFrame:
         F.max("last_ply").alias("last_ply"),
         F.sum("n_moves").alias("n_moves"),
     )
+    return _as_lines(played)
+
+
+def _as_lines(played: DataFrame) -> DataFrame:
+    """Stones in order of play as the three arrays of a line."""
     return played.select(
         "game_id",
         F.col("stones.ply").alias("line_plies"),
@@ -82,24 +87,55 @@ def place_moves(moves: DataFrame, n: int | Column) -> DataFrame:
     return placed.withColumn("player", F.when(F.col("n_before") % 2 == 0, 1).otherwise(-1))
 
 
-def attach_lines(moves: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Join each move to the game-level row of its game.
+def move_ranges(moves: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``game_id, _chunk, _moves``: the moves of each range of plies in order, as one bounded array.
+
+    The only exchange of move-size data in a replay. A game with very many moves has many
+    ranges, which different tasks hold; other games have one.
+    """
+    columns = ["ply", *(c for c in moves.columns if c not in ("game_id", "ply", "cell"))]
+    # what the join back would filter out is filtered here, so that both uses of the ranges share one exchange
+    at = chunk_of(F.col("ply"), chunk)
+    placed = moves.where(F.col("game_id").isNotNull() & F.col("ply").isNotNull() & at.isNotNull())
+    return placed.groupBy("game_id", at.alias("_chunk")).agg(
+        F.sort_array(F.collect_list(F.struct(*columns))).alias("_moves"))
+
 
-    The join key is (game, ply range): a game with very many moves is spread over
-    tasks, and its one line is copied once per range. Other games have one range.
+def lines_of_ranges(ranges: DataFrame, n: int) -> DataFrame:
+    """The lines of :func:`game_lines` from ranges: their first touches, at most n*n small rows per range, are merged."""
+    found = F.transform("_moves", lambda m: F.when(
+        board.in_bounds(m["row"], m["col"], n), board.cell_of(m["row"], m["col"], n)))
+    held = computed_once(
+        ranges.select("game_id", "_moves", F.get(F.col("_moves.ply"), F.size("_moves") - 1).alias("last_ply")), _cells=found)
+    touched = F.transform(F.array_distinct(F.array_compact("_cells")), lambda c: F.struct(
+        F.get(F.col("_moves.ply"), (F.array_position("_cells", c) - 1).cast("int")).alias("ply"), c.alias("cell")))
+    # a range without a stone still counts its moves
+    each = held.select("game_id", "last_ply", F.size("_moves").alias("moves"), F.posexplode_outer(touched).alias("at", "touch"))
+    firsts = each.groupBy("game_id", "touch.cell").agg(
+        F.min("touch.ply").alias("ply"), F.max("last_ply").alias("last_ply"),
+        F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("moves"))).alias("n_moves"))
+    played = firsts.groupBy("game_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("ply", "cell")))).alias("stones"),
+        F.max("last_ply").alias("last_ply"), F.sum("n_moves").alias("n_moves"))
+    return _as_lines(played)
+
+
+def replay_ranges(ranges: DataFrame, n: int, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Moves with the replay columns and the columns of their game's line.
+
+    Lines are copied once per range and joined to the ranges, which lie where their exchange put them.
     """
-    ranges = lines.withColumn("_chunk", F.explode(F.sequence(
+    spread = lines.withColumn("_chunk", F.explode(F.sequence(
         F.lit(0).cast("bigint"), chunk_of(F.col("last_ply"), chunk)))).drop("last_ply", "n_moves")
-    return (
-        moves.withColumn("_chunk", chunk_of(F.col("ply"), chunk))
-        .join(ranges, ["game_id", "_chunk"]).drop("_chunk")
-    )
+    joined = ranges.join(spread, ["game_id", "_chunk"])
+    others = [c for c in spread.columns if c not in ("game_id", "_chunk")]
+    return place_moves(joined.select("game_id", *others, F.inline("_moves")), n)
 
 
-def replay(moves: DataFrame, n: int, lines: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+def replay(moves: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     """Moves with ``in_bounds, cell, n_before, accepted, player`` and the game's line."""
-    lines = game_lines(moves, n) if lines is None else lines
-    return place_moves(attach_lines(moves.drop("cell"), lines, chunk), n)
+    ranges = move_ranges(moves, chunk)
+    return replay_ranges(ranges, n, lines_of_ranges(ranges, n), chunk)
 
 
 def replay_games(games: DataFrame, n: int | Column, keys: tuple[str, ...] = ("game_id",)) -> DataFrame:
