@@ -28,7 +28,7 @@ PERCENT = 85
 #: Ratio of the sizes at the two ends of a band.
 GROWTH = 1.3
 #: A signature is skipped when its members have more unverified partners than this on average.
-PARTNERS = 32
+PARTNERS = 4
 STAR_ROUNDS = 2
 KNOWN_WORDS = 500_000
 BAND_BITS = 6
@@ -281,9 +281,19 @@ def _grouped(members: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, i
 
 
 def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member of another component than its signature's leader, with the leader."""
-    draw = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-    drawn = members.withColumn("draw", draw)
+    """Each member of another component than its signature's leader, with the leader.
+
+    The leader is the member that meets the most others over all its signatures: the text that a group of
+    near copies was made from is closer to all of them than they are to each other. Later turns draw by hash.
+    """
+    if turn == 0:
+        sizes = members.groupBy(F.col("signature").alias("z")).agg(F.count(F.lit(1)).alias("k")).repartition(F.xxhash64("z"))
+        met = members.join(sizes, F.col("signature") == F.col("z")).groupBy(F.col("node").alias("c")).agg(F.sum("k").alias("met"))
+        ties = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+        drawn = members.join(met, F.col("node") == F.col("c")).select(
+            "signature", "node", "root", (ties - F.col("met") * F.lit(1 << 20)).alias("draw"))
+    else:
+        drawn = members.withColumn("draw", F.xxhash64(F.lit(turn), "node"))
     leaders = drawn.groupBy(F.col("signature").alias("s")).agg(F.min("draw").alias("lead")).repartition(F.xxhash64("s"))
     led = drawn.join(leaders, F.col("signature") == F.col("s"))
     heads = led.where("draw = lead").select(F.col("signature").alias("s2"), F.col("node").alias("a"), F.col("root").alias("r"))
