@@ -1,11 +1,14 @@
 """Quality rules: zstandard compression bands over whole documents and fixed chunks.
 
 Repetitive text compresses far below, random text far above what prose of the same length does.
-The limits depend on the length, because a short text carries no history to refer to.
+The limits depend on the length, because a short text carries no history to refer to. Texts of other
+scripts than the Latin one are recoded to one byte per letter first, so that the limits hold for them too.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,11 +34,37 @@ BANDS = (
     (3_200, 0.45, 0.62),
     (6_400, 0.425, 0.57),
     (12_800, 0.41, 0.54),
-    (1 << 62, 0.38, 0.52),
+    (25_600, 0.38, 0.52),
+    (51_200, 0.36, 0.52),
+    (102_400, 0.345, 0.52),
+    (204_800, 0.335, 0.52),
+    (409_600, 0.325, 0.52),
+    (819_200, 0.315, 0.52),
+    (1 << 62, 0.30, 0.52),
 )
 #: The same for full chunks of CHUNK_BYTES, and the share of them that may lie outside.
 CHUNK_BAND = (0.425, 0.58)
 CHUNKS_OUTSIDE = 0.25
+#: Up to so many bytes a character a text is Latin script and measured as it is.
+LATIN_BYTES = 1.2
+#: Letters beyond ASCII that get a byte of their own; the byte 255 marks all others.
+OWN_BYTES = 127
+#: A text with more others than this share is ideographic: it is measured in UTF-8, against wider limits.
+MOST_OTHERS = 0.05
+WIDE_BANDS = (
+    (64, 0.0, 9.0),
+    (128, 0.45, 1.15),
+    (200, 0.55, 1.08),
+    (400, 0.52, 1.00),
+    (800, 0.50, 0.88),
+    (1_600, 0.465, 0.78),
+    (3_200, 0.45, 0.71),
+    (6_400, 0.425, 0.66),
+    (12_800, 0.41, 0.64),
+    *((most, low, 0.62) for most, low, _ in BANDS[9:]),
+)
+WIDE_CHUNK_BAND = (0.40, 0.68)
+HANGUL = re.compile("[\uac00-\ud7a3]")
 
 ADDED = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
          "base_failed boolean, kept boolean, ratio double, n_chunks bigint, n_chunks_outside bigint")
@@ -66,17 +95,42 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:n]) > 0))
 
 
-def compression(raw: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[bool, float, int, int]:
+def coded(text: str, raw: bytes) -> tuple[bytes, bool]:
+    """The bytes to measure and whether they are ideographic.
+
+    Outside Latin script the most frequent letters beyond ASCII get one byte each, by rank; Hangul syllables are
+    taken apart into their letters first.
+    """
+    if len(raw) <= LATIN_BYTES * len(text):
+        return raw, False
+    if HANGUL.search(text):
+        text = unicodedata.normalize("NFD", text)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    far = np.flatnonzero(points > 127)
+    kinds, where, times = np.unique(points[far], return_inverse=True, return_counts=True)
+    rank = np.empty(len(kinds), np.int64)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(kinds))
+    rank = rank[where]
+    others = rank >= OWN_BYTES
+    if np.count_nonzero(others) > MOST_OTHERS * len(points):
+        return raw, True
+    one = points.astype(np.uint8)
+    one[far] = np.where(others, 255, 128 + np.minimum(rank, OWN_BYTES - 1))
+    return one.tobytes(), False
+
+
+def compression(raw: bytes, squeeze: zstandard.ZstdCompressor, wide: bool = False) -> tuple[bool, float, int, int]:
     """Verdict of the bands, ratio of the whole, number of full chunks, and of those outside their band."""
     if not raw:
         return False, 0.0, 0, 0
     ratio = len(squeeze.compress(raw)) / len(raw)
-    low, high = next((lo, hi) for most, lo, hi in BANDS if len(raw) <= most)
+    low, high = next((lo, hi) for most, lo, hi in (WIDE_BANDS if wide else BANDS) if len(raw) <= most)
+    least, most = WIDE_CHUNK_BAND if wide else CHUNK_BAND
     chunks = len(raw) // CHUNK_BYTES
     outside = 0
     for i in range(chunks):
         part = len(squeeze.compress(raw[i * CHUNK_BYTES:(i + 1) * CHUNK_BYTES])) / CHUNK_BYTES
-        outside += not CHUNK_BAND[0] <= part <= CHUNK_BAND[1]
+        outside += not least <= part <= most
     return low <= ratio <= high and outside <= CHUNKS_OUTSIDE * chunks, ratio, chunks, outside
 
 
@@ -88,7 +142,8 @@ def measure(text: str | None, squeeze: zstandard.ZstdCompressor) -> tuple:
     lines = [line for line in raw.split(b"\n") if line.strip()]
     again = repeated_words(words)
     failed = n < 20 or 100 * again > 30 * n
-    good, ratio, chunks, outside = compression(raw, squeeze)
+    body, wide = coded(text or "", raw)
+    good, ratio, chunks, outside = compression(body, squeeze, wide)
     return (n, len(text or "") - blanks, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
             again, failed, good and not failed, ratio, chunks, outside)
 
@@ -98,6 +153,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
     * A null text is empty: all counts are 0, it fails the base rule and is not kept.
     * Words are runs of anything but ASCII blanks; lines are cut at ``\\n`` only.
+    * ``ratio`` and chunks are of the bytes that are measured: UTF-8 in Latin and ideographic script, else one byte per letter.
     * Rows are judged alone, so repeated rows get equal verdicts and an empty table stays empty.
     * Input columns with the names of the added ones are replaced.
 

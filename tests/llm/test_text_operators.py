@@ -79,6 +79,60 @@ def test_quality_tells_noise_from_prose(spark, documents):
     assert {r.doc_id: r.kept for r in quality.judge(rows).collect()} == {1: True, 2: False, 3: False}
 
 
+def labelled(spark, quality_label, folder="/root/testdata/sf0.1"):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels.where(F.col("quality") == quality_label), "doc_id").select("doc_id", "lang", "text").dropDuplicates(["text"])
+    return sorted((r.doc_id, r.lang, r.text) for r in rows.collect())
+
+
+def alphabet(lower, upper):
+    return {ord("a") + i: lower + i for i in range(26)} | {ord("A") + i: upper + i for i in range(26)}
+
+
+def without_near_copies(texts):
+    seen = set()
+    for text in texts:
+        words = text.split()
+        runs = {tuple(words[i:i + 8]) for i in range(len(words) - 7)}
+        if not runs & seen:
+            yield text
+        seen |= runs
+
+
+def test_quality_keeps_long_documents(spark):
+    good, squeeze = labelled(spark, 1), zstandard.ZstdCompressor(level=quality.LEVEL)
+    random.Random(1).shuffle(good)
+    for lang in ("de", "en", "es", "fr"):
+        text = "\n".join(without_near_copies(t for _, x, t in good if x == lang))
+        for n in (20_000, 60_000, 150_000, 300_000, 500_000, len(text)):
+            assert all(quality.measure(text[i:i + n], squeeze)[6] for i in range(0, len(text) - n + 1, n)), (lang, n)
+    assert len(text) > 500_000 and not quality.measure(text[:5_000] * 100, squeeze)[6]
+
+
+@pytest.mark.parametrize("lower, upper", [(0x430, 0x410), (0x3B1, 0x391), (0x621, 0x641), (0x905, 0x925), (0x10D0, 0x10A0)])
+def test_quality_does_not_depend_on_the_script(spark, lower, upper):
+    squeeze, table = zstandard.ZstdCompressor(level=quality.LEVEL), alphabet(lower, upper)
+    good, bad = ([t for _, _, t in labelled(spark, label)] for label in (1, 0))
+    for text in good[:600] + ["\n".join(good)[:1_200_000]]:
+        assert quality.measure(text.translate(table), squeeze)[6] == quality.measure(text, squeeze)[6]
+    assert sum(quality.measure(t.translate(table), squeeze)[6] for t in bad) <= 1.02 * sum(quality.measure(t, squeeze)[6] for t in bad)
+    rng = random.Random(2)
+    noise = " ".join("".join(chr(lower + rng.randrange(26)) for _ in range(6)) for _ in range(500))
+    assert not quality.measure(noise, squeeze)[6] and not quality.measure("слово за слово " * 400, squeeze)[6]
+
+
+def test_quality_of_ideographs():
+    rng, squeeze = np.random.default_rng(1), zstandard.ZstdCompressor(level=quality.LEVEL)
+    signs = rng.permutation(np.arange(0x4E00, 0x9FA5))[:3_500]
+    law = lambda n, k: 1 / (np.arange(n) + k) / (1 / (np.arange(n) + k)).sum()
+    words = ["".join(map(chr, rng.choice(signs, k, p=law(3_500, 8)))) for k in rng.choice([1, 2, 3], 20_000)]
+    for n in (500, 2_000, 8_000):
+        prose = "，\n".join("".join(words[i] for i in rng.choice(20_000, 20, p=law(20_000, 3))) for _ in range(n // 20))
+        noise = "，\n".join("".join(map(chr, rng.integers(0x4E00, 0x9FA5, 40))) for _ in range(n // 20))
+        assert quality.measure(prose, squeeze)[6] and not quality.measure(noise, squeeze)[6]
+        assert not quality.measure(prose[:200] * (n // 100), squeeze)[6]
+
+
 def test_quality_keeps_columns_and_empty_tables(odd):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns and kept.collect() == []
