@@ -32,7 +32,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of 1,024."""
-    pieces = packing.pack_documents(docs)
+    pieces = packing.pack_documents(docs, added_tokens=True)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -29,37 +29,68 @@ DOCS_AT_ONCE = 500
 
 # --- tokens ------------------------------------------------------------------------------------
 
-def _tokenizers(model: str, ranks: str):
-    return kept_in_worker(f"tokenizers {model} {ranks}", lambda: _load(model, ranks))
+def _tokenizers(model: str, ranks: str, added: bool):
+    return kept_in_worker(f"tokenizers {model} {ranks} {added}", lambda: _load(model, ranks, added))
 
 
-def _load(model: str, ranks: str):
+def _load(model: str, ranks: str, added: bool):
+    """Fast and exact encoder, and a pattern of the added tokens; both files must hold the same merges in the same order."""
     import base64
+    import json
+    import re
 
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    with open(model, encoding="utf-8") as file:
+        content = json.load(file)
+    special = {}
+    for token in content["added_tokens"]:
+        if any(token[k] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} is not matched as it stands")
+        special[token["content"]] = token["id"]
+    # byte-level tokens spell the bytes below 256 as printable signs
+    signs = sorted(ByteLevel.alphabet())
+    plain = [c for c in signs if ord(c) < 256]
+    missing = iter(sorted(c for c in signs if ord(c) >= 256))
+    byte_of = {c: ord(c) for c in plain} | dict(zip(missing, sorted(set(range(256)) - {ord(c) for c in plain}), strict=False))
+    spelt = lambda token: bytes(byte_of[c] for c in token)
+    vocabulary = content["model"]["vocab"]
+    if {spelt(t): i for t, i in vocabulary.items() if t not in special} != {t: i for t, i in table.items() if i not in special.values()}:
+        raise ValueError("the two vocabularies differ")
+    order = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in content["model"]["merges"]]
+    if order != sorted(order):
+        raise ValueError("the merges are not in the order of the ids")
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special if added else {})
     exact = Tokenizer.from_file(model)
-    exact.encode_special_tokens = True
-    return fast, exact
+    exact.encode_special_tokens = not added
+    marks = re.compile("|".join(map(re.escape, special))) if special else None
+    return fast, exact, marks
 
 
-def tokens_of(batches: Iterable[pa.RecordBatch], text: str, model: str, ranks: str, end: int) -> Iterator[pa.RecordBatch]:
-    """Batches with ``ids`` (binary) in place of the text. One text of each slice is compared with ``tokenizers``."""
-    fast, exact = _tokenizers(model, ranks)
+def tokens_of(batches: Iterable[pa.RecordBatch], text: str, model: str, ranks: str, end: int,
+              added: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches with ``ids`` (binary) in place of the text.
+
+    One text of each slice and every text with an added token are compared with ``tokenizers``.
+    """
+    fast, exact, marks = _tokenizers(model, ranks, added)
+    allowed = fast.special_tokens_set
     last = np.array([end], ID_TYPE).tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS_AT_ONCE):
             part = batch.slice(at, DOCS_AT_ONCE)
             texts = [t or "" for t in part.column(text).to_pylist()]
-            coded = [fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            coded = [fast.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()) for t in texts]
             probe = (at // DOCS_AT_ONCE) % len(texts)
-            if exact.encode(texts[probe], add_special_tokens=False).ids != coded[probe].tolist():
-                raise ValueError("the two tokenizers disagree")
+            for i, t in enumerate(texts):
+                if (i == probe or marks and marks.search(t)) and (
+                        exact.encode(t, add_special_tokens=False).ids != coded[i].tolist()):
+                    raise ValueError("the two tokenizers disagree")
             ids = pa.array([c.astype(ID_TYPE).tobytes() + last for c in coded], pa.binary())
             kept = part.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*kept.columns, ids], names=[*kept.schema.names, "_ids"])
@@ -255,13 +286,16 @@ def _numbered(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                   model: str | None = None, ranks: str | None = None, end: int = 0) -> DataFrame:
+                   model: str | None = None, ranks: str | None = None, end: int = 0,
+                   added_tokens: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit numbers. Every id of every document, the
     end id included, lies in one piece; pieces fill each sequence from offset 0 without gaps, and all sequences but
     the last are full.
 
+    * With ``added_tokens`` the added tokens of ``model`` that stand in a text, such as ``<|endoftext|>``, become their own
+      ids, as ``tokenizers`` reads them by default; without it they are encoded like any other text.
     * A null text is empty: its document is the end id alone. Long texts are taken whole.
     * Documents are packed by row, so repeated rows and null or repeated ids each get places of their own.
     * An empty table gives no pieces. Other columns are dropped.
@@ -276,7 +310,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _numbered(tokens_of(batches, "_text", model, ranks, end), window)
+        return _numbered(tokens_of(batches, "_text", model, ranks, end, added_tokens), window)
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     tokens = stored(

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kifuframe.llm import chat, packing, pieces, sharding, warc
+from kifuframe.llm import chat, packing, pieces, queries, sharding, warc
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -99,6 +99,28 @@ def test_packing_keeps_every_token(spark, documents, odd, window):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+MARKS = ["before <|endoftext|> after", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>b", "end <|endoftext|>",
+         "<|endoftext|> x", "  <|endoftext|>\n\n<|endoftext|>  ", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>", "é😀<|endoftext|>日本",
+         "word " * 3_000 + "<|endoftext|>" + " tail" * 3_000]
+
+
+def test_packing_reads_added_tokens_like_the_unmodified_library(spark, tmp_path):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.encode(MARKS[0], add_special_tokens=False).ids == [19052, 220, 50256, 706]
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(MARKS)}
+    docs = spark.createDataFrame(list(enumerate(MARKS)), "doc_id bigint, text string")
+    found = defaultdict(list)
+    for r in packing.pack_documents(docs, added_tokens=True).collect():
+        assert r.doc_tokens == len(want[r.doc_id])
+        found[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert {i: sum((x for _, x in sorted(v)), []) for i, v in found.items()} == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(v) for i, v in want.items()}
+    whole = {r.doc_id: r.ids_crc32 for r in rows if r.length == r.doc_tokens}
+    assert len(whole) > 8 and all(c == zlib.crc32(np.array(want[i], "<u4").tobytes()) for i, c in whole.items())
+
+
 def test_packing_a_length_that_fits_nowhere(spark):
     docs = spark.createDataFrame([(i, "the " * 69) for i in range(200)], "doc_id bigint, text string")
     rows = packing.pack_documents(docs, window=128).collect()
