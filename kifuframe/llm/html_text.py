@@ -23,6 +23,8 @@ SPAN = 3
 #: Elements whose content is never text of the page.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "select",
           "textarea", "button", "audio", "video")
+#: Those of them whose content is no markup: it ends only at their own closing tag.
+RAW = {n: re.compile(rf"(?i)</{n}(?=[\s/>])[^>]*>?") for n in ("script", "style", "noscript", "iframe", "textarea")}
 #: Elements around the article, and those that belong to no article.
 ASIDE = ("nav", "footer", "aside", "form", "dialog", "menu")
 #: Words in class, id or role that mark menus, notices, adverts and reader comments.
@@ -62,19 +64,22 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         end_line()
         lines.extend([("", False)] * SPAN)
 
-    at = 0
+    at = look = 0
     skip_to = ""
-    for tag in _TOKEN.finditer(page):
+    while tag := _TOKEN.search(page, look):
         closing, name, rest = tag.group(1), (tag.group(2) or "").lower(), tag.group(3) or ""
-        if skip_to:  # raw content ends only with its own tag
-            if not (closing and name == skip_to):
-                continue
-            skip_to, at = "", tag.end()
+        look = tag.end()
+        if name in RAW and not closing and (skip_to or not rest.endswith("/")):
+            end = RAW[name].search(page, look)
+            look = end.end() if end else len(page)
+        if skip_to:
+            if closing and name == skip_to:
+                skip_to, at = "", look
             continue
         if not dropped:
             words.append(page[at:tag.start()])
-        at = tag.end()
-        if not name:
+        at = look
+        if not name or name in RAW:
             continue
         if closing:
             found = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)

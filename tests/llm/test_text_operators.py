@@ -204,6 +204,20 @@ def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<script>if(a<b){c()}</script><p>Article</p>", "Article"),
+    ("<p>x</p><script>for(i=0;i<n;i++){s='<!--'}</script><p>Article</p>", "x\nArticle"),
+    ("<script>i<n;s=\"it's</p>\"</script><p>Article</p><p class='a'>it's</p>", "Article\nit's"),
+    ("<SCRIPT type='a/b'>a<b</sCript\n><p>Article</p>", "Article"), ("<script>a<b</scripts></script ><p>Article", "Article"),
+    ("<style>a::after{content:'<b'}</style>one<style>/*<!--*/</style> two", "one two"),
+    ("a<svg><style>p<q{}</style><path/></svg>b<noscript><img alt='<!--'></noscript>c", "abc"),
+    ("<head><script>a<b</script><title>t</title></head><body><p>Article</body>", "Article"),
+    ("<p>Article<textarea>a<b</textarea> goes on", "Article goes on"), ("<p>Article<script>a<b", "Article"),
+])
+def test_main_text_after_raw_content(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_main_text_columns(spark):
     pages = spark.createDataFrame([(1, "<p>a</p>", "old"), (1, None, "old")], "page_id int, html string, text string")
     out = html_text.extract_text(pages)
