@@ -1,15 +1,17 @@
 """Main text of web pages from the distribution of text over lines.
 
 The markup is stripped to one line per block, with a gap of empty lines where a section of the page
-begins or ends. Text lengths are summed over sliding windows of lines; the text of the article rises in one
-surge and falls in one dive, and everything between the two is kept.
+begins or ends. Lengths of text outside links are summed over sliding windows of lines; the text of the article
+rises in a first surge and falls in a last dive, and everything between the two is kept.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,10 @@ from kifuframe.llm.common import with_columns, schema_with
 
 #: Lines per window, and the gap between sections: as wide, so that no window sees two sections.
 SPAN = 3
+#: A window with so many characters outside links surges; so does one with a sentence, however short.
+SURGE = 40
+SENTENCE = re.compile("[.!?…。！？।؟:;][\"'”’»)\\]]*$")
+LEGAL = re.compile(r"(?i)(?:©|\(c\)|copyright\b|all rights reserved)")
 
 #: Elements whose content is never text of the page.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "select",
@@ -28,11 +34,14 @@ RAW = {n: re.compile(rf"(?i)</{n}(?=[\s/>])[^>]*>?") for n in ("script", "style"
 #: Elements around the article, and those that belong to no article.
 ASIDE = ("nav", "footer", "aside", "form", "dialog", "menu")
 #: Words in class, id or role that mark menus, notices, adverts and reader comments.
-MARKED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|overlay|"
-    r"nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|footer\w*|comment\w*|disqus\w*|reply|replies|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|login|signup|search\w*|pagination|pager|"
-    r"toolbar|widget\w*|complementary|contentinfo|navigation)(?=$|[\s_-])")
+MARK = (r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|overlay|"
+        r"nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|footer\w*|comment\w*|disqus\w*|reply|replies|"
+        r"share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|login|signup|search\w*|pagination|pager|"
+        r"toolbar|widget\w*|complementary|contentinfo|navigation)")
+#: Words that add nothing to a mark; a name with any other word is no mark.
+BESIDE = (r"(?:site|page|main|top|bottom|left|right|side|bar|primary|secondary|global|list|links?|box|block|items?|buttons?|"
+          r"area|section|container|wrap|wrapper|inner|\d+)")
+MARKED = re.compile(rf"(?i)(?:^|\s)(?:{BESIDE}[_-]+)*(?:{MARK}|side-bar)(?:[_-]+(?:{MARK}|{BESIDE}))*(?=$|\s)")
 #: Elements that begin a line of their own.
 BLOCKS = frozenset(
     "address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header "
@@ -47,22 +56,41 @@ _ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _OFF = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """Text of each block in page order with whether it stands in an article; empty lines are gaps."""
-    lines: list[tuple[str, bool]] = []
+class Line(NamedTuple):
+    """Text of one block, whether it stands in an article, its marked wrappers, its characters in links, its heading
+    level, whether it stands in a table.
+    """
+
+    text: str
+    inside: bool = False
+    wrappers: tuple[int, ...] = ()
+    linked: int = 0
+    heading: int = 0
+    table: bool = False
+
+
+def lines_of(page: str) -> tuple[list[Line], set[int]]:
+    """The blocks in page order, with empty lines as gaps, and the marked wrappers that contain an article."""
+    lines: list[Line] = []
     words: list[str] = []
     open_: list[tuple[str, bool]] = []  # sections and dropped elements: name, dropped
-    dropped = inside = 0
+    wrappers: list[tuple[int, int, bool]] = []  # open marked wrappers: number, place in open_, begun inside an article
+    around: set[int] = set()
+    dropped = inside = number = linked = heading = 0
+    link = False
 
     def end_line() -> None:
+        nonlocal linked, heading
         text = " ".join(entities.unescape("".join(words)).split()) if words else ""
         words.clear()
         if text:
-            lines.append((text, inside > 0))
+            lines.append(Line(text, inside > 0, tuple(w[0] for w in wrappers), linked, heading,
+                              any(n == "table" for n, _ in open_)))
+        linked = heading = 0
 
     def gap() -> None:
         end_line()
-        lines.extend([("", False)] * SPAN)
+        lines.extend([Line("")] * SPAN)
 
     at = look = 0
     skip_to = ""
@@ -78,7 +106,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             continue
         if not dropped:
             words.append(page[at:tag.start()])
+            linked += len(entities.unescape(words[-1]).strip()) if link else 0
         at = look
+        if name == "a":
+            link = not closing
         if not name or name in RAW:
             continue
         if closing:
@@ -89,6 +120,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                     dropped -= d
                     inside -= n in BODIES
                 del open_[found:]
+                while wrappers and wrappers[-1][1] >= found:
+                    wrappers.pop()
             elif name in BLOCKS and not dropped:
                 end_line()
             continue
@@ -103,53 +136,102 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             open_.pop()
             dropped -= 1
         away = name in ASIDE or (name == "header" and not inside)
+        marked = False
         if rest and not away and name not in BODIES and name not in ("body", "html"):
-            away = bool(_OFF.search(rest)) or any(
-                MARKED.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(rest))
-        if name in BLOCKS or away:
+            away = bool(_OFF.search(rest))
+            marked = not away and any(MARKED.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(rest))
+        if name in BLOCKS or away or marked:
             gap() if name in SECTIONS else end_line()
-        if (away or name in SECTIONS or open_ and open_[-1][1]) and name not in VOID and not rest.endswith("/"):
+        if not dropped and name in ("h1", "h2"):
+            heading = int(name[1])
+        if (away or marked or name in SECTIONS or open_ and open_[-1][1]) and name not in VOID and not rest.endswith("/"):
+            if marked and not dropped:
+                number += 1
+                wrappers.append((number, len(open_), inside > 0))
             open_.append((name, away))
             dropped += away
             inside += name in BODIES
+            if name in BODIES and not dropped:
+                around.update(w for w, _, within in wrappers if not within)
     if not skip_to and not dropped:
         words.append(page[at:])
+        linked += len(page[at:].strip()) if link else 0
     end_line()
-    return lines
+    return lines, around
+
 
+def prose(line: Line) -> int:
+    """Characters outside links."""
+    return max(0, len(line.text) - line.linked) if 2 * line.linked < len(line.text) else 0
 
-def surges(lengths: np.ndarray, span: int = SPAN) -> list[tuple[int, int]]:
-    """First and last line of every stretch between a surge and the next dive.
 
-    The sum over a window of ``span`` lines surges where it leaves zero and dives where it is back there.
+def without_wrappers(lines: list[Line], around: set[int]) -> list[Line]:
+    """The lines with those of marked wrappers emptied, but not of wrappers that contain the article.
+
+    Without a marked article outside, a wrapper contains it if it is marked there; on pages that mark none, if no text
+    outside surges and the wrapper's text is the heaviest.
     """
-    sums = np.convolve(lengths, np.ones(span, np.int64))[:len(lengths)]  # window that ends at the line
+    freed: set[int] = set()
+    outside = lambda: [x if freed.issuperset(x.wrappers) else Line("") for x in lines]
+    if any(x.inside and not x.wrappers for x in lines):
+        return outside()
+    if around:
+        freed = around
+        return outside()
+    while not any(b > a or len(left[a].text) >= SURGE for left in [outside()] for a, b in surges(left)):
+        weights: dict[int, int] = defaultdict(int)
+        for x in lines:
+            closed = [w for w in x.wrappers if w not in freed]
+            if closed and prose(x) >= 2 * SURGE:
+                weights[closed[0]] += prose(x)
+        if not weights:
+            break
+        freed.add(max(weights, key=weights.__getitem__))
+    return outside()
+
+
+def stretches(lines: list[Line]) -> list[tuple[int, int]]:
+    """First and last line of every run of lines without a gap between them."""
+    sums = np.convolve([len(x.text) for x in lines], np.ones(SPAN, np.int64))[:len(lines)]  # window that ends at the line
     up = np.flatnonzero((sums > 0) & np.concatenate(([True], sums[:-1] == 0)))
     down = np.flatnonzero((sums > 0) & np.concatenate((sums[1:] == 0, [True])))
     return [(int(a), int(b)) for a, b in zip(up, down, strict=True)]
 
 
+def surges(lines: list[Line]) -> list[tuple[int, int]]:
+    """The stretches in which the text outside links surges: a window of it holds SURGE characters, or a line of it a sentence."""
+    out = []
+    for a, b in stretches(lines):
+        part = [x for x in lines[a:b + 1] if not LEGAL.match(x.text)]
+        sums = np.convolve([prose(x) for x in part] or [0], np.ones(SPAN, np.int64))
+        if sums.max() >= SURGE or any(prose(x) and SENTENCE.search(x.text) for x in part):
+            out.append((a, b))
+    return out
+
+
 def main_text(page: str | None) -> str:
-    """The lines between surge and dive, joined by ``\\n``.
+    """The lines of the article, joined by ``\\n``.
 
-    If the page marks an article, all stretches inside it count; else those whose text is at least a
-    third of that of the heaviest stretch.
+    If the page marks an article, all stretches inside it count; else everything from the first surge to the last dive,
+    with headings that stand right before it and tables right after it. A page without a surge is taken whole.
     """
     if not page:
         return ""
-    lines = lines_of(page)
-    if not lines:
-        return ""
-    lengths = np.array([len(t) for t, _ in lines], np.int64)
-    stretches = [(a, b, int(lengths[a:b + 1].sum()), any(lines[i][1] for i in range(a, b + 1))) for a, b in surges(lengths)]
-    if not stretches:
-        return ""
-    if any(s[3] for s in stretches):
-        kept = [s for s in stretches if s[3]]
+    lines = without_wrappers(*lines_of(page))
+    parts = stretches(lines) if lines else []
+    if any(x.inside for x in lines):
+        kept = [(a, b) for a, b in parts if any(x.inside for x in lines[a:b + 1])]
+    elif found := set(surges(lines) if lines else []):
+        first = min(i for i, p in enumerate(parts) if p in found)
+        last = max(i for i, p in enumerate(parts) if p in found)
+        while first and any(x.heading for x in lines[parts[first - 1][0]:parts[first - 1][1] + 1]):
+            first -= 1
+        while last + 1 < len(parts) and any(x.table and prose(x) for x in lines[parts[last + 1][0]:parts[last + 1][1] + 1]):
+            last += 1
+        kept = parts[first:last + 1]
     else:
-        most = max(s[2] for s in stretches)
-        kept = [s for s in stretches if 3 * s[2] >= most]
-    return "\n".join(lines[i][0] for a, b, _, _ in kept for i in range(a, b + 1) if lengths[i])
+        kept = parts
+    return "\n".join(lines[i].text for a, b in kept for i in range(a, b + 1) if lines[i].text)
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -218,6 +218,34 @@ def test_main_text_after_raw_content(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A long paragraph of the story, which goes on and on for a while. " * 12
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<section><p>{LONG}</section><section><p>A short one.</section>", f"{LONG.strip()}\nA short one."),
+    (f"<p>{LONG}<table><tr><td>1<td>2</table><p>The end.", f"{LONG.strip()}\n1\n2\nThe end."),
+    (f"<div><p>{LONG}<table><tr><td>1<td>2</table></div>", f"{LONG.strip()}\n1\n2"),
+    (f"<div class='content has-sidebar'><p>{LONG}</div>", LONG.strip()), (f"<div class=with-comments><p>{LONG}</div>", LONG.strip()),
+    (f"<div class='content has-sidebar'><article><p>{LONG}</article></div>", LONG.strip()),
+    (f"<div class='sidebar'><article><p>{LONG}<div class=ad>Buy this now.</div></article></div>", LONG.strip()),
+    (f"<article><p>{LONG}</article><div class=comments><article>First!</article></div>", LONG.strip()),
+    (f"<div id=main-menu><div class=widget>Buy.</div><p>{LONG}</div><div>Home</div>", LONG.strip()),
+    (f"<div><a href=/>Home</a> <a href=/a>About us</a></div><div><h1>Title</h1></div><div><p>{LONG}</div><div>Contact</div>",
+     f"Title\n{LONG.strip()}"),
+    (f"<div><p>{LONG}</div><div><p>Short.</div><div>&copy; 2024 The Site.</div>", f"{LONG.strip()}\nShort."),
+    (f"<div><p>{LONG}</div><div class='cookie-banner'>We use cookies.</div><div class='site-nav top'>Go. On.</div>", LONG.strip()),
+])
+def test_main_text_without_article_tags(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_main_text_of_the_pages_without_their_article_tags(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        for tag in ("div", "section"):
+            bare = r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")
+            assert html_text.main_text(bare) == article(r.html), r.page_id
+
+
 def test_main_text_columns(spark):
     pages = spark.createDataFrame([(1, "<p>a</p>", "old"), (1, None, "old")], "page_id int, html string, text string")
     out = html_text.extract_text(pages)
