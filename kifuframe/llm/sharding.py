@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from kifuframe.llm.common import fresh, shuffle_width, stored, with_columns
 
 MOST_PARTS = 4_000_000
+#: numpy draws from populations below this size only.
+NUMPY_ROWS = 1_000_000_000
 
 
 def even_sizes(rows: int, cells: int) -> np.ndarray:
@@ -25,6 +27,44 @@ def even_sizes(rows: int, cells: int) -> np.ndarray:
     return rows // cells + (np.arange(cells) < rows % cells).astype(np.int64)
 
 
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` rows drawn without replacement are good, for populations of any size.
+
+    The sample is the rows with the smallest of independent uniform numbers. The k-th smallest number of the good
+    rows is beta distributed, and given it the count of bad rows below is binomial; that tells on which side of it the
+    sample ends, and the rows of that side are uniform again. A k just beyond the end leaves few rows.
+    """
+    found, sign = 0, 1
+    while good + bad >= NUMPY_ROWS:
+        if 2 * sample > good + bad:  # the rows that are not drawn
+            found, sign, sample = found + sign * good, -sign, good + bad - sample
+        if good < bad:
+            found, sign, good, bad = found + sign * sample, -sign, bad, good
+        if not sample or not bad:
+            return found + sign * sample
+        mean = sample * good / (good + bad)
+        k = min(good, int(mean + 4 * mean ** 0.5) + 4)
+        below = int(draw.binomial(bad, draw.beta(k, good + 1 - k)))
+        if k + below > sample:
+            good, bad = k - 1, below
+        else:
+            found, good, bad, sample = found + sign * k, good - k, bad - below, sample - k - below
+    return found + sign * int(draw.hypergeometric(good, bad, sample))
+
+
+def split_of_counts(draw: np.random.Generator, counts: np.ndarray, left: int) -> np.ndarray:
+    """The cell counts of ``left`` rows drawn from ``counts``; cells are halved until numpy can draw a range of them."""
+    if not left:
+        return np.zeros_like(counts)
+    if int(counts.sum()) < NUMPY_ROWS:
+        return draw.multivariate_hypergeometric(counts, left, method="marginals")
+    if len(counts) == 1:
+        return np.array([left], counts.dtype)
+    middle = len(counts) // 2
+    first = hypergeometric(draw, int(counts[:middle].sum()), int(counts[middle:].sum()), left)
+    return np.concatenate((split_of_counts(draw, counts[:middle], first), split_of_counts(draw, counts[middle:], left - first)))
+
+
 def row_of_matrix(part: int, sizes: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
     """Row ``part`` of the communication matrix: rows of that partition for each cell.
 
@@ -38,7 +78,7 @@ def row_of_matrix(part: int, sizes: np.ndarray, starts: np.ndarray, seed: int) -
         middle = (low + high) // 2
         left = int(starts[middle] - starts[low])
         draw = np.random.default_rng([seed, low, high])
-        taken = draw.multivariate_hypergeometric(counts, left, method="marginals") if left else np.zeros_like(counts)
+        taken = split_of_counts(draw, counts, left)
         if part < middle:
             high, counts = middle, taken
         else:

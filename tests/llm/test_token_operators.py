@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -175,6 +176,31 @@ def test_matrix_has_exact_margins_and_the_right_mean():
     assert many.var(axis=0) == pytest.approx(60 * share * (1 - share) * 70 / 129, rel=0.35)
 
 
+@pytest.mark.parametrize("rows", [1_000_000_000, 10_000_000_007, 3 * 10 ** 13])
+def test_matrix_of_many_rows(rows):
+    starts = np.array([0, rows // 9, rows // 9, rows // 2, rows - 7, rows])
+    for sizes in (sharding.even_sizes(rows, 7), np.array([rows]), np.array([0, rows - 5, 5])):
+        matrix = np.array([sharding.row_of_matrix(i, sizes, starts, 3) for i in range(5)])
+        assert (matrix >= 0).all() and matrix.sum(axis=0).tolist() == sizes.tolist()
+        assert matrix.sum(axis=1).tolist() == np.diff(starts).tolist()
+    sizes, share = sharding.even_sizes(rows, 7), 1 / 7
+    own = int(starts[4] - starts[3])
+    many = np.array([sharding.row_of_matrix(3, sizes, starts, seed) for seed in range(400)])
+    spread = (own * share * (1 - share) * (rows - own) / (rows - 1)) ** 0.5
+    far = (many - own * share) / spread
+    assert abs(far.mean(axis=0)).max() < 0.2 and far.var(axis=0) == pytest.approx(np.ones(7), rel=0.35)
+
+
+def test_large_draws_have_the_law_of_small_ones(monkeypatch):
+    draw = np.random.default_rng(5)
+    monkeypatch.setattr(sharding, "NUMPY_ROWS", 4)
+    for good, bad, sample in ((5, 9, 6), (9, 5, 10), (1, 12, 3), (30, 20, 25), (3, 2, 5), (6, 0, 2)):
+        got = Counter(sharding.hypergeometric(draw, good, bad, sample) for _ in range(20_000))
+        for x in range(sample + 1):
+            p = math.comb(good, x) * math.comb(bad, sample - x) / math.comb(good + bad, sample)
+            assert abs(got[x] / 20_000 - p) < 0.016, (good, bad, sample, x)
+
+
 def test_every_row_reaches_every_shard_alike(spark):
     rows = spark.range(64).repartition(4)
     seen = Counter()
