@@ -31,7 +31,7 @@ GROWTH = 1.3
 PARTNERS = 4
 STAR_ROUNDS = 2
 KNOWN_WORDS = 500_000
-BAND_BITS = 6
+BAND_BITS = 7
 ROWS = "count(1)"
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 _33 = np.uint64(33)

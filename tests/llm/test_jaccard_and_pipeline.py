@@ -108,6 +108,16 @@ def altered(rng, elements, changes):
     return np.unique(np.concatenate((out[keep], fresh)))
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_bands_reach_the_largest_sets(percent):
+    bands = jaccard.Bands(percent)
+    for size in (17_903_974, 17_903_975, 40_000_000, 1 << 31):  # a text is below 2 GB
+        at = bands.at(size)
+        assert at in bands.of(size) and bands.differ[at] > 0 and bands.low[at] <= size < bands.low[at + 1]
+        assert at in bands.of(-(-size * percent // 100))
+    assert len(bands.low) <= 1 << jaccard.BAND_BITS
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_pairs_in_reach_always_share_signatures(percent):
     """More equal segments than the slack at the first level, a subset or deletion at the second."""
