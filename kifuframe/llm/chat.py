@@ -78,7 +78,9 @@ def swapped_answers(conversations: DataFrame) -> DataFrame:
     """A second version of each conversation (``conv_id, turn, role, text``), as a rejected side.
 
     It ends with the last answer of its neighbour (the id with the lowest bit flipped) in the place of its own
-    last answer. Without an answer of its own it stays as it is; without one next door it ends before it.
+    last answer. Without an answer of its own it stays as it is, null turns included; without one next door it ends before it.
+    In a conversation with an answer, the turns after the last one answered the text that is replaced, so they are not
+    part of the second version; nor are null turns, which have no place before it. The SQL says the same. Both remain in the chosen version.
     """
     last = conversations.where(F.col("role") == TRAINED).groupBy("conv_id").agg(
         F.max(F.struct("turn", "text")).alias("x")).select(

@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kifuframe.llm import chat, packing, pieces, queries, sharding, warc
+from kifuframe.llm import chat, oracles, packing, pieces, queries, sharding, warc
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -304,6 +304,24 @@ def test_preference_pairs_of_empty_tables_and_null_ids(spark):
     assert set(rows) == {None, "a"} and len(rows["a"].chosen) == 6 and rows["a"].rejected == []
 
 
+def test_swapped_answers_end_with_the_answer_and_agree_with_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(2, None, "user", "n"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "after"),
+            (3, 0, "user", "r"), (3, 1, "assistant", "b"), (4, None, "user", "n"), (4, 0, "user", "q"),
+            (6, 0, "user", "q"), (6, 1, "assistant", "c"), (6, 2, "user", "after")]
+    talks = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = {tuple(r) for r in chat.swapped_answers(talks).collect()}
+    assert got == {(2, 0, "user", "q"), (2, 1, "assistant", "b"), (3, 0, "user", "r"), (3, 1, "assistant", "a"),
+                   (4, None, "user", "n"), (4, 0, "user", "q"), (6, 0, "user", "q")}
+    base = duckdb.connect()
+    base.execute("CREATE TABLE conversations (conv_id BIGINT, turn INT, role VARCHAR, text VARCHAR)")
+    base.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r for r in rows if r[1] is not None])
+    want = {r[0]: r[5] for r in base.execute(oracles.PREFERENCE_PAIRS).fetchall()}
+    known = talks.where("turn is not null")
+    pairs = chat.preference_pairs(known, chat.swapped_answers(known))
+    assert {r.conv_id: r.text for r in pairs.select("conv_id", chat.text_of(F.col("rejected")).alias("text")).collect()} == want
+
+
 def test_masks_count_characters(spark):
     row = spark.createDataFrame([("a", 1, "assistant", "é😀")], "conv_id string, turn int, role string, text string")
     pair = chat.preference_pairs(row, row.limit(0)).select(
