@@ -87,9 +87,89 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
 FROM sets JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) ON doc_id = a
 """
 
+_TERMS = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LEXICAL_SEARCH = f"""
+WITH tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format("text")}) AS term FROM documents) GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n) AS words FROM lengths),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, totals GROUP BY term),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+def _url_level(level: int) -> str:
+    """One level of the path tree: frequent segments with labels, merged with neighbours in order of their share."""
+    at = level + 1
+    return f"""
+kids{at} AS (
+  SELECT host, template, segments[{at}] AS seg, sum(pages) AS pages, sum(labels) AS labels, sum(bad) AS bad
+  FROM tree{level} WHERE len(segments) >= {at} GROUP BY ALL),
+shares{at} AS (
+  SELECT k.*, CAST(bad AS DOUBLE) / labels AS share FROM kids{at} k
+  JOIN (SELECT host, template, sum(pages) AS total FROM kids{at} GROUP BY ALL) USING (host, template)
+  WHERE labels >= 5 AND pages * 20 >= total),
+steps{at} AS (
+  SELECT *, share - lag(share) OVER o AS gap, CAST(bad + lag(bad) OVER o AS DOUBLE) / (labels + lag(labels) OVER o) AS pooled,
+    1.0::DOUBLE / labels + 1.0::DOUBLE / lag(labels) OVER o AS spread
+  FROM shares{at} WINDOW o AS (PARTITION BY host, template ORDER BY share, seg)),
+groups{at} AS (
+  SELECT *, sum(CASE WHEN gap > 1.96::DOUBLE * sqrt(pooled * (1 - pooled) * spread) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY host, template ORDER BY share, seg) AS grp FROM steps{at}),
+branches{at} AS (
+  SELECT host, template, seg, array_to_string(list_sort(list(seg) OVER (PARTITION BY host, template, grp)), '|') AS branch FROM groups{at}),
+tree{at} AS (
+  SELECT t.* EXCLUDE (template), t.template || CASE WHEN len(segments) >= {at} THEN '/' || coalesce(branch, '*') ELSE '' END AS template
+  FROM tree{level} t LEFT JOIN branches{at} b ON t.host = b.host AND t.template = b.template AND t.segments[{at}] = b.seg),"""
+
+
+URL_FILTER = f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+placed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+known AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
+tree0 AS (
+  SELECT host, path, count(*) AS pages, count(bad) AS labels, coalesce(sum(bad), 0) AS bad,
+    string_split(path, '/')[2:] AS segments, '' AS template
+  FROM placed LEFT JOIN known ON page_id = doc_id GROUP BY host, path),{"".join(_url_level(i) for i in range(4))}
+named AS (SELECT *, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS tmpl FROM tree4),
+own AS (SELECT host, tmpl, sum(labels) AS labels, sum(bad) AS bad FROM named GROUP BY ALL),
+hosts AS (SELECT host, sum(labels) AS host_labels, sum(bad) AS host_bad FROM own GROUP BY host),
+overall AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labels), 0) + 3.0::DOUBLE) AS rate FROM own),
+judged AS (
+  SELECT host, tmpl, (bad + 4.0::DOUBLE * ((host_bad + 4.0::DOUBLE * rate) / (host_labels + 4.0::DOUBLE))) / (labels + 4.0::DOUBLE) AS bad_share
+  FROM own JOIN hosts USING (host), overall),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM placed)
+SELECT page_id, r.host AS host, r.path AS path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN bad_share >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, n.tmpl AS template, bad_share
+FROM ruled r JOIN named n ON r.host = n.host AND r.path = n.path JOIN judged j ON n.host = j.host AND n.tmpl = j.tmpl
+"""
+
 SQL = {
     "op3_warc": WARC,
     "op4_preference_pairs": PREFERENCE_PAIRS,
     "op8_jaccard_join": JACCARD,
     "op9_line_dedup": LINE_DEDUP,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op13_url_filter": URL_FILTER,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifuframe.llm import chat, html_text, jaccard, line_dedup, packing, pieces, quality, sharding, warc, winnowing
+from kifuframe.llm import (
+    chat, html_text, jaccard, lexical, line_dedup, packing, pieces, quality, sharding, url_filter, warc, whitening, winnowing)
 from kifuframe.llm.common import table
 from kifuframe.session import scratch_path
 
@@ -77,6 +78,28 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return white.select(
+        "vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+        F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+#: Verdict, host and path of the query's rules.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES).drop("url")
+
+
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -88,4 +111,7 @@ REGISTRY = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_winnowing": op10_winnowing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_whitening": op12_whitening,
+    "op13_url_filter": op13_url_filter,
 }
