@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from kifuframe.functions import board, policy
 from kifuframe.functions.arrays import let
 from kifuframe.functions.keyed_random import keyed_uniform
-from kifuframe.session import cut_lineage, scratch_path
+from kifuframe.operators import trees
+from kifuframe.session import stored
 
 # Weights of the policy and of the next value in a blended choice.
 POLICY_SHARE = 0.7
@@ -137,38 +138,24 @@ def expand_positions(positions: DataFrame, candidates: DataFrame | Column,
 
 
 def backup_tree(nodes: DataFrame) -> DataFrame:
-    """Values backed up a stored tree.
+    """Values backed up a stored tree: ``node, parent, level, reward, value``.
 
     ``nodes(node, parent, level, reward, leaf_value)``; a parent is one level above its children, else the job
     fails. Even levels take the maximum of ``child + reward``, odd levels the minimum of ``child - reward``; a node
-    without children keeps its leaf value. The nodes are stored by level once, so each level is read once;
-    one aggregate per level, combined before the shuffle, so a node with very many children is no
-    hot spot. No pruning.
+    without children, or whose children have no value or reward, keeps its leaf value. No pruning.
+
+    By tree contraction (:mod:`kifuframe.operators.trees`), so the jobs grow with the logarithm of the tree's depth where it is a
+    chain; contributions are combined before they are exchanged, so a node with very many children is no hot spot.
     """
-    spark = nodes.sparkSession
-    path = scratch_path(spark, "tree")
-    columns = ["node", "parent", "level", "reward", "leaf_value"]
     kind = nodes.schema["level"].dataType
-    nodes.select(*columns, F.col("level").alias("_level")).write.partitionBy("_level").parquet(path)
-    by_level = spark.read.parquet(path)
-    levels = sorted((r["_level"] for r in by_level.select("_level").distinct().collect()), reverse=True)
-    done: DataFrame | None = None
-    below: DataFrame | None = None
-    for level in levels:
-        here = by_level.where(F.col("_level") == level).select(*columns)
-        if below is None:
-            valued = here.withColumn("value", F.col("leaf_value"))
-        else:
-            if level % 2 == 0:
-                best = F.max(F.col("value") + F.col("reward"))
-            else:
-                best = F.min(F.col("value") - F.col("reward"))
-            backed = below.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("_of")).agg(best.alias("_backed"))
-            stray = F.raise_error(F.concat(F.lit("no node one level up: "), F.col("_of").cast("string")))
-            valued = here.join(backed, F.col("node") == F.col("_of"), "full").withColumn(
-                "node", F.when(F.col("node").isNull(), stray.cast("bigint")).otherwise(F.col("node"))).withColumn(
-                "value", F.coalesce(F.col("_backed"), F.col("leaf_value"))).drop("_of", "_backed")
-        # each level feeds the next one and the result
-        below = cut_lineage(valued.select("node", "parent", F.col("level").cast(kind).alias("level"), "reward", "value"))
-        done = below if done is None else done.unionByName(below)
-    return nodes.limit(0).select(*columns[:-1], F.col("leaf_value").alias("value")) if done is None else done
+    held = stored(nodes.select("node", "parent", "level", "reward", "leaf_value"), "tree")
+    above = held.select(F.col("node").alias("_of"), F.col("level").alias("_level"))
+    stray = F.raise_error(F.concat(F.lit("no node one level up: "), F.col("parent").cast("string"))).cast("bigint")
+    joined = held.join(above, F.col("parent") == F.col("_of"), "left")
+    fits = F.col("parent").isNull() | F.coalesce(F.col("_level") + 1 == F.col("level"), F.lit(False))
+    gain = F.when((F.col("level") - 1) % 2 == 0, F.col("reward")).otherwise(-F.col("reward"))
+    values = trees.contracted(joined.select(
+        "node", F.when(fits, F.when(gain.isNotNull(), F.col("parent"))).otherwise(stray.cast(held.schema["parent"].dataType)).alias("parent"),
+        (F.col("level") % 2 == 0).alias("largest"), gain.cast("double").alias("gain"), F.col("leaf_value").cast("double").alias("own")))
+    return held.join(values.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select(
+        "node", "parent", F.col("level").cast(kind).alias("level"), "reward", "value")

@@ -184,6 +184,55 @@ def test_backup_equals_recursion(spark):
         predictions.backup_tree(moved).collect()
 
 
+def backed_up(rows):
+    """Values by one pass from the deepest level up; a null value or reward of a child is passed over."""
+    kids, out = {}, {}
+    for node, parent, *_ in rows:
+        kids.setdefault(parent, []).append(node)
+    reward = {r[0]: r[3] for r in rows}
+    for node, _, level, _, leaf in sorted(rows, key=lambda r: -r[2]):
+        sign, best = (1, max) if level % 2 == 0 else (-1, min)
+        given = [out[k] + sign * reward[k] for k in kids.get(node, []) if out[k] is not None and reward[k] is not None]
+        out[node] = best(given) if given else leaf
+    return out
+
+
+TREE = "node bigint, parent bigint, level int, reward double, leaf_value double"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_backup_of_long_thin_trees(spark, seed):
+    """Chains with short side branches, several roots, some nulls."""
+    rng = np.random.default_rng(seed)
+    rows, spine = [], []
+    for i in range(300):
+        parent = None if i == 0 or seed == 3 and i == 150 else spine[-1] if rng.random() < (0.9, 0.6, 0.97, 0.8)[seed] else spine[int(rng.integers(max(0, i - 12), i))]
+        level = 0 if parent is None else rows[parent][2] + 1
+        number = lambda: None if seed == 2 and rng.random() < 0.1 else float(rng.uniform(-1, 1))
+        rows.append((i, parent, level, number(), number()))
+        spine.append(i)
+    nodes = spark.createDataFrame(rows, TREE).repartition(3)
+    made = predictions.backup_tree(nodes)
+    assert made.columns == ["node", "parent", "level", "reward", "value"]
+    got, want = {r.node: r.value for r in made.collect()}, backed_up(rows)
+    assert got.keys() == want.keys()
+    assert all((got[n] is None) == (want[n] is None) and (want[n] is None or got[n] == pytest.approx(want[n])) for n in want)
+    assert predictions.backup_tree(nodes.limit(0)).count() == 0
+
+
+def test_backup_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    from kifuframe.operators import trees
+
+    stores, store = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df, name: stores.append(name) or store(df, name))
+    depth = 50_000
+    rows = [(i, i - 1 if i else None, i, (i * 37 % 11 - 5) / 7, 0.25) for i in range(depth)]
+    got = {r.node: r.value for r in predictions.backup_tree(spark.createDataFrame(rows, TREE)).collect()}
+    want = backed_up(rows)
+    assert max(abs(got[n] - want[n]) for n in want) < 1e-6
+    assert len(stores) < 40
+
+
 def test_tree_levels_of_large_ids():
     starts = fixtures.tree_level_starts()
 
