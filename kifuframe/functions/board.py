@@ -151,12 +151,12 @@ def transform_planes(planes: Column, transform_id: Column, n: int, convention: s
             lambda start: F.transform(sources, lambda source: F.get(old, start + source))))))
 
 
-def liberties(cell: Column, stones: Column, n: int) -> Column:
-    """Empty orthogonal neighbours of one stone."""
+def liberties(cell: Column, marks: Column, n: int) -> Column:
+    """Empty orthogonal neighbours of one stone, read off the marks of all cells (:func:`signs`)."""
     row, col = row_of(cell, n), col_of(cell, n)
 
     def free(on_board: Column, near: Column) -> Column:
-        return F.when(on_board & ~F.array_contains(stones, near), 1).otherwise(0)
+        return F.when(on_board & (F.get(marks, near) == 0), 1).otherwise(0)
 
     return (
         free(row > 0, cell - n) + free(row < n - 1, cell + n)

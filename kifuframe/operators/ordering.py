@@ -8,6 +8,7 @@ range, and the sums of the earlier ranges, a small aggregate, are added.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from kifuframe.session import stored
 
 CHUNK = 65_536
+#: So many rows may be sorted and merged by one task; more are found by counting in so many buckets.
+FEW, BUCKETS = 65_536, 4_096
 
 
 def number_rows(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
@@ -42,6 +45,47 @@ def number_rows(df: DataFrame, key: str, order: Sequence[str], out: str) -> Data
     )
 
 
+def first_rows(df: DataFrame, k: int, order: Sequence[str], few: int = FEW) -> DataFrame:
+    """Exactly the first ``k`` rows in ascending order of some columns, which are finite numbers and not null.
+
+    Beyond ``few`` rows nothing is merged in one task: counts in buckets of a column narrow the range that holds the last row to a few
+    rows, or to one value, within which the next column goes on; what lies below is a filter. The driver sees count, least and largest
+    value per bucket. ``df`` is read a few times, so it should be cheap or stored.
+    """
+    if k <= few:
+        return df.orderBy(*order).limit(k)
+    sure: list[DataFrame] = []
+    held, wanted = df, k
+    for name in order:
+        column = F.col(name)
+        total, low, high = held.agg(F.count(F.lit(1)), F.min(column), F.max(column)).first()
+        if total <= wanted:
+            return _together([*sure, held])
+        while total > few and low < high and (width := (float(high) - float(low)) / BUCKETS) > 0:
+            wide = isinstance(low, int) and high - low >= 1 << 53  # beyond what a double counts exactly, and perhaps beyond a long
+            above = column.cast("double") - F.lit(float(low)) if wide else (column - F.lit(low)).cast("double")
+            bucket = F.floor(above / F.lit(width))
+            counts = held.where(column.between(low, high)).groupBy(bucket.alias("_bucket")).agg(
+                F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("_bucket").collect()
+            for row in counts:
+                if row["n"] > wanted:
+                    break
+                wanted -= row["n"]
+            narrowed = (row["low"], row["high"]) != (low, high)
+            total, low, high = row["n"], row["low"], row["high"]
+            if not narrowed:
+                break
+        sure.append(held.where(column < low))
+        held = held.where(column.between(low, high))
+        if total <= few or not wanted:
+            break
+    return _together([*sure, held.orderBy(*order).limit(wanted)])
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def chunk_of(index: Column, chunk: int = CHUNK) -> Column:
     """Range of a dense index that one task handles."""
     return F.call_function("div", index, F.lit(chunk))

@@ -215,14 +215,15 @@ def territory_diff(replayed: DataFrame, n: int) -> DataFrame:
 
 
 def liberties(positions: DataFrame, n: int, keys: tuple[str, ...] = ("game_id", "ply")) -> DataFrame:
-    """Empty neighbours of every stone; row-local instead of a neighbour join."""
-    stones = positions.select(
-        *keys, "player", F.size("own_cells").alias("_own"), F.concat("own_cells", "opp_cells").alias("_taken"))
-    each = stones.select("*", F.posexplode("_taken").alias("_at", "cell"))
-    return each.select(
-        *keys, "cell",
-        F.when(F.col("_at") < F.col("_own"), F.col("player")).otherwise(-F.col("player")).alias("color"),
-        board.liberties(F.col("cell"), F.col("_taken"), n).alias("liberties"))
+    """Empty neighbours of every stone; row-local instead of a neighbour join.
+
+    The marks of all cells are laid out once per position and looked up by cell before the stones become rows.
+    """
+    player = F.col("player")
+    each = let(board.signs(F.col("own_cells"), F.col("opp_cells"), n), lambda marks: F.transform(
+        F.concat("own_cells", "opp_cells"), lambda cell: F.struct(
+            cell.alias("cell"), (F.get(marks, cell) * player).alias("color"), board.liberties(cell, marks, n).alias("liberties"))))
+    return positions.select(*keys, F.inline(each))
 
 
 def validate_moves(positions: DataFrame, n: int) -> DataFrame:

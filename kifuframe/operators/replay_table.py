@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kifuframe.functions.keyed_random import keyed_uniform
-from kifuframe.operators.ordering import number_rows
+from kifuframe.operators.ordering import first_rows, number_rows
 
 # Fixed values.
 FIRST_PRIORITY = 1.0
 PRIORITY_FLOOR = 1e-6
 
 BUCKETS = 4_096
+LARGEST_KEY = 1e300
 
 
 def push(replay: DataFrame, batch: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -83,20 +84,24 @@ def sampling_probs(replay: DataFrame, alpha: float = 0.6) -> DataFrame:
 def sample(replay: DataFrame, k: int, seed: int, alpha: float = 0.6) -> DataFrame:
     """Weighted draw of ``k`` rows without replacement.
 
-    Exponential keys ``-ln(u)/w``: the k smallest keys are such a draw. Each task
-    keeps its own k best, so only k rows per task are merged.
+    Exponential keys ``-ln(u)/w``: the k smallest keys are such a draw. For a large k the k-th smallest
+    key is found by counting, and the draw is a filter. A row without a priority comes first, one of priority 0 last.
     """
     u = 1.0 - keyed_uniform(seed, F.col("seq"))
-    key = -F.log(u) / F.pow(F.col("priority"), F.lit(alpha))
-    return replay.withColumn("_key", key).orderBy("_key", "seq").limit(k).drop("_key")
+    weight = F.pow(F.col("priority"), F.lit(alpha))
+    key = F.when(weight > 0, F.least(-F.log(u) / weight, F.lit(LARGEST_KEY))).when(weight.isNotNull(), F.lit(LARGEST_KEY)).otherwise(F.lit(-1.0))
+    return _first(replay.withColumn("_key", key), k)
+
+
+def _first(keyed: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of the smallest ``_key``, of equal ones the smallest ``seq``; a null ``seq`` comes first."""
+    place = F.coalesce(F.col("seq").cast("bigint"), F.lit(-(1 << 63)))
+    return first_rows(keyed.withColumn("_place", place), k, ["_key", "_place"]).drop("_key", "_place")
 
 
 def sample_uniform(replay: DataFrame, k: int, seed: int) -> DataFrame:
     """``k`` rows with equal chance; every weight is 1."""
-    return (
-        replay.withColumn("_key", keyed_uniform(seed, F.col("seq"))).orderBy("_key", "seq").limit(k)
-        .drop("_key").withColumn("weight", F.lit(1.0))
-    )
+    return _first(replay.withColumn("_key", keyed_uniform(seed, F.col("seq"))), k).withColumn("weight", F.lit(1.0))
 
 
 def importance_weights(sampled: DataFrame, replay: DataFrame, beta: float = 0.4) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kifuframe.operators.ordering import number_rows
 from kifuframe.operators.records import parse_headers, parse_moves
 from kifuframe.sources.files import filesystem_of
 
@@ -20,6 +21,8 @@ ARCHIVE_GLOB = "{*.[tT][gG][zZ],*.[tT][aA][rR].[gG][zZ]}"
 REPLACEMENT = "\ufffd"
 NONCHARACTER = "\ufdd0"
 MEMBERS_PER_BATCH = 1_000
+#: So many records may be sorted and merged by one task.
+FEW_RECORDS = 10_000
 RECORD_SCHEMA = "game_id string, source string, member string, place bigint, text string"
 RECORD_COLUMNS = ["game_id", "source", "member", "place", "text"]
 
@@ -102,12 +105,27 @@ def read_record_archives(spark: SparkSession, path: str, glob: str | None = ARCH
     return records.hint("rebalance") if rebalance else records
 
 
-def limit_games(records: DataFrame, n: int) -> DataFrame:
+def limit_games(records: DataFrame, n: int, few: int = FEW_RECORDS) -> DataFrame:
     """Exactly the first ``n`` rows by (source, member, place), 0 for all.
 
-    Each task keeps its own first ``n``, so ``n`` rows per task are merged.
+    Up to ``few`` rows each task keeps its own first ones, which are merged. Beyond, only the three columns are sorted and numbered by
+    ranges, and the n-th of them is the cut up to which records are kept; the bodies are neither sorted nor merged.
     """
-    return records.orderBy("source", "member", "place").limit(n) if n > 0 else records
+    if n <= 0:
+        return records
+    order = ["source", "member", "place"]
+    if n <= few:
+        return records.orderBy(*order).limit(n)
+    numbered = number_rows(records.select(*order).withColumn("_all", F.lit(0)), "_all", order, "_at")
+    last = numbered.where(F.col("_at") == n - 1).select(*order).first()
+    if last is None:
+        return records
+    cut = F.struct(*[F.lit(last[c]).cast(records.schema[c].dataType).alias(c) for c in order])
+    here = F.struct(*order)  # nulls first, as in the order
+    before, same = numbered.agg(F.count_if(here < cut), F.count_if(here <= cut) - F.count_if(here < cut)).first()
+    if before + same == n:
+        return records.where(here <= cut)
+    return records.where(here < cut).unionByName(records.where((here <= cut) & ~(here < cut)).limit(n - before))
 
 
 def _games(texts: DataFrame, board_size: int | None, max_games: int = 0) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,32 +12,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kifuframe.operators.ratings import ELO_SCALE, K_FACTOR, score_of, side_result
 
 OUTPUT = "elo double, wins bigint, losses bigint, draws bigint, num_games bigint"
-STATE = "elo double, wins bigint, losses bigint, draws bigint, num_games bigint"
+STATE = f"{OUTPUT}, following bigint, early array<struct<idx:bigint,score:double,seen:int>>"
 
 
 def stream_elo(matches: DataFrame, initial: float = 1000.0, opponent: float = 1000.0,
-               k: float = K_FACTOR) -> DataFrame:
+               k: float = K_FACTOR, first: int = 0) -> DataFrame:
     """One updated row per player and micro-batch.
 
-    Games are put in ``game_idx`` order inside a micro-batch; between micro-batches the
-    arrival order rules. A player's rows are held for one micro-batch only, so the
-    trigger's file or byte limit bounds them.
+    A player's games are rated in the order of ``game_idx``, which counts them without gaps from ``first``, however they arrive: a
+    game that comes before one of its predecessors waits in the player's state, so files in any order give the rating of the
+    batch operator. The figures of a row are those of the games rated so far.
+
+    * A game whose number was rated before, or is null, is rated when it arrives. Games after a gap that never fills are never rated.
+    * A player's rows are held for one micro-batch only, so the trigger's file or byte limit bounds them; what waits is held as numbers.
     """
     slim = matches.select(
         "player", "game_idx", score_of(F.col("outcome"), F.col("plays_black")).alias("score"),
         side_result(F.col("outcome"), F.col("plays_black")).alias("seen"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        elo, wins, losses, draws, games = state.get if state.exists else (initial, 0, 0, 0, 0)
-        idx, scores, seen = (np.concatenate(parts) for parts in zip(*[
-            (b["game_idx"].to_numpy(), b["score"].to_numpy(), b["seen"].to_numpy()) for b in batches]))
-        for score in scores[np.argsort(idx, kind="stable")].tolist():
+        elo, wins, losses, draws, games, following, early = state.get if state.exists else (initial, 0, 0, 0, 0, first, [])
+        arrived = [(following - 1 if pd.isna(i) else int(i), float(score), None if pd.isna(seen) else int(seen))
+                   for b in batches for i, score, seen in zip(b["game_idx"], b["score"], b["seen"], strict=True)]
+        waiting = sorted([*map(tuple, early or []), *arrived], key=lambda game: game[0])
+        rated = 0
+        for idx, score, seen in waiting:
+            if idx > following:
+                break
             elo += k * (score - 1.0 / (1.0 + 10.0 ** ((opponent - elo) / ELO_SCALE)))
-        wins += int((seen == 1).sum())
-        losses += int((seen == -1).sum())
-        draws += int((seen == 0).sum())
-        games += len(scores)
-        state.update((elo, wins, losses, draws, games))
+            wins, losses, draws = wins + (seen == 1), losses + (seen == -1), draws + (seen == 0)
+            following, rated = max(following, idx + 1), rated + 1
+        games += rated
+        state.update((elo, wins, losses, draws, games, following, waiting[rated:]))
         yield pd.DataFrame({
             "player": [key[0]], "elo": [elo], "wins": [wins], "losses": [losses], "draws": [draws],
             "num_games": [games]})

@@ -1,7 +1,9 @@
 import math
+import random
 
 import pytest
 
+from kifuframe.operators import ordering
 from kifuframe.operators import replay_table as rt
 
 SCHEMA = "seq bigint, priority double"
@@ -72,3 +74,22 @@ def test_update_and_uniform(spark, held):
     assert rt.update_priorities(held, twice).count() == 200
     uniform = rt.sample_uniform(held, 10, 1).collect()
     assert len(uniform) == 10 and all(r.weight == 1.0 for r in uniform) and math.isclose(sum(r.weight for r in uniform), 10)
+
+
+@pytest.mark.parametrize("few", [1, 7, 60])
+def test_first_rows_by_counting(spark, few):
+    rng = random.Random(few)
+    rows = [(rng.choice([rng.random() ** 9 * 1e12, 0.25, -3.0]), rng.randrange(40) - 20) for _ in range(400)] + [(0.25, 1 << 62), (0.25, -(1 << 62))]
+    table = spark.createDataFrame(rows, "a double, b bigint").repartition(3)
+    for k in (0, 1, 70, 150, 333, 401, 402, 900):
+        got = sorted(map(tuple, ordering.first_rows(table, k, ["a", "b"], few).collect()))
+        assert got == sorted(rows)[:k], k
+
+
+def test_samples_by_counting_are_the_same(spark, held, monkeypatch):
+    odd = held.unionByName(spark.createDataFrame([(900, 0.0), (901, None), (None, 2.0)], SCHEMA))
+    draw = lambda: [sorted(map(str, f(odd, 90, 4).collect())) for f in (rt.sample, rt.sample_uniform)]
+    want = draw()
+    monkeypatch.setattr(rt, "first_rows", lambda df, k, order: ordering.first_rows(df, k, order, 5))
+    assert draw() == want and all(len(x) == 90 for x in want)
+    assert any("seq=901" in row for row in want[0]) and not any("seq=900" in row for row in want[0])

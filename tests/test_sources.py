@@ -104,3 +104,13 @@ def test_write_and_read_games(spark, folder, tmp_path):
     assert sorted(map(str, back.select(*games.columns).collect())) == sorted(map(str, games.collect()))
     plan = back.where("board_size = 9")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(board_size" in plan
+
+
+@pytest.mark.parametrize("few", [1, 1_000])
+def test_limit_by_a_cut(spark, few):
+    rows = [(f"s{i % 7}", f"m{i % 3}" if i % 4 else None, i // 21, f"body {i}") for i in range(120)] + [("s3", "m1", 0, "again")] * 5
+    table = spark.createDataFrame(rows, "source string, member string, place bigint, text string").repartition(4)
+    order = sorted(((r[0], r[1] is not None, r[1] or "", r[2]) for r in rows))
+    for n in (0, 2, 50, 63, 124, 125, 400):
+        got = sorted((r.source, r.member is not None, r.member or "", r.place) for r in sources.limit_games(table, n, few).collect())
+        assert got == (order[:n] if n else order), n

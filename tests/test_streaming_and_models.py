@@ -49,6 +49,28 @@ def test_stream_elo_over_batches_equals_batch_elo(spark, tmp_path):
         assert (row.wins, row.losses, row.draws) == tuple(tally[row.player][c] for c in ("wins", "losses", "draws"))
 
 
+def test_stream_elo_puts_games_in_order(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(p, i, i % 2 == 0, None if i == 5 else int(rng.integers(-1, 2))) for p in range(3) for i in range(40)]
+    schema = "player bigint, game_idx bigint, plays_black boolean, outcome int"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    dealt = [[] for _ in range(4)]
+    for row in rows:
+        dealt[3 if row[1] == 0 else int(rng.integers(0, 4))].append(row)  # each player's first game comes last
+    for part in dealt:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        sinks.write_batches(stream_ratings.stream_elo(stream), f"{out}/data", f"{out}/log", "update").awaitTermination()
+    seen = spark.read.parquet(f"{out}/data")
+    everything = spark.createDataFrame(rows, schema)
+    want, tally = ({r.player: r for r in table.collect()} for table in (ratings.elo(everything), ratings.tally(everything)))
+    got = {r.player: r for r in seen.where("num_games = 40").collect()}
+    assert got.keys() == {0, 1, 2} and seen.where("num_games between 1 and 39").count() == 0
+    for player, row in got.items():
+        assert row.elo == pytest.approx(want[player].elo, abs=1e-9)
+        assert (row.wins, row.losses, row.draws) == tuple(tally[player][c] for c in ("wins", "losses", "draws"))
+
+
 def test_stream_elo_takes_the_type_of_its_players(spark, tmp_path):
     schema = "player string, game_idx bigint, plays_black boolean, outcome int"
     spark.createDataFrame([("ann", 0, True, 1), ("bob", 0, True, -1)], schema).write.parquet(str(tmp_path / "in"))
