@@ -31,16 +31,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with the text rewritten, and ``n_lines`` (before), ``n_dropped``.
 
-    Line keys of ``min_chars`` code points or more found in ``min_docs`` rows or more lose all
-    their lines, except in the row with the largest ``doc_id`` that holds them.
+    Line keys of ``min_chars`` code points or more found under ``min_docs`` different ``doc_id`` or more lose all
+    their lines, except in the rows with the largest ``doc_id`` that holds them.
 
     * A null text counts as empty and becomes an empty text; a key repeated in one row counts once.
-    * A row is a document. Rows of an equal ``doc_id`` that hold a key all keep it if they are the
-      largest. A null ``doc_id`` is never the largest, unless no other row holds the key.
-    * An empty table gives an empty table. Input columns called ``n_lines`` or ``n_dropped`` are replaced.
+    * Rows of an equal ``doc_id`` are one document: they count once, and all keep the key if theirs is the largest. Null ids are
+      one document too, which is never the largest, unless no other row holds the key.
+    * An empty table gives an empty table. Input columns called ``n_lines`` or ``n_dropped``, in any case, are replaced.
 
-    Work: the line hashes are counted after a map-side sum and joined back as narrow rows (a
-    frequent line is a skewed side that Spark splits); the texts move once, by document.
+    Work: the pairs of line hash and id are made distinct, so that no hash is a hot key, then counted, and the frequent hashes
+    joined back as narrow rows (a frequent line is a skewed side that Spark splits); the texts move once, by document.
     """
     body, hashes, one, mark, th, tg = fresh(docs, "body", "hashes", "one", "mark", "th", "tg")
     keyed = F.filter(
@@ -53,7 +53,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     frequent = (
         long_lines.select("id", F.explode(F.array_distinct(F.transform(
             "hashes", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"))))).alias("k"))
-        .groupBy(F.col("k.h").alias("fh"), F.col("k.g").alias("fg"))
+        .select("id", F.col("k.h").alias("fh"), F.col("k.g").alias("fg")).distinct().groupBy("fh", "fg")
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
         .where(F.col("n") >= min_docs)
         .repartition("top"))  # an exchange of its own below the join, so that Spark can split a frequent line
@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "n_dropped": F.coalesce(F.size(F.col(one)), F.lit(0)).cast("bigint"),
         text: F.when(F.col(one).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept),
     }
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     staged = placed.withColumn(body, lines)
     return staged.select(
         *[counts[c].alias(c) if c == text else F.col(c) for c in names],
