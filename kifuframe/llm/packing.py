@@ -25,6 +25,8 @@ MOST_COMBINATIONS = 2_048
 #: Ids are kept in so many bytes while they travel; the vocabularies here have fewer than 65,536 ids.
 ID_TYPE = np.dtype("<u2")
 DOCS_AT_ONCE = 500
+#: The fast encoder's pattern runs out of stack on very long runs; texts with a run of so many blanks, or of anything else, go to ``tokenizers``.
+LONG_RUN = 50_000
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -72,11 +74,18 @@ def _load(model: str, ranks: str, added: bool):
     return fast, exact, marks
 
 
+def has_long_run(text: str) -> bool:
+    import re
+
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+|\S+", text))
+
+
 def tokens_of(batches: Iterable[pa.RecordBatch], text: str, model: str, ranks: str, end: int,
               added: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches with ``ids`` (binary) in place of the text.
 
-    One text of each slice and every text with an added token are compared with ``tokenizers``.
+    One text of each slice and every text with an added token are compared with ``tokenizers``; texts with very long runs
+    are encoded by it.
     """
     fast, exact, marks = _tokenizers(model, ranks, added)
     allowed = fast.special_tokens_set
@@ -85,10 +94,12 @@ def tokens_of(batches: Iterable[pa.RecordBatch], text: str, model: str, ranks: s
         for at in range(0, batch.num_rows, DOCS_AT_ONCE):
             part = batch.slice(at, DOCS_AT_ONCE)
             texts = [t or "" for t in part.column(text).to_pylist()]
-            coded = [fast.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()) for t in texts]
+            long = [has_long_run(t) for t in texts]
+            coded = [np.array(exact.encode(t, add_special_tokens=False).ids, np.uint32) if slow else
+                     fast.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()) for t, slow in zip(texts, long, strict=True)]
             probe = (at // DOCS_AT_ONCE) % len(texts)
             for i, t in enumerate(texts):
-                if (i == probe or marks and marks.search(t)) and (
+                if not long[i] and (i == probe or marks and marks.search(t)) and (
                         exact.encode(t, add_special_tokens=False).ids != coded[i].tolist()):
                     raise ValueError("the two tokenizers disagree")
             ids = pa.array([c.astype(ID_TYPE).tobytes() + last for c in coded], pa.binary())

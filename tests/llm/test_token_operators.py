@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kifuframe.llm import chat, oracles, packing, pieces, queries, sharding, warc
+from kifuframe.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -327,3 +329,39 @@ def test_masks_count_characters(spark):
     pair = chat.preference_pairs(row, row.limit(0)).select(
         chat.mask_of(F.col("chosen")).alias("mask"), chat.text_of(F.col("chosen")).alias("text")).first()
     assert pair.mask == "0:22,1:13" and len(pair.text) == 35
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "a", "7", "é", " \n", "ab ", "!"])
+def test_very_long_runs_equal_the_library(spark, run):
+    text = "before " + run * (2_000_000 // len(run)) + " after"
+    model, ranks = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "short"])], names=["_id", "_text"])
+    (made,) = packing.tokens_of([batch], "_text", model, ranks, 0, True)
+    library = Tokenizer.from_file(model)
+    assert np.frombuffer(made.column("_ids")[0].as_py(), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+    assert np.frombuffer(made.column("_ids")[1].as_py(), "<u2").tolist() == library.encode("short", add_special_tokens=False).ids + [0]
+
+
+def test_shards_equal_the_whole_matrix(spark):
+    """Every label of every stored partition, written out from the whole matrix."""
+    folder = shared_dir(spark) + "/shards-by-hand"
+    spark.range(0, 997, 1, 7).write.mode("overwrite").parquet(folder)
+    table, shards, seed = spark.read.parquet(folder), 6, 11
+    mark = F.monotonically_increasing_id()
+    where = {r.id: (r.p, r.i) for r in table.select("id", F.shiftright(mark, 33).alias("p"), mark.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")).collect()}
+    counts = Counter(p for p, _ in where.values())
+    parts = sorted(counts)
+    per = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
+    sizes = np.concatenate([sharding.even_sizes(int(n), per) for n in sharding.even_sizes(997, shards)])
+    starts = np.concatenate(([0], np.cumsum([counts[p] for p in parts])))
+    matrix = np.stack([sharding.row_of_matrix(i, sizes, starts, seed) for i in range(len(parts))])
+    assert (matrix.sum(axis=0) == sizes).all() and (matrix.sum(axis=1) == [counts[p] for p in parts]).all() and (matrix >= 0).all()
+    want = {}
+    for i, p in enumerate(parts):
+        label = np.repeat(np.arange(len(sizes)), matrix[i])
+        np.random.default_rng([seed, 1, i]).shuffle(label)
+        want |= {(p, place): int(cell) // per for place, cell in enumerate(label)}
+    rows = sharding.uniform_shards(table, shards, seed).collect()
+    assert {r.id: r.shard for r in rows} == {ident: want[place] for ident, place in where.items()}
+    for shard in range(shards):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(int(sharding.even_sizes(997, shards)[shard])))
