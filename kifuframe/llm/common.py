@@ -43,27 +43,60 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
 
     Unless ``small``, Spark is asked to delete the shuffle files behind it now.
     """
+    return _written(df, name, small)[0]
+
+
+def _written(df: DataFrame, name: str, small: bool) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{name}")
     df.write.option("compression", "zstd").parquet(path)
     if not small:
         release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if path is not None:
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+class Scratch:
+    """The stored tables of one run: each is deleted after its last reader, and the rest when the run is over.
+
+    ``close`` spares the tables that the result reads.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def stored(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        table, path = _written(df, name, small)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def stored_with(self, df: DataFrame, name: str, **figures: str) -> tuple[DataFrame, dict]:
+        """A small stored table and figures of it (SQL aggregates), taken while it was written."""
+        seen = Observation()
+        kept = self.stored(df.observe(seen, *[F.expr(figure).alias(key) for key, figure in figures.items()]), name, small=True)
+        return kept, seen.get
 
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            held = self.paths.pop(id(table), None)
+            if held:
+                _delete(self.spark, held[1])
 
-def stored_with(df: DataFrame, name: str, **figures: str) -> tuple[DataFrame, dict]:
-    """A small stored table and figures of it (SQL aggregates), taken while it was written."""
-    seen = Observation()
-    kept = stored(df.observe(seen, *[F.expr(figure).alias(key) for key, figure in figures.items()]), name, small=True)
-    return kept, seen.get
+    def close(self, *spared: DataFrame) -> None:
+        keep = {id(t) for t in spared}
+        self.drop(*[t for key, (t, _) in list(self.paths.items()) if key not in keep])
 
 
 def release(spark: SparkSession) -> None:
@@ -140,14 +173,15 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with columns appended; a column of the same name is replaced."""
-    kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in added]
+    """The batch with columns appended; a column of the same name, whatever its case, is replaced."""
+    new = {name.lower() for name in added}
+    kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.lower() not in new]
     names = [n for n, _ in kept] + list(added)
     return pa.RecordBatch.from_arrays([c for _, c in kept] + list(added.values()), names=names)
 
 
 def schema_with(df: DataFrame, added: str) -> str:
     """DDL of ``df`` followed by the added columns, without columns that they replace."""
-    new = {part.strip().split()[0] for part in added.split(",")}
-    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in new]
+    new = {part.strip().split()[0].lower() for part in added.split(",")}
+    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name.lower() not in new]
     return ", ".join(old + [added])

@@ -8,7 +8,9 @@ many segments with the subsets and all subsets short of one element, where two s
 must meet too. Every candidate is verified on the whole sets.
 
 Only pairs that can still join two components are verified: first each document with one leader
-per signature, then what is left between components.
+per signature, then what is left between components. A signature of the second index that has too many open pairs
+is parted by a lead: two members that do not both link to it can be in reach only if they differ from it in common
+elements, so they meet again under one of their rarest differences.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kifuframe.llm.common import forget, kept_in_worker, release, stored, stored_with, with_columns
+from kifuframe.llm.common import Scratch, fresh, kept_in_worker, release, with_columns
 
 WORDS = 4
 PERCENT = 85
@@ -161,6 +163,26 @@ def in_reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def differences(a: np.ndarray, lead: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int, int]:
+    """Whether a set links to a lead, the elements in which the two differ, and how many of these name it as the set of fewer and of
+    more differences.
+
+    Sets a and b with differences D and E from a lead differ in |D| + |E| - 2 |D & E| elements, and are in reach when these are at most
+    the share (100 - percent) / (100 + percent) of |a| + |b|. If D and E have nothing in common, then by the same rule both link to the
+    lead. Else they share at least |D| - |a| (100 - percent) / (2 percent) elements if D is the smaller one, and
+    |E| - |b| (100 - percent) / percent if E is the larger; so they have one in common among the first ones of each in any fixed order.
+    Of a set that links to the lead only partners count that do not, and with these it shares about half of its differences.
+    """
+    apart = np.setxor1d(a, lead, assume_unique=True)
+    linked = in_reach(a, lead, percent)
+    least = 1
+    if linked:
+        least = max(1, (len(apart) * (100 + percent) - (len(a) - len(lead)) * (100 - percent)) // (2 * (100 + percent)) + 1)
+    fewer = len(apart) - len(a) * (100 - percent) // (2 * percent)
+    more = len(apart) - len(a) * (100 - percent) // percent
+    return linked, apart, len(apart) - max(least, fewer) + 1, len(apart) - max(least, more) + 1
+
+
 def _lists(parts: list, kind: type) -> pa.ListArray:
     """Arrays (or list arrays) as the rows of one list array."""
     offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32))
@@ -172,7 +194,7 @@ def _lists(parts: list, kind: type) -> pa.ListArray:
 
 # --- stages ------------------------------------------------------------------------------------
 
-def _sets(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+def _sets(scratch: Scratch, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """The rows of ``docs`` (columns c0, c1, ...) with a number, the set's size and 128-bit name, and its signatures."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -193,7 +215,7 @@ def _sets(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
 
     made = docs.mapInArrow(run, f"{fields}, n bigint, name1 bigint, name2 bigint, band int, first int, signatures array<bigint>, "
         "prints array<array<tinyint>>")
-    return stored(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    return scratch.stored(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
 def _promising(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -212,40 +234,83 @@ def _promising(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.where(in_size & (equal >= F.size(print_of("a")) - differ)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
-    """The pairs ``a, b`` whose sets are in reach, stored, and their number."""
+class _Known(dict):
+    """Sets of the texts seen last."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+    def of(self, row: int, text: str | None, size: int) -> np.ndarray:
+        if row not in self:
+            if len(self) >= 512:
+                self.clear()
+            self[row] = shingles(text, size)
+        return self[row]
 
-        def of(row: int, text: str | None) -> np.ndarray:
-            if row not in known:
-                if len(known) >= 512:
-                    known.clear()
-                known[row] = shingles(text, size)
-            return known[row]
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    left = texts.select(F.col("row").alias("ra"), F.col("text").alias("ta"))
+    right = texts.select(F.col("row").alias("rb"), F.col("text").alias("tb"))
+    return pairs.join(right, F.col("b") == F.col("rb")).join(left, F.col("a") == F.col("ra")).select("a", "b", "ta", "tb")
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs ``a, b`` whose sets are in reach, stored, and their number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for batch in batches:
-            keep = [in_reach(of(a, s), of(b, t), percent) for a, b, s, t in zip(
+            keep = [in_reach(known.of(a, s, size), known.of(b, t, size), percent) for a, b, s, t in zip(
                 *[batch.column(i).to_pylist() for i in range(4)], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("row").alias("ra"), F.col("text").alias("ta"))
-    right = texts.select(F.col("row").alias("rb"), F.col("text").alias("tb"))
-    both = (
-        _promising(pairs, texts, percent).join(right, F.col("b") == F.col("rb")).join(left, F.col("a") == F.col("ra"))
-        .select("a", "b", "ta", "tb"))
-    links, seen = stored_with(both.mapInArrow(run, "a bigint, b bigint"), "jaccard-links", n=ROWS)
+    both = _with_texts(_promising(pairs, texts, percent), texts)
+    links, seen = scratch.stored_with(both.mapInArrow(run, "a bigint, b bigint"), "jaccard-links", n=ROWS)
     return links, seen["n"]
 
 
-def components(links: DataFrame) -> DataFrame:
+def _apart(scratch: Scratch, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """``a, b, linked, fewer, more, elements`` of the pairs of a lead ``a`` and another member ``b`` of its signature, stored; the links."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                found = [differences(known.of(b, t, size), known.of(a, s, size), percent) for a, b, s, t in zip(
+                    *[batch.column(i).to_pylist() for i in range(4)], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array([f[0] for f in found], pa.bool_()),
+                     pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()),
+                     _lists([f[1].view(np.int64) for f in found], np.int64)], names=["a", "b", "linked", "fewer", "more", "elements"])
+
+    found, seen = scratch.stored_with(_with_texts(pairs, texts).mapInArrow(
+        run, "a bigint, b bigint, linked boolean, fewer int, more int, elements array<bigint>"), "jaccard-apart", links="count_if(linked)")
+    release(pairs.sparkSession)
+    return found, seen["links"]
+
+
+def _parts(found: DataFrame) -> DataFrame:
+    """``signature, node, differing, small`` of the first differences of each set, rarest in its lead's signatures first.
+
+    A part needs a set for which it is among the first as the one of fewer differences.
+    """
+    single = found.select("a", "b", "fewer", "more", F.size("elements").alias("differing"), F.explode("elements").alias("e"))
+    often = single.groupBy(F.col("a").alias("l"), F.col("e").alias("f")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    counted = single.join(often.repartition(F.xxhash64("l", "f")), (F.col("a") == F.col("l")) & (F.col("e") == F.col("f")))
+    # elements of one set alone come first and meet nothing
+    shared = Window.partitionBy("a", "b")
+    placed = counted.withColumn("place", F.col("differing") - F.count(F.lit(1)).over(shared)
+                                + F.row_number().over(shared.orderBy("times", "e"))).where("place <= more")
+    return placed.select(F.xxhash64("a", "e").alias("signature"), F.col("b").alias("node"), "differing",
+                         (F.col("place") <= F.col("fewer")).alias("small"))
+
+
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, root`` (smallest node of its component) for the nodes of ``links`` (``a, b``).
 
     Large-star and small-star steps in turn, stored after each round, until nothing changes.
     """
+    scratch = scratch or Scratch(links.sparkSession)
     state = {"n": ROWS, "sum": "sum(cast(xxhash64(u, v) as decimal(38, 0)))"}
-    edges, seen = stored_with(
+    edges, seen = scratch.stored_with(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         "components", **state)
     while True:
@@ -255,27 +320,30 @@ def components(links: DataFrame) -> DataFrame:
             F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).repartition(F.xxhash64("c"))
         small = large.join(least, F.col("u") == F.col("c"))
-        before = seen
-        edges, seen = stored_with(
+        before, last = seen, edges
+        edges, seen = scratch.stored_with(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct(), "components", **state)
+        scratch.drop(last)
         if seen == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            found = scratch.stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components", small=True)
+            scratch.drop(edges)
+            return found
 
 
-def _grouped(members: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, int]:
+def _grouped(scratch: Scratch, members: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, int]:
     """``signature, node, root`` of the signatures whose members are in more than one component, stored; their rows."""
-    members = members.select("signature", "node")
+    members = members.drop("root")
     if groups is None:
         rooted = members.withColumn("root", F.col("node"))
     else:
         rooted = members.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select(
-            "signature", "node", F.coalesce("root", "node").alias("root"))
+            *members.columns, F.coalesce("root", "node").alias("root"))
     mixed_ones = rooted.groupBy(F.col("signature").alias("s")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
         .where("lo <> hi").select("s", "lo").repartition(F.xxhash64("s"))
-    open_ones, seen = stored_with(
-        rooted.join(mixed_ones, F.col("signature") == F.col("s")).select("signature", "node", "root"), "jaccard-open", n=ROWS)
+    open_ones, seen = scratch.stored_with(
+        rooted.join(mixed_ones, F.col("signature") == F.col("s")).select(*rooted.columns), "jaccard-open", n=ROWS)
     release(members.sparkSession)
     return open_ones, seen["n"]
 
@@ -301,7 +369,7 @@ def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
     return rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _costs(members: DataFrame, partners: float) -> tuple[DataFrame, int]:
+def _costs(scratch: Scratch, members: DataFrame, partners: float) -> tuple[DataFrame, int]:
     """``s, size, top`` (largest component), ``costly`` (more open pairs than ``partners`` per member) of each signature,
     stored; the number of costly ones."""
     sizes = members.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("k"))
@@ -310,7 +378,7 @@ def _costs(members: DataFrame, partners: float) -> tuple[DataFrame, int]:
         F.max(F.struct("k", "root")).alias("top"))
     costs = sums.select("s", "size", F.col("top.root").alias("top"), (
         F.col("size") * F.col("size") - F.col("squares") > F.lit(2.0 * partners) * F.col("size")).alias("costly"))
-    kept, seen = stored_with(costs, "jaccard-costs", n="count_if(costly)")
+    kept, seen = scratch.stored_with(costs, "jaccard-costs", n="count_if(costly)")
     return kept, seen["n"]
 
 
@@ -331,41 +399,96 @@ def _open_pairs(members: DataFrame, costs: DataFrame) -> DataFrame:
 class _Search:
     """Links found so far, and the components they make."""
 
-    def __init__(self, texts: DataFrame, size: int, percent: int):
-        self.texts, self.size, self.percent = texts, size, percent
+    def __init__(self, scratch: Scratch, texts: DataFrame, size: int, percent: int):
+        self.scratch, self.texts, self.size, self.percent = scratch, texts, size, percent
         self.groups: DataFrame | None = None
-        self.tried: DataFrame | None = None
+
+    def join(self, links: DataFrame) -> None:
+        """Takes in links ``a, b``; they may be dropped then."""
+        before = self.groups
+        if before is not None:
+            links = links.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.groups = components(links, self.scratch)
+        self.scratch.drop(before)
 
     def verify(self, pairs: DataFrame) -> None:
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs, seen = stored_with(pairs, "jaccard-pairs", n=ROWS)
-        if not seen["n"]:
-            return
-        links, found = _verified(pairs, self.texts, self.size, self.percent)
-        release(pairs.sparkSession)
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        if found:
-            if self.groups is not None:
-                links = links.unionByName(self.groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            self.groups = components(links)
-
-    def settle(self, held: DataFrame, partners: float) -> DataFrame | None:
-        """Verifies what can join components, but for signatures with too many open pairs; returns those."""
+        pairs, seen = self.scratch.stored_with(pairs, "jaccard-pairs", n=ROWS)
+        if seen["n"]:
+            links, found = _verified(self.scratch, pairs, self.texts, self.size, self.percent)
+            release(pairs.sparkSession)
+            if found:
+                self.join(links)
+            self.scratch.drop(links)
+        self.scratch.drop(pairs)
+
+    def regrouped(self, held: DataFrame) -> DataFrame:
+        again, _ = _grouped(self.scratch, held, self.groups)
+        self.scratch.drop(held)
+        return again
+
+    def lead(self, held: DataFrame) -> DataFrame:
+        """Verifies each member with one or two leaders of its signature; returns what still joins components."""
         self.verify(_star_pairs(held, 0))
-        for turn in range(1, STAR_ROUNDS + 1):
-            held, _ = _grouped(held, self.groups)
-            costs, costly = _costs(held, partners)
-            if not costly or turn == STAR_ROUNDS:
-                break
-            # other leaders may join what is left of a large group of near copies
-            led = held.join(costs.where("costly").select("s", "size").repartition(F.xxhash64("s")), F.col("signature") == F.col("s"))
-            self.verify(_star_pairs(led.select("signature", "node", "root"), turn))
+        for turn in range(1, STAR_ROUNDS):
+            held = self.regrouped(held)
+            costs, costly = _costs(self.scratch, held, PARTNERS)
+            if costly:
+                # other leaders may join what is left of a large group of near copies
+                led = held.join(costs.where("costly").select("s", "size").repartition(F.xxhash64("s")), F.col("signature") == F.col("s"))
+                self.verify(_star_pairs(led.select("signature", "node", "root"), turn))
+            self.scratch.drop(costs)
+            if not costly:
+                return held
+        return self.regrouped(held)
+
+    def settle(self, held: DataFrame) -> DataFrame | None:
+        """Verifies all open pairs but those of signatures with too many; returns the members of these, stored."""
+        costs, costly = _costs(self.scratch, held, PARTNERS)
         self.verify(_open_pairs(held, costs.where("not costly")))
-        if not costly:
+        skipped = None
+        if costly:
+            skipped = self.scratch.stored(held.join(
+                costs.where("costly").select("s", "size").repartition(F.xxhash64("s")), F.col("signature") == F.col("s")).select(
+                "signature", "node"), "jaccard-skipped", small=True)
+        self.scratch.drop(held, costs)
+        return skipped
+
+    def parted(self, crowded: DataFrame) -> DataFrame | None:
+        """Parts crowded signatures by leads and verifies the pairs of the parts; returns the members of parts that are crowded again.
+
+        The lead is the set with the most crowded signatures. A part is named by the lead and the element, so signatures with the same lead
+        are parted once. It is crowded if many of its sets can be the one of fewer differences, and many pairs are open for each member.
+        """
+        met = crowded.groupBy(F.col("node").alias("c")).agg(F.count(F.lit(1)).alias("met"))
+        leads = crowded.join(met, F.col("node") == F.col("c")).groupBy(F.col("signature").alias("s")).agg(
+            F.max(F.struct("met", "node")).alias("first")).select("s", F.col("first.node").alias("a")).repartition(F.xxhash64("s"))
+        pairs = self.scratch.stored(crowded.join(leads, F.col("signature") == F.col("s")).where("a <> node").select(
+            "a", F.col("node").alias("b")).distinct(), "jaccard-pairs", small=True)
+        found, links = _apart(self.scratch, pairs, self.texts, self.size, self.percent)
+        self.scratch.drop(crowded, pairs)
+        if links:
+            self.join(found.where("linked").select("a", "b"))
+        parts = self.scratch.stored(_parts(found), "jaccard-parts")
+        self.scratch.drop(found)
+        held, rows = _grouped(self.scratch, parts, self.groups)
+        self.scratch.drop(parts)
+        if not rows:
             return None
-        return held.join(costs.where("costly").select("s", "size").repartition(F.xxhash64("s")), F.col("signature") == F.col("s")).select(
-            "signature", "node")
+        per_root = held.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("k"), F.count_if("small").alias("smalls"))
+        pairs_open = F.sum("k") * F.sum("k") - F.sum(F.col("k").cast("double") * F.col("k"))  # twice the open ones
+        smalls = self.scratch.stored(per_root.groupBy(F.col("signature").alias("s")).agg(
+            F.sum("smalls").alias("smalls"), ((F.sum("smalls") > 2 * PARTNERS) & (pairs_open > 8.0 * PARTNERS * F.sum("k"))).alias("costly"))
+            .where("smalls > 0"), "jaccard-costs", small=True)
+        costly = F.col("costly")
+        busy = held.join(smalls.repartition(F.xxhash64("s")), F.col("signature") == F.col("s"))
+        cheap = busy.where(~costly)
+        one = cheap.where("small").select("signature", F.col("node").alias("m"), F.col("root").alias("mr"), F.col("differing").alias("md"))
+        met = cheap.join(one.withColumnRenamed("signature", "s2"), (F.col("signature") == F.col("s2")) & (F.col("root") != F.col("mr")) & (
+            F.struct("md", "m") < F.struct("differing", "node")))
+        self.verify(met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct())
+        left, seen = self.scratch.stored_with(busy.where(costly).select("signature", "node"), "jaccard-skipped", n=ROWS)
+        self.scratch.drop(held, smalls)
+        return left if seen["n"] else None
 
 
 def _again(skipped: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -392,49 +515,54 @@ def _deletions(again: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return joined.mapInArrow(run, "signature bigint, node bigint")
 
 
-def _roots(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
-           last_use: bool) -> tuple[DataFrame, DataFrame]:
-    """Stored rows of ``docs`` (deleted again on their ``last_use`` here), and ``row, id, n, root, component_id`` of each."""
-    sets = _sets(docs, text, size, percent)
-    light = stored(sets.select("row", F.col(doc_id).alias("id"), "n", "name1", "name2"), "jaccard-light", small=True)
-    classes = stored(light.where("n > 0").groupBy("name1", "name2").agg(
-        F.min("row").alias("node"), F.min("id").alias("least")), "jaccard-classes", small=True)
+def _roots(scratch: Scratch, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` without their text, with ``row``, ``n``, ``root`` and ``component_id``, stored."""
+    others = [c for c in docs.columns if c != text]
+    sets = _sets(scratch, docs, text, size, percent)
+    light = scratch.stored(sets.select(*others, "row", "n", "name1", "name2"), "jaccard-light", small=True)
+    classes = scratch.stored(light.where("n > 0").groupBy("name1", "name2").agg(
+        F.min("row").alias("node"), F.min(doc_id).alias("least")), "jaccard-classes", small=True)
     copies = light.where("n > 0").join(classes, ["name1", "name2"]).where("row <> node").select(
         F.col("row").alias("copy"), F.col("node").alias("first"))
     # copies take part under the number of the first of them, once per signature
     named = sets.select(F.explode("signatures").alias("signature"), "row")
-    shared = stored(named.groupBy(F.col("signature").alias("s")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"),
-                    "jaccard-shared")
-    members = stored(
+    shared = scratch.stored(
+        named.groupBy(F.col("signature").alias("s")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"), "jaccard-shared")
+    members = scratch.stored(
         named.join(shared, F.col("signature") == F.col("s")).join(copies, F.col("row") == F.col("copy"), "left")
         .select("signature", F.coalesce("first", "row").alias("node")).distinct(), "jaccard-members")
-    held, rows = _grouped(members, None)
+    scratch.drop(shared)
+    held, rows = _grouped(scratch, members, None)
+    scratch.drop(members)
     wanted = held.select("node").distinct()
-    texts = stored(
+    texts = scratch.stored(
         sets.select("row", "n", "band", "first", "prints", F.col(text).alias("text"))
         .join(wanted, F.col("row") == F.col("node"), "left_semi"), "jaccard-texts")
-    if last_use:
-        forget(sets)
-    search = _Search(texts, size, percent)
-    skipped = search.settle(held, PARTNERS) if rows else None
-    if skipped is not None:
-        again = stored(_deletions(_again(skipped, texts, percent), texts, size, percent), "jaccard-deletions", small=True)
-        held, rows = _grouped(again, search.groups)
-        if rows:
-            search.settle(held, float("inf"))
+    scratch.drop(sets)
+    search = _Search(scratch, texts, size, percent)
+    crowded = search.settle(search.lead(held)) if rows else None
+    if crowded is not None:
+        again = scratch.stored(_deletions(_again(crowded, texts, percent), texts, size, percent), "jaccard-deletions", small=True)
+        scratch.drop(crowded)
+        held, rows = _grouped(scratch, again, search.groups)
+        scratch.drop(again)
+        crowded = search.settle(held) if rows else None
+        while crowded is not None:
+            crowded = search.parted(crowded)
+    scratch.drop(texts)
     if search.groups is None:
         rooted = classes.withColumn("root", F.col("node"))
     else:
         rooted = classes.join(search.groups.select(F.col("node").alias("g"), "root"), F.col("node") == F.col("g"), "left") \
             .withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted.select("name1", "name2", "root", "least"), "jaccard-rooted", small=True)
+    rooted = scratch.stored(rooted.select("name1", "name2", "root", "least"), "jaccard-rooted", small=True)
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")).repartition(F.xxhash64("r"))
-    named_roots = stored(rooted.join(least, F.col("root") == F.col("r")).select("name1", "name2", "root", "component_id"),
-                         "jaccard-components", small=True)
+    named_roots = scratch.stored(rooted.join(least, F.col("root") == F.col("r")).select("name1", "name2", "root", "component_id"),
+                                 "jaccard-components", small=True)
     whole = light.join(named_roots, ["name1", "name2"], "left")
-    return sets, whole.select(
-        "row", "id", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("row")).alias("root"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return scratch.stored(whole.select(
+        *others, "row", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("row")).alias("root"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(doc_id)).alias("component_id")), "jaccard-found", small=True)
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -446,10 +574,13 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     * Equal sets are one node of the search and never compared with each other; repeated rows are found so.
     * A null id is never the smallest, unless all of a component are null. Other columns are ignored.
     * An empty table gives an empty table.
+
+    Of the run nothing stays in the shared folder but the three columns of the result.
     """
-    rows = docs.select(F.col(doc_id).alias("c0"), F.col(text).alias("c1"))
-    _, found = _roots(rows, "c0", "c1", words, percent, last_use=True)
-    return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
+    scratch = Scratch(docs.sparkSession)
+    found = _roots(scratch, docs.select(F.col(doc_id).alias("c0"), F.col(text).alias("c1")), "c0", "c1", words, percent)
+    scratch.close(found)
+    return found.select(F.col("c0").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
@@ -457,10 +588,27 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
     Of rows with that same id one stays. Rows without words all stay. Columns are those of ``docs``.
+
+    The search keeps no other columns: what stays is joined back to ``docs``, which is read twice and so should be a stored
+    table, by the id and 128 bits of the text.
     """
-    names = docs.columns
-    fixed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    sets, found = _roots(fixed, f"c{names.index(doc_id)}", f"c{names.index(text)}", words, percent, last_use=False)
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("stay"))
-    return sets.join(stays.select("stay"), F.col("row") == F.col("stay"), "left_semi").select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    scratch = Scratch(docs.sparkSession)
+    body = F.coalesce(F.col(text), F.lit(""))
+    prints = [F.xxhash64(F.lit(1), body), F.xxhash64(F.lit(2), body)]
+    found = _roots(scratch, docs.select(
+        F.col(doc_id).alias("c0"), F.col(text).alias("c1"), prints[0].alias("c2"), prints[1].alias("c3")), "c0", "c1", words, percent)
+    stays = found.where(F.col("c0").eqNullSafe(F.col("component_id"))).groupBy(F.col("root").alias("r")).agg(F.min("row").alias("stay"))
+    marked = found.join(stays.select("stay"), F.col("row") == F.col("stay"), "left")
+    # rows that share id and text share a component: all of them stay, or one
+    keys, seen = scratch.stored_with(
+        marked.groupBy("c0", "c2", "c3").agg(F.count("stay").alias("kept"), F.count(F.lit(1)).alias("rows")).where("kept > 0")
+        .select("c0", "c2", "c3", (F.col("kept") < F.col("rows")).alias("once")), "jaccard-kept", n="count_if(once)")
+    scratch.close(keys)
+    id_, first, second = fresh(docs, "id", "first", "second")
+    named = keys.select(F.col("c0").alias(id_), F.col("c2").alias(first), F.col("c3").alias(second), "once")
+    match = F.col(doc_id).eqNullSafe(F.col(id_)) & (prints[0] == F.col(first)) & (prints[1] == F.col(second))
+    whole = docs.join(named.where("not once").drop("once"), match, "left_semi")
+    if not seen["n"]:
+        return whole
+    single = docs.join(named.where("once").drop("once"), match).dropDuplicates([id_, first, second]).select(*docs.columns)
+    return whole.unionByName(single)

@@ -1,15 +1,19 @@
 """The Jaccard join and the pipeline against brute force."""
 
+import pathlib
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kifuframe.llm import jaccard, quality
+from kifuframe.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,6 +90,71 @@ def test_components_of_planted_copies(spark, monkeypatch, size, percent, partner
     assert ordered(got) == ordered(brute(rows, size, percent))
 
 
+def crowd(seed, count, own_words, passages=1):
+    """Texts around shared passages, most of them just out of reach of each other, with some links among them."""
+    rng = random.Random(seed)
+    shared = [" ".join(f"p{i}x{j}" for j in range(60)) for i in range(passages)]
+    rows = []
+    for ident in range(count):
+        own = [f"o{rng.randrange(own_words)}" if own_words else f"o{ident}x{i}" for i in range(9)]
+        rows.append((ident, f"{rng.choice(shared)} {' '.join(own)}"))
+        if ident % 11 == 0:
+            own[rng.randrange(9)] = f"n{ident}"
+            rows.append((ident + 10_000, f"{rows[-1][1].split(' o')[0]} {' '.join(own)}"))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("own_words, passages, partners", [(0, 1, 4), (30, 1, 4), (30, 3, 0.5)])
+def test_components_of_crowds(spark, monkeypatch, own_words, passages, partners):
+    monkeypatch.setattr(jaccard, "PARTNERS", partners)
+    made, verify = [], jaccard._Search.verify
+
+    def counted(self, pairs):
+        made.append(pairs.count())
+        return verify(self, pairs)
+
+    monkeypatch.setattr(jaccard._Search, "verify", counted)
+    rows = crowd(3, 220, own_words, passages)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = [tuple(r) for r in jaccard.similar_components(docs).collect()]
+    want = brute(rows, 4, 85)
+    assert ordered(got) == ordered(want)
+    assert 5 < sum(r[0] != r[2] for r in want) < 120
+    assert sum(made) < 12 * len(rows)  # of 28,000 pairs
+
+
+def test_sets_that_differ_from_a_lead_meet():
+    """Two sets in reach, not both linked to a lead of any size, share a first difference in any order."""
+    rng, tried = np.random.default_rng(7), 0
+    for percent in (60, 80, 85):
+        for _ in range(600):
+            lead = np.unique(rng.integers(0, 1 << 63, int(rng.integers(45, 75)), dtype=np.uint64))
+            base = altered(rng, lead, int(rng.integers(1, 60)))
+            a, b = altered(rng, base, int(rng.integers(0, 14))), altered(rng, base, int(rng.integers(0, 14)))
+            if not jaccard.in_reach(a, b, percent):
+                continue
+            (la, da, fa, ma), (lb, db, fb, mb) = (jaccard.differences(x, lead, percent) for x in (a, b))
+            assert la == jaccard.in_reach(a, lead, percent) and fa <= ma and fb <= mb
+            if la and lb:
+                continue
+            tried += 1
+            for order in (np.sort, lambda x: np.sort(x)[::-1], lambda x: x[np.argsort(jaccard.mixed(x))]):
+                first, second = (order(da)[:fa], order(db)[:mb]) if len(da) <= len(db) else (order(da)[:ma], order(db)[:fb])
+                assert set(first.tolist()) & set(second.tolist())
+    assert tried > 200
+
+
+def test_little_is_left_in_the_shared_folder(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = pathlib.Path(shared_dir(spark)) / "kifuframe" / "llm"
+    before = set(folder.glob("jaccard-*")) | set(folder.glob("components-*"))
+    jaccard.similar_components(docs).count()
+    jaccard.keep_one_of_each(docs).count()
+    left = (set(folder.glob("jaccard-*")) | set(folder.glob("components-*"))) - before
+    assert sorted(p.name.rsplit("-", 1)[0] for p in left) == ["jaccard-found", "jaccard-kept"]
+
+
 def test_components_of_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -190,11 +259,8 @@ def test_pipeline_equals_the_loops(spark):
         tokens[r.doc_id] += r.length
     assert set(tokens) == {ident for ident, _ in rows}
     assert all(tokens[r.doc_id] == r.doc_tokens for r in packed)
-    from kifuframe.llm.packing import _tokenizers
-    import public_tokenizers as P
-
-    fast, _ = _tokenizers(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
-    assert tokens == {ident: len(fast.encode_ordinary(text)) + 1 for ident, text in rows}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens == {ident: len(library.encode(text, add_special_tokens=False).ids) + 1 for ident, text in rows}
 
 
 def test_stages_pass_on_the_columns_of_documents(spark):
