@@ -110,17 +110,17 @@ def symmetry_map(n: int, cells: DataFrame, cell: str = "cell", convention: str =
 
 
 def epoch_batches(examples: DataFrame, batch_size: int, seed: int, epochs: int,
-                  keys: tuple[str, ...] = ("game_id", "ply"), bits: int = 16) -> DataFrame:
+                  keys: tuple[str, ...] = ("game_id", "ply"), bits: int | None = None) -> DataFrame:
     """Shuffled fixed-size batches per epoch; the last batch of an epoch may be short.
 
-    The examples are read twice, for the bucket sizes and for the rows, so pass a stored
-    table rather than a long derivation.
+    The examples are read once and exchanged once for all epochs, so they may be a long derivation. ``bits`` is taken
+    for older callers and changes nothing: the shuffle needs no width to be set.
     """
     drawn = (
         examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         .withColumn("_draw", keyed_u32(F.lit(seed) + F.col("epoch"), *[F.col(k) for k in keys]))
     )
-    placed = shuffled_positions(drawn, "epoch", "_draw", keys, "_position", bits)
+    placed = shuffled_positions(drawn, "epoch", "_draw", keys, "_position")
     return (
         placed.withColumn("batch", F.call_function("div", F.col("_position"), F.lit(batch_size)))
         .withColumn("slot", F.col("_position") % batch_size)

@@ -33,6 +33,11 @@ def number_rows(df: DataFrame, key: str, order: Sequence[str], out: str) -> Data
         df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
         .withColumn("_range", F.shiftright(mark, 33).cast("int"))
         .withColumn("_at", mark.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    return _numbered(placed, key, out)
+
+
+def _numbered(placed: DataFrame, key: str, out: str) -> DataFrame:
+    """Positions inside the key from ``_range`` and ``_at``, the place in its task of a row that lies beside all others of its key and range."""
     earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of"))
@@ -113,24 +118,16 @@ def running_sums(df: DataFrame, key: str, index: str, values: dict[str, Column],
         (F.col(name) + F.coalesce(F.col(f"_skip_{name}"), F.lit(0))).alias(name) for name in values])
 
 
-def shuffled_positions(df: DataFrame, group: str, draw: str, ties: Sequence[str], out: str,
-                       bits: int = 16) -> DataFrame:
-    """Zero-based position of each row in the order of a uniform 32-bit ``draw``.
+def shuffled_positions(df: DataFrame, group: str, draw: str, ties: Sequence[str], out: str) -> DataFrame:
+    """Zero-based position of each row of a group in the order of a uniform 32-bit ``draw``.
 
-    The leading ``bits`` of a uniform draw split any input into even buckets, so
-    neither a hot key nor a sampled range boundary is involved. There are at most
-    ``2**bits`` buckets per group; raise ``bits`` when a bucket outgrows a task.
+    Equal ranges of a uniform draw hold even shares of any input, so there is one per shuffle partition, and neither a hot
+    key nor a sampled boundary is involved. ``df`` is read and exchanged once: the sorted ranges are stored, and their
+    counts, one small row per group and range, are taken from there.
     """
-    staged = df.withColumn("_bucket", F.shiftright(F.col(draw), 32 - bits))
-    inside = Window.partitionBy(group, "_bucket").orderBy(draw, *ties)
-    before = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        staged.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_of")).count()
-        .select("_group", "_of", F.sum("count").over(before).alias("_skip"))
-    )
-    local = staged.withColumn("_at", F.row_number().over(inside) - 1)
-    return (
-        local.join(offsets, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_of")), "left")
-        .withColumn(out, F.col("_at") + F.coalesce(F.col("_skip"), F.lit(0)))
-        .drop("_bucket", "_at", "_group", "_of", "_skip")
-    )
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(
+        df.withColumn("_range", F.shiftright(F.col(draw) * F.lit(ranges), 32).cast("int"))
+        .repartitionById(ranges, F.col("_range")).sortWithinPartitions(group, draw, *ties)
+        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "shuffled")
+    return _numbered(placed, group, out)

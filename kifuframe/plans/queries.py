@@ -243,11 +243,9 @@ def value_target(spark, sf):
 
 @query
 def epoch_batches(spark, sf):
-    """Batches of two epochs over stored examples; every epoch reads them again."""
-    path = scratch_path(spark, "examples")
-    _examples(spark, sf).select("game_id", "ply", "action", "value").write.parquet(path)
-    return ex.epoch_batches(spark.read.parquet(path), 256, SEED, 2).select(
-        "epoch", "batch", "slot", "game_id", "ply")
+    """Batches of two epochs; the examples are derived once for both."""
+    rows = _examples(spark, sf).select("game_id", "ply", "action", "value")
+    return ex.epoch_batches(rows, 256, SEED, 2).select("epoch", "batch", "slot", "game_id", "ply")
 
 
 @query

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +121,32 @@ def test_epoch_batches_cover_each_epoch_once(spark):
         assert orders[0] != orders[1] and orders[0] != list(range(1000))
 
 
+def test_epoch_batches_read_their_input_once_and_follow_the_draw(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    # a third of the rows is one game, and some rows are repeated
+    rows = [(0 if i % 3 == 0 else i % 11, i // 2, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "game_id bigint, ply bigint, extra int").mapInPandas(
+        watched, "game_id bigint, ply bigint, extra int")
+    got = ex.epoch_batches(df, 100, 9, 2).collect()
+    assert seen.value == len(rows) and len(got) == 2 * len(rows)
+    for epoch in range(2):
+        draws = [(int(hashlib.md5(f"{g}:{p}:{9 + epoch}".encode()).hexdigest()[:8], 16), g, p) for g, p, _ in rows]
+        mine = sorted((r.batch * 100 + r.slot, r.game_id, r.ply) for r in got if r.epoch == epoch)
+        assert [at for at, _, _ in mine] == list(range(len(rows)))
+        assert [(g, p) for _, g, p in mine] == [(g, p) for _, g, p in sorted(draws)]
+        assert {r.extra for r in got if r.epoch == epoch} == set(range(1500))
+
+
+def test_epoch_batches_of_nothing(spark):
+    assert ex.epoch_batches(spark.createDataFrame([], "game_id bigint, ply bigint"), 8, 1, 2).count() == 0
+
+
 def test_trajectory_equals_loop(spark):
     rng = np.random.default_rng(5)
     n, gamma, steps = 4, 0.9, 3

@@ -120,6 +120,27 @@ def test_pretrain_score_and_round_trip(spark, diagonal, tmp_path):
     assert len(first[0].logits) == 81 and all(np.isfinite(r.value_output) for r in first)
 
 
+def test_pretrain_reaches_the_best_losses(spark):
+    """Each position has its own features, so the unpenalised optimum predicts the shares and the mean seen at it."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for own, opp, player, chances in (([], [], 1, (6, 3, 1)), ([], [4], -1, (2, 2, 6)), ([4], [0], 1, (1, 8, 1))):
+        for action in rng.choice([1, 2, 3], 400, p=np.array(chances) / 10).tolist():
+            rows.append((own, opp, player, action, float(rng.choice([-1.0, 0.0, 1.0]))))
+    table = spark.createDataFrame(rows, "own_cells array<int>, opp_cells array<int>, player int, action int, value double")
+    _, report = models.pretrain(table, 3, epochs=200, reg=0.0)
+    entropy = spread = 0.0
+    for key in {str(r[:3]) for r in rows}:
+        mine = [r for r in rows if str(r[:3]) == key]
+        _, times = np.unique([r[3] for r in mine], return_counts=True)
+        entropy -= float((times * np.log(times / len(mine))).sum()) / len(rows)
+        spread += float(np.var([r[4] for r in mine])) * len(mine) / len(rows)
+    assert report["policy_loss"] == pytest.approx(entropy, abs=2e-3) and report["policy_loss"] >= entropy - 1e-9
+    assert report["fast_loss"] == pytest.approx(entropy, abs=2e-3)
+    assert report["value_loss"] == pytest.approx(spread, abs=1e-6)
+    assert report["pretrain_loss"] == pytest.approx(report["policy_loss"] + report["value_loss"] + 0.5 * report["fast_loss"])
+
+
 def test_logits_cover_unplayed_cells(diagonal):
     model, _ = models.pretrain(diagonal.where("ply < 3"), 9, epochs=1)
     assert len(models.score(diagonal, model, 9).first().logits) == 81
