@@ -3,13 +3,13 @@
 The universe of n-gram hashes is cut into segments, as many per band of set sizes as a pair in reach
 can have differences, plus some slack. Two sets in reach then agree on more segments than the slack, so
 they share the signature of a segment's subset (pigeonhole). Subsets that too many documents
-share are skipped at the cost of slack; a document that has no slack left is indexed again over half as
-many segments with the subsets and all subsets short of one element, where two sets in reach
-must meet too. Every candidate is verified on the whole sets.
+share are skipped at the cost of slack; documents that have no slack left are indexed again by their own
+elements that are rarest among them (prefix filter), where two sets in reach must meet too. Every candidate is
+verified on the whole sets.
 
 Only pairs that can still join two components are verified: first each document with one leader
 per signature, then what is left between components. A signature of the second index that has too many open pairs
-is parted by a lead: two members that do not both link to it can be in reach only if they differ from it in common
+is solved whole in one task if its sets are few and small, else it is parted by a lead: two members that do not both link to it can be in reach only if they differ from it in common
 elements, so they meet again under one of their rarest differences.
 """
 
@@ -32,6 +32,14 @@ GROWTH = 1.3
 #: A signature is skipped when its members have more unverified partners than this on average.
 PARTNERS = 4
 STAR_ROUNDS = 2
+#: Ratio of the set sizes at the two ends of a class of the second index.
+CLASS_GROWTH = 1.05
+#: Most members, elements and bytes of text of a crowded signature that one task compares whole.
+BLOCK = (1_500, 1_000_000, 64 << 20)
+#: Elements of a block that are counted at once.
+SLAB = 16_384
+#: Up to so many links their components are found in one task.
+IN_ONE_TASK = 100_000
 KNOWN_WORDS = 500_000
 BAND_BITS = 7
 ROWS = "count(1)"
@@ -183,6 +191,37 @@ def differences(a: np.ndarray, lead: np.ndarray, percent: int) -> tuple[bool, np
     return linked, apart, len(apart) - max(least, fewer) + 1, len(apart) - max(least, more) + 1
 
 
+def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (by place in the list) that make the components of all pairs in reach among a few sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    elements, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[code] > 1
+    owner, code = owner[keep], shared[code[keep]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(np.count_nonzero(times > 1)), SLAB):
+        here = (code >= low) & (code < low + SLAB)
+        held = np.zeros((len(sets), SLAB), np.float32)
+        held[owner[here], code[here] - low] = 1
+        both += held @ held.T
+    common = both.astype(np.int64)
+    np.fill_diagonal(common, sizes)
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    out, left = [], np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        if left[first]:
+            left[first] = False
+            ahead = [first]
+            while ahead:
+                at = ahead.pop()
+                found = np.flatnonzero(linked[at] & left)
+                left[found] = False
+                out += [(at, int(f)) for f in found]
+                ahead += found.tolist()
+    return out
+
+
 def _lists(parts: list, kind: type) -> pa.ListArray:
     """Arrays (or list arrays) as the rows of one list array."""
     offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32))
@@ -288,7 +327,7 @@ def _apart(scratch: Scratch, pairs: DataFrame, texts: DataFrame, size: int, perc
 
 
 def _parts(found: DataFrame) -> DataFrame:
-    """``signature, node, differing, small`` of the first differences of each set, rarest in its lead's signatures first.
+    """``signature, node, size, small, large`` of the first differences of each set, rarest in its lead's signatures first.
 
     A part needs a set for which it is among the first as the one of fewer differences.
     """
@@ -299,20 +338,46 @@ def _parts(found: DataFrame) -> DataFrame:
     shared = Window.partitionBy("a", "b")
     placed = counted.withColumn("place", F.col("differing") - F.count(F.lit(1)).over(shared)
                                 + F.row_number().over(shared.orderBy("times", "e"))).where("place <= more")
-    return placed.select(F.xxhash64("a", "e").alias("signature"), F.col("b").alias("node"), "differing",
-                         (F.col("place") <= F.col("fewer")).alias("small"))
+    return placed.select(F.xxhash64("a", "e").alias("signature"), F.col("b").alias("node"), F.col("differing").alias("size"),
+                         (F.col("place") <= F.col("fewer")).alias("small"), F.lit(True).alias("large"))
+
+
+def _components_in_one_task(edges: DataFrame) -> DataFrame:
+    """``node, root`` of few ``u, v``, by union and find."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((root(u), root(v)))
+                above[high] = low
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(above), pa.int64()), pa.array([root(x) for x in list(above)], pa.int64())], names=["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node bigint, root bigint")
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, root`` (smallest node of its component) for the nodes of ``links`` (``a, b``).
 
-    Large-star and small-star steps in turn, stored after each round, until nothing changes.
+    Large-star and small-star steps in turn, stored after each round, until nothing changes; up to ``IN_ONE_TASK``
+    links in one task instead, as the rounds would be many small jobs.
     """
     scratch = scratch or Scratch(links.sparkSession)
     state = {"n": ROWS, "sum": "sum(cast(xxhash64(u, v) as decimal(38, 0)))"}
     edges, seen = scratch.stored_with(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         "components", **state)
+    if seen["n"] <= IN_ONE_TASK:
+        found = scratch.stored(_components_in_one_task(edges), "components", small=True)
+        scratch.drop(edges)
+        return found
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m")).repartition(F.xxhash64("c"))
@@ -453,11 +518,47 @@ class _Search:
         self.scratch.drop(held, costs)
         return skipped
 
+    def blocks(self, crowded: DataFrame) -> DataFrame | None:
+        """Finds all links within crowded signatures of few and small sets, each in one task; returns the members of the others.
+
+        Signatures with the same members are compared once.
+        """
+        size, percent = self.size, self.percent
+
+        def run(block: pa.Table) -> pa.Table:
+            nodes = block.column("node").to_pylist()
+            links = links_within([shingles(t.as_py(), size) for t in block.column("text")], percent)
+            return pa.table({"a": pa.array([nodes[a] for a, _ in links], pa.int64()), "b": pa.array([nodes[b] for _, b in links], pa.int64())})
+
+        sizes = self.texts.select("row", "n", F.octet_length("text").alias("bytes"))
+        totals = crowded.join(sizes, F.col("node") == F.col("row")).groupBy(F.col("signature").alias("s")).agg(
+            F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"),
+            F.sum(F.xxhash64("node").cast("decimal(38, 0)")).alias("members"))
+        few = (F.col("k") <= BLOCK[0]) & (F.col("n") <= BLOCK[1]) & (F.col("bytes") <= BLOCK[2])
+        totals, seen = self.scratch.stored_with(
+            totals.select("s", "k", "members", few.alias("few")), "jaccard-costs", few="count_if(few)", many="count_if(not few)")
+        if seen["few"]:
+            once = totals.where("few").groupBy("k", "members").agg(F.min("s").alias("s")).select("s").repartition(F.xxhash64("s"))
+            held = crowded.join(once, F.col("signature") == F.col("s")).join(
+                self.texts.select("row", "text"), F.col("node") == F.col("row")).select("signature", "node", "text")
+            links, found = self.scratch.stored_with(
+                held.groupBy("signature").applyInArrow(run, "a bigint, b bigint"), "jaccard-links", n=ROWS)
+            if found["n"]:
+                self.join(links)
+            self.scratch.drop(links)
+        others = None
+        if seen["many"]:
+            others = self.scratch.stored(crowded.join(
+                totals.where("not few").select("s").repartition(F.xxhash64("s")), F.col("signature") == F.col("s")).select(
+                "signature", "node"), "jaccard-skipped", small=True)
+        self.scratch.drop(crowded, totals)
+        return others
+
     def parted(self, crowded: DataFrame) -> DataFrame | None:
         """Parts crowded signatures by leads and verifies the pairs of the parts; returns the members of parts that are crowded again.
 
         The lead is the set with the most crowded signatures. A part is named by the lead and the element, so signatures with the same lead
-        are parted once. It is crowded if many of its sets can be the one of fewer differences, and many pairs are open for each member.
+        are parted once.
         """
         met = crowded.groupBy(F.col("node").alias("c")).agg(F.count(F.lit(1)).alias("met"))
         leads = crowded.join(met, F.col("node") == F.col("c")).groupBy(F.col("signature").alias("s")).agg(
@@ -470,9 +571,18 @@ class _Search:
             self.join(found.where("linked").select("a", "b"))
         parts = self.scratch.stored(_parts(found), "jaccard-parts")
         self.scratch.drop(found)
+        return self.meet(parts)
+
+    def meet(self, parts: DataFrame) -> DataFrame | None:
+        """Verifies the open pairs of ``parts`` (``signature, node, size, small, large``), dropped then; returns the members of crowded ones.
+
+        In a pair the set of less (size, node) is there as ``small`` and the other as ``large``. A part is crowded if many of its sets
+        can be the small one, and many pairs are open for each member.
+        """
         held, rows = _grouped(self.scratch, parts, self.groups)
         self.scratch.drop(parts)
         if not rows:
+            self.scratch.drop(held)
             return None
         per_root = held.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("k"), F.count_if("small").alias("smalls"))
         pairs_open = F.sum("k") * F.sum("k") - F.sum(F.col("k").cast("double") * F.col("k"))  # twice the open ones
@@ -480,15 +590,18 @@ class _Search:
             F.sum("smalls").alias("smalls"), ((F.sum("smalls") > 2 * PARTNERS) & (pairs_open > 8.0 * PARTNERS * F.sum("k"))).alias("costly"))
             .where("smalls > 0"), "jaccard-costs", small=True)
         costly = F.col("costly")
-        busy = held.join(smalls.repartition(F.xxhash64("s")), F.col("signature") == F.col("s"))
+        busy = held.join(smalls.drop("smalls").repartition(F.xxhash64("s")), F.col("signature") == F.col("s"))
         cheap = busy.where(~costly)
-        one = cheap.where("small").select("signature", F.col("node").alias("m"), F.col("root").alias("mr"), F.col("differing").alias("md"))
-        met = cheap.join(one.withColumnRenamed("signature", "s2"), (F.col("signature") == F.col("s2")) & (F.col("root") != F.col("mr")) & (
-            F.struct("md", "m") < F.struct("differing", "node")))
+        one = cheap.where("small").select(F.col("signature").alias("s2"), F.col("node").alias("m"), F.col("root").alias("mr"), F.col("size").alias("ms"))
+        met = cheap.where("large").join(one, (F.col("signature") == F.col("s2")) & (F.col("root") != F.col("mr")) & (
+            F.struct("ms", "m") < F.struct("size", "node")))
         self.verify(met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct())
         left, seen = self.scratch.stored_with(busy.where(costly).select("signature", "node"), "jaccard-skipped", n=ROWS)
         self.scratch.drop(held, smalls)
-        return left if seen["n"] else None
+        if seen["n"]:
+            return left
+        self.scratch.drop(left)
+        return None
 
 
 def _again(skipped: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -502,17 +615,42 @@ def _again(skipped: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         F.col("lost") + empty > pick(bands.slack)).select("node", "band")
 
 
-def _deletions(again: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _elements(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``e, node, n``: each element of the sets of ``nodes``, and the set's size."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = bands_for(percent)
         for batch in batches:
-            for node, band, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                found = deletion_signatures(shingles(text, size), band, bands)
+            for node, text in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
+                found = shingles(text, size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(np.full(len(found), node, np.int64))], names=["signature", "node"])
+                    [pa.array(found.view(np.int64)), pa.array(np.full(len(found), node, np.int64)),
+                     pa.array(np.full(len(found), len(found), np.int64))], names=["e", "node", "n"])
+
+    joined = nodes.join(texts.select("row", "text"), F.col("node") == F.col("row")).select("node", "text")
+    return joined.mapInArrow(run, "e bigint, node bigint, n bigint")
 
-    joined = again.join(texts.select("row", "text"), F.col("node") == F.col("row")).select("node", "band", "text")
-    return joined.mapInArrow(run, "signature bigint, node bigint")
+
+def _rarest(single: DataFrame, percent: int) -> DataFrame:
+    """``signature, node, size, small, large`` of the rarest elements of each set of ``e, node, n``.
+
+    Sets a and b, a the smaller, in reach have at least percent (|a| + |b|) / (100 + percent) elements in common. In any order of
+    all elements they meet at their first common one: it is among the first |a| (1 - 2 percent / (100 + percent)) of a and the first
+    |b| (1 - percent / 100) of b, and b has all the others after it, which bounds the size of a. Elements of one set alone come
+    first and meet nothing. A signature is an element and a class of sizes: a is in its own, b in each where an a can be.
+    """
+    often = single.groupBy(F.col("e").alias("f")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    counted = single.join(often.repartition(F.xxhash64("f")), F.col("e") == F.col("f"))
+    own = Window.partitionBy("node")
+    placed = counted.withColumn("place", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "e")))
+    ends = placed.withColumns({
+        "fewest": F.expr(f"({percent} * n + 99) div 100"), "fewer": F.expr(f"n - (2 * {percent} * n + 99 + {percent}) div (100 + {percent}) + 1"),
+        "most": F.expr(f"least(n, (n - place + 1) * (100 + {percent}) div {percent} - n)")}).where("place <= fewer or fewest <= most")
+    of = lambda size: F.floor(F.log(F.greatest(F.col(size), F.lit(1))) / F.lit(float(np.log(CLASS_GROWTH))))
+    spread = ends.withColumn("class", F.explode(F.sequence(of("fewest"), of("n"))))
+    return spread.select(
+        F.xxhash64("e", "class").alias("signature"), "node", F.col("n").alias("size"),
+        ((F.col("class") == of("n")) & (F.col("place") <= F.col("fewer"))).alias("small"),
+        ((F.col("fewest") <= F.col("most")) & (F.col("class") <= of("most"))).alias("large")).where("small or large")
 
 
 def _roots(scratch: Scratch, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
@@ -542,12 +680,13 @@ def _roots(scratch: Scratch, docs: DataFrame, doc_id: str, text: str, size: int,
     search = _Search(scratch, texts, size, percent)
     crowded = search.settle(search.lead(held)) if rows else None
     if crowded is not None:
-        again = scratch.stored(_deletions(_again(crowded, texts, percent), texts, size, percent), "jaccard-deletions", small=True)
+        nodes = _again(crowded, texts, percent).select("node").distinct()
+        single = scratch.stored(_elements(nodes, texts, size), "jaccard-elements", small=True)
         scratch.drop(crowded)
-        held, rows = _grouped(scratch, again, search.groups)
-        scratch.drop(again)
-        crowded = search.settle(held) if rows else None
-        while crowded is not None:
+        parts = scratch.stored(_rarest(single, percent), "jaccard-parts")
+        scratch.drop(single)
+        crowded = search.meet(parts)
+        while crowded is not None and (crowded := search.blocks(crowded)) is not None:
             crowded = search.parted(crowded)
     scratch.drop(texts)
     if search.groups is None:

@@ -269,3 +269,40 @@ def test_stages_pass_on_the_columns_of_documents(spark):
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "packing"]
+
+
+def test_links_within_a_block(monkeypatch):
+    monkeypatch.setattr(jaccard, "SLAB", 7)
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    sets = [altered(rng, base, int(rng.integers(0, 9))) for _ in range(50)] + [altered(rng, base, 60)]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if jaccard.in_reach(sets[a], sets[b], 85):
+                root = [root[b] if r == root[a] else r for r in root]
+    got = list(range(len(sets)))
+    links = jaccard.links_within(sets, 85)
+    for a, b in links:
+        got = [got[b] if r == got[a] else r for r in got]
+    pairs = {(a, b) for a in range(len(sets)) for b in range(a)}
+    assert all((root[a] == root[b]) == (got[a] == got[b]) for a, b in pairs)
+    assert len(links) == len(sets) - len(set(root)) and 1 < len(set(root)) < 45
+
+
+def test_components_of_many_links_take_rounds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "IN_ONE_TASK", 0)
+    test_components_of_a_long_path(spark)
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, (0, 0, 0)])
+def test_crowds_of_few_small_sets_are_not_parted(spark, monkeypatch, block):
+    """A set of whom nothing is left but rare elements meets nobody; a crowd is one block, or is parted by leads if blocks are ruled out."""
+    parted, found = jaccard._Search.parted, []
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PARTNERS", 0.01)
+    monkeypatch.setattr(jaccard._Search, "parted", lambda self, crowded: found.append(1) or parted(self, crowded))
+    rows = crowd(4, 80, 12, 1)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert ordered([tuple(r) for r in jaccard.similar_components(docs).collect()]) == ordered(brute(rows, 4, 85))
+    assert not (found and block[0])
