@@ -728,6 +728,12 @@ def stream_games(spark, sf):
     return spark.read.parquet(f"{out}/data").drop("batch_id")
 
 
+def files_per_batch(spark, path: str, least: int, batches: int = 12) -> int:
+    """Files per micro-batch for about ``batches`` of them, ``least`` at least: a micro-batch commits the state of all players, so
+    their number must not grow with the input."""
+    return max(least, -(-len(spark.read.parquet(path).inputFiles()) // batches))
+
+
 @query
 def stream_elo(spark, sf):
     """Final running rating and tally of each player."""
@@ -736,7 +742,8 @@ def stream_elo(spark, sf):
     matches = fx.matches(spark, sf)
     for part, held in enumerate(("game_idx < 5", "game_idx >= 5 and game_idx < 15", "game_idx >= 15")):
         matches.where(held).write.mode("append" if part else "overwrite").parquet(f"{out}/matches")
-    stream = spark.readStream.schema(matches.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/matches")
+    stream = spark.readStream.schema(matches.schema).option(
+        "maxFilesPerTrigger", files_per_batch(spark, f"{out}/matches", 4)).parquet(f"{out}/matches")
     rated = stream_ratings.stream_elo(stream)
     sinks.write_batches(rated, f"{out}/data", f"{out}/log", "update").awaitTermination()
     last = F.max_by(F.struct("elo", "wins", "losses", "draws", "num_games"), "num_games").alias("last")

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kifuframe.operators.ratings import ELO_SCALE, K_FACTOR, score_of, side_result
 
 OUTPUT = "elo double, wins bigint, losses bigint, draws bigint, num_games bigint"
-STATE = f"{OUTPUT}, following bigint, early array<struct<idx:bigint,score:double,seen:int>>"
+#: Players share this many groups: a call of Python per player and micro-batch costs far more than the rating itself.
+GROUPS = 4_096
 
 
 def stream_elo(matches: DataFrame, initial: float = 1000.0, opponent: float = 1000.0,
@@ -24,17 +25,19 @@ def stream_elo(matches: DataFrame, initial: float = 1000.0, opponent: float = 10
     batch operator. The figures of a row are those of the games rated so far.
 
     * A game whose number was rated before, or is null, is rated when it arrives. Games after a gap that never fills are never rated.
-    * A player's rows are held for one micro-batch only, so the trigger's file or byte limit bounds them; what waits is held as numbers.
+    * A group's rows are held for one micro-batch only, so the trigger's file or byte limit bounds them; what waits is held as numbers.
+    * A group's players are one state, so the number of groups must stay the same while a checkpoint is used.
     """
+    # null players have a group of their own, so that the others keep their type in pandas
+    group = F.when(F.col("player").isNull(), -1).otherwise(F.pmod(F.xxhash64("player"), F.lit(GROUPS)).cast("int"))
     slim = matches.select(
-        "player", "game_idx", score_of(F.col("outcome"), F.col("plays_black")).alias("score"),
+        group.alias("_group"), "player", "game_idx", score_of(F.col("outcome"), F.col("plays_black")).alias("score"),
         side_result(F.col("outcome"), F.col("plays_black")).alias("seen"))
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        elo, wins, losses, draws, games, following, early = state.get if state.exists else (initial, 0, 0, 0, 0, first, [])
-        arrived = [(following - 1 if pd.isna(i) else int(i), float(score), None if pd.isna(seen) else int(seen))
-                   for b in batches for i, score, seen in zip(b["game_idx"], b["score"], b["seen"], strict=True)]
-        waiting = sorted([*map(tuple, early or []), *arrived], key=lambda game: game[0])
+    def rate(held: tuple, arrived: list[tuple]) -> tuple:
+        elo, wins, losses, draws, games, following, early = held
+        waiting = sorted([*map(tuple, early or []), *((following - 1 if i is None else i, x, seen) for i, x, seen in arrived)],
+                         key=lambda game: game[0])
         rated = 0
         for idx, score, seen in waiting:
             if idx > following:
@@ -42,12 +45,24 @@ def stream_elo(matches: DataFrame, initial: float = 1000.0, opponent: float = 10
             elo += k * (score - 1.0 / (1.0 + 10.0 ** ((opponent - elo) / ELO_SCALE)))
             wins, losses, draws = wins + (seen == 1), losses + (seen == -1), draws + (seen == 0)
             following, rated = max(following, idx + 1), rated + 1
-        games += rated
-        state.update((elo, wins, losses, draws, games, following, waiting[rated:]))
-        yield pd.DataFrame({
-            "player": [key[0]], "elo": [elo], "wins": [wins], "losses": [losses], "draws": [draws],
-            "num_games": [games]})
+        return elo, wins, losses, draws, games + rated, following, waiting[rated:]
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {row[0]: tuple(row)[1:] for row in state.get[0]} if state.exists else {}
+        arrived: dict = {}
+        for b in batches:
+            players = [None] * len(b) if key[0] == -1 else b["player"].tolist()
+            for player, i, score, seen in zip(players, b["game_idx"].tolist(), b["score"].tolist(), b["seen"].tolist(), strict=True):
+                arrived.setdefault(player, []).append(
+                    (None if pd.isna(i) else int(i), score, None if pd.isna(seen) else int(seen)))
+        for player, games in arrived.items():
+            held[player] = rate(held.get(player, (initial, 0, 0, 0, 0, first, [])), games)
+        state.update(([(player, *figures) for player, figures in held.items()],))
+        yield pd.DataFrame(
+            [(player, *held[player][:5]) for player in arrived], columns=["player", "elo", "wins", "losses", "draws", "num_games"])
 
     kind = matches.schema["player"].dataType.simpleString()
-    return slim.groupBy("player").applyInPandasWithState(
-        update, f"player {kind}, {OUTPUT}", STATE, "update", GroupStateTimeout.NoTimeout)
+    each = f"player:{kind},elo:double,wins:bigint,losses:bigint,draws:bigint,num_games:bigint,following:bigint,"
+    return slim.groupBy("_group").applyInPandasWithState(
+        update, f"player {kind}, {OUTPUT}", f"players array<struct<{each}early:array<struct<idx:bigint,score:double,seen:int>>>>",
+        "update", GroupStateTimeout.NoTimeout)

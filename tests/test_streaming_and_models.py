@@ -158,3 +158,21 @@ def test_score_with_any_function(spark, diagonal):
     assert len(rows) == 45
     for row in rows:
         assert [i for i, x in enumerate(row.logits) if x] == row.own_cells and row.value == row.player
+
+
+def test_stream_elo_calls_python_per_group_of_players(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_ratings, "GROUPS", 3)
+    big = 1 << 60
+    rows = [(p, i, i % 2 == 0, (i + j) % 3 - 1) for j, p in enumerate([None, *range(big, big + 20)]) for i in range(6)]
+    schema = "player bigint, game_idx bigint, plays_black boolean, outcome int"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    everything = spark.createDataFrame(rows, schema)
+    for part in ("game_idx >= 3", "game_idx < 3"):
+        everything.where(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_ratings.stream_elo(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    assert "_group" in stream._jdf.queryExecution().analyzed().toString()
+    sinks.write_batches(stream, f"{out}/data", f"{out}/log", "update").awaitTermination()
+    got = {r.player: r for r in spark.read.parquet(f"{out}/data").where("num_games = 6").collect()}
+    want = {r.player: r.elo for r in ratings.elo(everything).collect()}
+    assert set(got) == {None, *range(big, big + 20)}
+    assert all(got[p].elo == pytest.approx(want[p]) for p in want)
