@@ -88,6 +88,17 @@ class Scratch:
         kept = self.stored(df.observe(seen, *[F.expr(figure).alias(key) for key, figure in figures.items()]), name, small=True)
         return kept, seen.get
 
+    def stored_in_parts(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
+        """A stored table written part after part, so that the shuffle files of only one part are on disk at a time."""
+        path = scratch_path(self.spark, f"llm/{name}")
+        for part in parts:
+            schema = part.schema
+            part.write.mode("append").option("compression", "zstd").parquet(path)
+            release(self.spark)
+        table = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             held = self.paths.pop(id(table), None)

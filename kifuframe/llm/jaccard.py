@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kifuframe.llm.common import Scratch, fresh, kept_in_worker, release, with_columns
@@ -40,6 +40,9 @@ BLOCK = (1_500, 1_000_000, 64 << 20)
 SLAB = 16_384
 #: Up to so many links their components are found in one task.
 IN_ONE_TASK = 100_000
+#: Signatures, texts and elements are shuffled in so many slices, one after the other, which bounds the shuffle files on disk; up to
+#: so many signatures take one slice, as each is a few jobs.
+SLICES, IN_ONE_SLICE = 4, 1_000_000
 KNOWN_WORDS = 500_000
 BAND_BITS = 7
 ROWS = "count(1)"
@@ -233,9 +236,10 @@ def _lists(parts: list, kind: type) -> pa.ListArray:
 
 # --- stages ------------------------------------------------------------------------------------
 
-def _sets(scratch: Scratch, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """The rows of ``docs`` (columns c0, c1, ...) with a number, the set's size and 128-bit name, and its signatures."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+def _sets(scratch: Scratch, numbered: DataFrame, text: str, size: int, percent: int) -> tuple[DataFrame, int]:
+    """The rows of ``numbered`` without their text, with the set's size and 128-bit name, and its signatures; the number of these."""
+    others = [c for c in numbered.columns if c != text]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema if f.name != text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = bands_for(percent)
@@ -245,16 +249,45 @@ def _sets(scratch: Scratch, docs: DataFrame, text: str, size: int, percent: int)
                 sets = [shingles(t.as_py(), size) for t in batch.column(text)]
                 names = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
                 found = [subsets(s, bands) for s in sets]
-                yield with_columns(batch, {
+                yield with_columns(batch.select(others), {
                     "n": pa.array([len(s) for s in sets], pa.int64()), "name1": pa.array(names[:, 0].copy()),
                     "name2": pa.array(names[:, 1].copy()), "band": pa.array([bands.at(len(s)) for s in sets], pa.int32()),
                     "first": pa.array([next(iter(bands.of(len(s))), 0) for s in sets], pa.int32()),
                     "signatures": _lists([f for f, _ in found], np.int64),
                     "prints": _lists([_lists(p, np.int8) for _, p in found], np.int8)})
 
-    made = docs.mapInArrow(run, f"{fields}, n bigint, name1 bigint, name2 bigint, band int, first int, signatures array<bigint>, "
+    made = numbered.mapInArrow(run, f"{fields}, n bigint, name1 bigint, name2 bigint, band int, first int, signatures array<bigint>, "
         "prints array<array<tinyint>>")
-    return scratch.stored(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    sets, seen = scratch.stored_with(made, "jaccard-sets", signatures="coalesce(sum(size(signatures)), 0)")
+    return sets, seen["signatures"]
+
+
+def _slice(df: DataFrame, key: Column, at: int, slices: int) -> DataFrame:
+    return df if slices == 1 else df.where(F.pmod(key, F.lit(slices)) == at)
+
+
+def _members(scratch: Scratch, sets: DataFrame, copies: DataFrame, slices: int) -> Iterator[DataFrame]:
+    """``signature, node`` of the signatures that several rows have, a slice of the signatures at a time.
+
+    Copies take part under the number of the first of them, once per signature.
+    """
+    named = sets.select(F.explode("signatures").alias("signature"), "row")
+    for at in range(slices):
+        here = _slice(named, F.shiftright("signature", BAND_BITS), at, slices)
+        shared = scratch.stored(
+            here.groupBy(F.col("signature").alias("s")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"), "jaccard-shared")
+        yield (here.join(shared, F.col("signature") == F.col("s")).join(copies, F.col("row") == F.col("copy"), "left")
+               .select("signature", F.coalesce("first", "row").alias("node")).distinct())
+        scratch.drop(shared)
+
+
+def _texts(numbered: DataFrame, marks: DataFrame, wanted: DataFrame, text: str, slices: int) -> Iterator[DataFrame]:
+    """``row, n, band, first, prints, text`` of the wanted rows, a slice of the rows at a time."""
+    for at in range(slices):
+        held = _slice(marks, F.col("row"), at, slices).join(
+            _slice(wanted, F.col("node"), at, slices), F.col("row") == F.col("node"), "left_semi")
+        body = _slice(numbered, F.col("row"), at, slices).select(F.col("row").alias("numbered"), F.col(text).alias("text"))
+        yield held.join(body, F.col("row") == F.col("numbered")).drop("numbered")
 
 
 def _promising(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -630,16 +663,16 @@ def _elements(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return joined.mapInArrow(run, "e bigint, node bigint, n bigint")
 
 
-def _rarest(single: DataFrame, percent: int) -> DataFrame:
-    """``signature, node, size, small, large`` of the rarest elements of each set of ``e, node, n``.
+def _rarest(single: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+    """``signature, node, size, small, large`` of the rarest elements of each set of ``e, node, n``; ``often`` counts the
+    elements of several sets, as ``f, times``.
 
     Sets a and b, a the smaller, in reach have at least percent (|a| + |b|) / (100 + percent) elements in common. In any order of
     all elements they meet at their first common one: it is among the first |a| (1 - 2 percent / (100 + percent)) of a and the first
     |b| (1 - percent / 100) of b, and b has all the others after it, which bounds the size of a. Elements of one set alone come
     first and meet nothing. A signature is an element and a class of sizes: a is in its own, b in each where an a can be.
     """
-    often = single.groupBy(F.col("e").alias("f")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    counted = single.join(often.repartition(F.xxhash64("f")), F.col("e") == F.col("f"))
+    counted = single.join(often, F.col("e") == F.col("f"))
     own = Window.partitionBy("node")
     placed = counted.withColumn("place", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "e")))
     ends = placed.withColumns({
@@ -656,35 +689,33 @@ def _rarest(single: DataFrame, percent: int) -> DataFrame:
 def _roots(scratch: Scratch, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """The rows of ``docs`` without their text, with ``row``, ``n``, ``root`` and ``component_id``, stored."""
     others = [c for c in docs.columns if c != text]
-    sets = _sets(scratch, docs, text, size, percent)
+    numbered = scratch.stored(docs.withColumn("row", F.monotonically_increasing_id()), "jaccard-numbered")
+    sets, signatures = _sets(scratch, numbered, text, size, percent)
+    slices = SLICES if signatures > IN_ONE_SLICE else 1
     light = scratch.stored(sets.select(*others, "row", "n", "name1", "name2"), "jaccard-light", small=True)
+    marks = scratch.stored(sets.select("row", "n", "band", "first", "prints"), "jaccard-marks", small=True)
     classes = scratch.stored(light.where("n > 0").groupBy("name1", "name2").agg(
         F.min("row").alias("node"), F.min(doc_id).alias("least")), "jaccard-classes", small=True)
     copies = light.where("n > 0").join(classes, ["name1", "name2"]).where("row <> node").select(
         F.col("row").alias("copy"), F.col("node").alias("first"))
-    # copies take part under the number of the first of them, once per signature
-    named = sets.select(F.explode("signatures").alias("signature"), "row")
-    shared = scratch.stored(
-        named.groupBy(F.col("signature").alias("s")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"), "jaccard-shared")
-    members = scratch.stored(
-        named.join(shared, F.col("signature") == F.col("s")).join(copies, F.col("row") == F.col("copy"), "left")
-        .select("signature", F.coalesce("first", "row").alias("node")).distinct(), "jaccard-members")
-    scratch.drop(shared)
+    members = scratch.stored_in_parts(_members(scratch, sets, copies, slices), "jaccard-members")
+    scratch.drop(sets)
     held, rows = _grouped(scratch, members, None)
     scratch.drop(members)
-    wanted = held.select("node").distinct()
-    texts = scratch.stored(
-        sets.select("row", "n", "band", "first", "prints", F.col(text).alias("text"))
-        .join(wanted, F.col("row") == F.col("node"), "left_semi"), "jaccard-texts")
-    scratch.drop(sets)
+    wanted = scratch.stored(held.select("node").distinct(), "jaccard-wanted", small=True)
+    texts = scratch.stored_in_parts(_texts(numbered, marks, wanted, text, slices), "jaccard-texts")
+    scratch.drop(numbered, marks, wanted)
     search = _Search(scratch, texts, size, percent)
     crowded = search.settle(search.lead(held)) if rows else None
     if crowded is not None:
         nodes = _again(crowded, texts, percent).select("node").distinct()
         single = scratch.stored(_elements(nodes, texts, size), "jaccard-elements", small=True)
         scratch.drop(crowded)
-        parts = scratch.stored(_rarest(single, percent), "jaccard-parts")
-        scratch.drop(single)
+        often = scratch.stored(
+            single.groupBy(F.col("e").alias("f")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "jaccard-often")
+        parts = scratch.stored_in_parts(
+            (_rarest(_slice(single, F.col("node"), at, slices), often, percent) for at in range(slices)), "jaccard-parts")
+        scratch.drop(single, often)
         crowded = search.meet(parts)
         while crowded is not None and (crowded := search.blocks(crowded)) is not None:
             crowded = search.parted(crowded)

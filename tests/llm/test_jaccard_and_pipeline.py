@@ -306,3 +306,29 @@ def test_crowds_of_few_small_sets_are_not_parted(spark, monkeypatch, block):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
     assert ordered([tuple(r) for r in jaccard.similar_components(docs).collect()]) == ordered(brute(rows, 4, 85))
     assert not (found and block[0])
+
+
+def test_signatures_texts_and_elements_are_shuffled_in_slices(spark, monkeypatch):
+    """No step shuffles all signatures, texts or elements at once, nor holds texts and signatures in one table."""
+    parts, tables = defaultdict(list), {}
+    in_parts, stored = jaccard.Scratch.stored_in_parts, jaccard.Scratch.stored
+
+    def counted(self, frames, name):
+        def each():
+            for frame in frames:
+                parts[name].append(frame.count())
+                yield frame
+
+        return in_parts(self, each(), name)
+
+    monkeypatch.setattr(jaccard.Scratch, "stored_in_parts", counted)
+    monkeypatch.setattr(jaccard.Scratch, "stored", lambda self, df, name, small=False: tables.setdefault(name, df.columns) and stored(self, df, name, small))
+    monkeypatch.setattr(jaccard, "IN_ONE_SLICE", 0)
+    monkeypatch.setattr(jaccard, "PARTNERS", 0.01)
+    rows = crowd(4, 80, 12, 1)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert ordered([tuple(r) for r in jaccard.similar_components(docs).collect()]) == ordered(brute(rows, 4, 85))
+    assert set(parts) == {"jaccard-members", "jaccard-texts", "jaccard-parts"}
+    for counts in parts.values():
+        assert len(counts) == jaccard.SLICES and 0 < max(counts) < 0.5 * sum(counts)
+    assert "signatures" in tables["jaccard-sets"] and "c1" not in tables["jaccard-sets"]
