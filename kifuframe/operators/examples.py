@@ -24,7 +24,7 @@ def examples(games: DataFrame, moves: DataFrame, n: int) -> DataFrame:
     in one join only.
     """
     ranges = rp.move_ranges(moves)
-    lines = rp.lines_of_ranges(ranges, n).join(games.select("game_id", "outcome"), "game_id")
+    lines = rp.with_header(rp.lines_of_ranges(ranges, n), games.select("game_id", "outcome"))
     return _labelled(rp.replay_ranges(ranges, n, lines))
 
 
@@ -44,7 +44,7 @@ def _labelled(replayed: DataFrame) -> DataFrame:
 
 
 def turned_lines(lines: DataFrame, n: int, convention: str = "canonical") -> DataFrame:
-    """Eight rows per game: its line under each symmetry, and the ``images`` of all cells."""
+    """Eight rows per row with a line: the line under each symmetry, and the ``images`` of all cells."""
     turned = lines.select("*", F.inline(board.transforms_literal(n, convention)))
     for name in ("black_line", "white_line"):
         turned = turned.withColumn(name, let(F.col("images"), lambda images: F.transform(
@@ -55,12 +55,13 @@ def turned_lines(lines: DataFrame, n: int, convention: str = "canonical") -> Dat
 def augmented_examples(games: DataFrame, moves: DataFrame, n: int, convention: str = "canonical") -> DataFrame:
     """The result of ``augment_examples(examples(...))``, with the symmetries applied per game.
 
-    A turned position is a prefix of a turned line, so cells are mapped once per game and
-    symmetry instead of once per position.
+    A turned position is a prefix of a turned line, so cells are mapped once per range of moves and
+    symmetry instead of once per position. Lines are turned after their join, which so moves each line once and not eight times.
     """
     ranges = rp.move_ranges(moves)
-    lines = rp.lines_of_ranges(ranges, n).join(games.select("game_id", "outcome"), "game_id")
-    return _turned_back(_labelled(rp.replay_ranges(ranges, n, turned_lines(lines, n, convention))))
+    lines = rp.with_header(rp.lines_of_ranges(ranges, n), games.select("game_id", "outcome"))
+    turned = turned_lines(rp.ranges_with_lines(ranges, lines), n, convention)
+    return _turned_back(_labelled(rp.moves_of_ranges(turned, n)))
 
 
 def augmented_examples_from_games(games: DataFrame, n: int, keys: tuple[str, ...] = ("game_id",),

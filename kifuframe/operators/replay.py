@@ -120,18 +120,36 @@ def lines_of_ranges(ranges: DataFrame, n: int) -> DataFrame:
     return _as_lines(played)
 
 
-def replay_ranges(ranges: DataFrame, n: int, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Moves with the replay columns and the columns of their game's line.
+def with_header(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines with the columns of their game's header.
+
+    The hint keeps lines off the driver: Spark takes an array for one element, so it would broadcast far more than its limit.
+    """
+    return lines.hint("merge").join(headers, "game_id")
+
+
+def ranges_with_lines(ranges: DataFrame, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Ranges of moves with the columns of their game's line.
 
-    Lines are copied once per range and joined to the ranges, which lie where their exchange put them.
+    Lines are copied once per range and joined to the ranges, which lie where their exchange put them; for the hint see
+    :func:`with_header`.
     """
     spread = lines.withColumn("_chunk", F.explode(F.sequence(
         F.lit(0).cast("bigint"), chunk_of(F.col("last_ply"), chunk)))).drop("last_ply", "n_moves")
-    joined = ranges.join(spread, ["game_id", "_chunk"])
-    others = [c for c in spread.columns if c not in ("game_id", "_chunk")]
+    return ranges.join(spread.hint("merge"), ["game_id", "_chunk"])
+
+
+def moves_of_ranges(joined: DataFrame, n: int) -> DataFrame:
+    """Moves with the replay columns, from ranges that carry their game's line."""
+    others = [c for c in joined.columns if c not in ("game_id", "_chunk", "_moves")]
     return place_moves(joined.select("game_id", *others, F.inline("_moves")), n)
 
 
+def replay_ranges(ranges: DataFrame, n: int, lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Moves with the replay columns and the columns of their game's line."""
+    return moves_of_ranges(ranges_with_lines(ranges, lines, chunk), n)
+
+
 def replay(moves: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     """Moves with ``in_bounds, cell, n_before, accepted, player`` and the game's line."""
     ranges = move_ranges(moves, chunk)
@@ -241,4 +259,4 @@ def game_summary(lines: DataFrame, games: DataFrame, n: int) -> DataFrame:
     """Per game: accepted moves, strict stone outcome and recorded result."""
     played = game_outcome(lines, n, require_full=True).select(
         "game_id", F.size("line_plies").alias("num_moves"), "stone_outcome")
-    return played.join(games.select("game_id", "result", "outcome"), "game_id")
+    return with_header(played, games.select("game_id", "result", "outcome"))

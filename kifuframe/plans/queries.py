@@ -300,7 +300,7 @@ def transform_planes(spark, sf):
 
 def _transitions(spark, sf):
     lines = replay.game_outcome(replay.game_lines(fx.moves(spark, sf), N), N, require_full=True)
-    lines = lines.join(fx.games(spark, sf).select("game_id", "outcome"), "game_id")
+    lines = replay.with_header(lines, fx.games(spark, sf).select("game_id", "outcome"))
     return trajectory.transitions(trajectory.accepted_moves(lines, N))
 
 

@@ -189,3 +189,14 @@ def test_augmented_transitions_turn_the_next_position(spark):
     for row in out:
         images = board.image_cells(row.transform_id, 3)
         assert row.action == images[1] and row.next_opp_cells == [images[1]] and row.own_cells == []
+
+
+def test_lines_are_not_broadcast(spark):
+    """Spark takes an array column for one element, so lines (eight of each, with their images) went through the driver."""
+    rows = [(g, p, "B", (p + g) % 6, p // 6) for g in range(6) for p in range(30)]
+    moves = spark.createDataFrame(rows, "game_id bigint, ply int, color string, row int, col int").withColumn("ply", F.col("ply").cast("bigint"))
+    games = spark.createDataFrame([(g, g % 3 - 1) for g in range(6)], "game_id bigint, outcome int")
+    for df in (ex.augmented_examples(games, moves, 5), ex.examples(games, moves, 5)):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan.split("Initial Plan")[0]
